@@ -45,19 +45,18 @@ def classify_join(df: DataFrame, rules_df: DataFrame, default: str, key: str,
 
 
 def _grams(low: Column, size: int) -> Column:
-    starts = F.when(F.length(low) >= size, F.sequence(F.lit(1), F.length(low) - F.lit(size - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(size))))
+    """All runs of `size` characters, one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def _classify_by_grams(df, wanted, default, key, text, name) -> DataFrame:
     low = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
     rules = wanted.withColumn("_gram", F.substring("keyword", 1, GRAM))
-    # Only grams that some rule starts with are of interest; the semi join
-    # drops the others before any text is attached.
-    every = low.select(key, "_low", F.explode(F.flatten(F.array(*[
-        F.coalesce(_grams(F.col("_low"), n), F.array().cast("array<string>"))
-        for n in range(1, GRAM + 1)]))).alias("_gram"))
-    met = every.join(rules, "_gram").where(F.contains(F.col("_low"), F.col("keyword")))
+    grams = F.concat(*[_grams(F.col("_low"), n) for n in range(1, GRAM + 1)])
+    # Grams travel without the text; it is joined back for the candidates only.
+    candidates = low.select(key, F.explode(grams).alias("_gram")).join(rules, "_gram")
+    met = (candidates.select(key, "priority", "label", "keyword").join(low, key)
+           .where(F.contains(F.col("_low"), F.col("keyword"))))
     best = met.groupBy(key).agg(F.min(F.struct("priority", "label")).alias("_b"))
     return (low.select(key).join(best, key, "left")
             .select(key, F.coalesce("_b.label", F.lit(default)).alias(name)))

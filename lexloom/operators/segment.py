@@ -104,6 +104,15 @@ def explode_rows(df: DataFrame, array: Column, *keep: str) -> DataFrame:
             .where(F.col("_pos").isNotNull()))
 
 
+def computed_once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """`keep` and the named columns, shielded from filters: a later filter or
+    join on one of them would otherwise be pushed below the cutting chain with
+    a copy of the whole expression."""
+    packed = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return (df.select(*keep, F.explode_outer(F.array(packed)).alias("_e"))
+            .select(*keep, *[F.col(f"_e.{name}").alias(name) for name in columns]))
+
+
 def keep_rows(df: DataFrame, value: Column, condition, *keep: str, name: str) -> DataFrame:
     """Rows whose computed `value` meets the condition, the value as `name`;
     like `explode_rows`, it computes the value once."""
@@ -355,9 +364,9 @@ def split_documents(df: DataFrame, key: str = "doc_key", text: str = "text",
 
 def document_metadata(df: DataFrame, key: str = "doc_key", text: str = "text") -> DataFrame:
     df = prepare(df.select(key, text), text).withColumn("_low", F.lower("_t"))
-    return df.select(
-        key, X.doc_number(F.col("_t"), F.col("_low")).alias("doc_id"), X.doc_date_text(F.col("_t")).alias("date"),
-        rules.department(F.col("_low")).alias("department"))
+    return computed_once(df, key, doc_id=X.doc_number(F.col("_t"), F.col("_low")),
+                         date=X.doc_date_text(F.col("_t")),
+                         department=rules.department(F.col("_low")))
 
 
 def _not_blank(c: Column) -> Column:
@@ -384,8 +393,8 @@ def decision_span(df: DataFrame, key: str = "doc_key", text: str = "text",
 
 
 def article_start(df: DataFrame, key: str = "doc_key", text: str = "text") -> DataFrame:
-    return (with_article_start(prepare(df.select(key, text), text))
-            .select(key, "start_line"))
+    started = with_article_start(prepare(df.select(key, text), text))
+    return computed_once(started, key, start_line=F.col("start_line"))
 
 
 def split_articles(df: DataFrame, key: str = "doc_key", text: str = "text",

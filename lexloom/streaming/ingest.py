@@ -1,13 +1,15 @@
 """Continuous ingest: files arrive, are gated, decoded, keyed and upserted."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import DOCUMENT_SCHEMA, align_schema, upsert_documents
 from ..sources.files import BINARY_SCHEMA, accept_files, to_documents
 
 BUCKETS = 64
+STORE_SCHEMA = T.StructType(DOCUMENT_SCHEMA.fields + [T.StructField("bucket", T.IntegerType())])
 
 
 def _bucket(buckets: int):
@@ -17,11 +19,12 @@ def _bucket(buckets: int):
 def read_store(spark: SparkSession, path: str, buckets=None) -> DataFrame:
     """The stored documents, of some buckets only when given (partition
     pruning); an empty table when nothing was stored yet."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not files.exists(root):
+    try:
+        stored = spark.read.schema(STORE_SCHEMA).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], DOCUMENT_SCHEMA)
-    stored = spark.read.parquet(path)
     if buckets is not None:
         stored = stored.where(F.col("bucket").isin(buckets))
     return align_schema(stored)
@@ -35,13 +38,18 @@ def upsert_store(batch: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     overwrite). Staged files replace old ones at commit, so a lost executor or
     a repeated batch leaves the same table."""
     spark = batch.sparkSession
+    batch = batch.persist()     # read three times below
     # At most `buckets` numbers reach the driver.
     touched = [r.b for r in batch.select(_bucket(buckets).alias("b")).distinct().collect()]
     if not touched:
+        batch.unpersist()
         return
     merged = upsert_documents(read_store(spark, path, touched), align_schema(batch))
-    (merged.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite")
+    # Rebalancing gathers each bucket into files of the advisory size and splits
+    # a bucket that is larger than that over several tasks.
+    (merged.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    batch.unpersist()
 
 
 def file_stream(spark: SparkSession, in_dir: str, max_files: int | None = None) -> DataFrame:
@@ -54,11 +62,18 @@ def file_stream(spark: SparkSession, in_dir: str, max_files: int | None = None)
     return to_documents(accepted)
 
 
-def stream_ingest(spark: SparkSession, in_dir: str, out: str, checkpoint: str,
-                  max_files: int | None = None, buckets: int = BUCKETS,
+def start_upserts(rows: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS,
                   available_now: bool = True) -> StreamingQuery:
-    """Start the ingest query. `out` and `checkpoint` are shared storage."""
-    writer = (file_stream(spark, in_dir, max_files).writeStream
-              .option("checkpointLocation", checkpoint)
+    """Upsert a stream of document rows. `out` and `checkpoint` are shared
+    storage."""
+    writer = (rows.writeStream.option("checkpointLocation", checkpoint)
               .foreachBatch(lambda batch, _: upsert_store(batch, out, buckets)))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def stream_ingest(spark: SparkSession, in_dir: str, out: str, checkpoint: str,
+                  max_files: int | None = None, buckets: int = BUCKETS,
+                  available_now: bool = True) -> StreamingQuery:
+    """Ingest files as they arrive in a folder."""
+    return start_upserts(file_stream(spark, in_dir, max_files), out, checkpoint, buckets,
+                         available_now)
