@@ -34,7 +34,8 @@ def normalize_newlines(c: Column) -> Column:
 def tidy_composed(c: Column) -> Column:
     """The part of `normalize_text` that follows Unicode composition."""
     no_controls = F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]+", "")
-    one_space = F.regexp_replace(no_controls, r"[ \t]+", " ")
+    # Only runs that change are matched; a single space is left alone.
+    one_space = F.regexp_replace(no_controls, r"\t[ \t]*+| [ \t]++", " ")
     return strip(F.regexp_replace(one_space, r"\n{3,}", "\n\n"))
 
 
@@ -63,7 +64,9 @@ def fold(c: Column) -> Column:
     """Accent-free lower case with single spaces; `đ` has no decomposition and
     stays."""
     bare = decompose_and_drop_marks(c)
-    return F.regexp_replace(F.lower(bare), rf"(?U){SPACE}+", " ")
+    # Only runs that change are matched; a single space is left alone.
+    other_space = r"[\s\x1c-\x1f&&[^ ]]"
+    return F.regexp_replace(F.lower(bare), rf"(?U){other_space}{SPACE}*+| {SPACE}++", " ")
 
 
 def valid_name(c: Column) -> Column:

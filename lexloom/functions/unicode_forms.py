@@ -77,6 +77,6 @@ def decompose_and_drop_marks(c: Column) -> Column:
     expanding = "".join(rf"\x{{{ord(ch):X}}}" for ch in other)
     outside = _outside(FOLDABLE)[2:-1]
     hard = c.rlike(f"[^{outside}]|[{expanding}]")
-    simple = F.translate(c, src + dropped, dst)
+    simple = F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, src + dropped, dst)).otherwise(c)
     via_udf = _normalizer("NFKD", True)(F.when(hard, c))
     return F.coalesce(via_udf, simple)

@@ -6,7 +6,7 @@ into zones, the article zone is split into an array, and the array is mapped,
 filtered and exploded. No row leaves its task: there is no shuffle, no window
 and no UDF, whatever the number of documents or lines.
 
-Positions are kept as suffixes of the text, whose newlines give line numbers.
+Positions are kept as prefixes of the text, whose newlines give line numbers.
 Articles are cut by writing a reserved noncharacter at every boundary and
 splitting on it: Spark keeps the compiled pattern of a literal regex function,
 and a split on one plain character needs none.
@@ -50,11 +50,15 @@ ARTICLE_STOP = (rf"{_S}*(?:(?:\*\*)?(?:Điều{_S}+\d|Phụ{_S}+lục{_S}+\d)|N
                 rf"(?![^\n]*#{_S}*Chương)")
 _CAPS = "A-ZÀÁẢÃẠÂẦẤẨẪẬĂẰẮẲẴẶÈÉẺẼẸÊỀẾỂỄỆÌÍỈĨỊÒÓỎÕỌÔỒỐỔỖỘƠỜỚỞỠỢÙÚỦŨỤƯỪỨỬỮỰỲÝỶỸỴĐ,.;:!?"
 # Lines left out of an article: headings, chapter lines, rules, and all-capital
-# lines of more than 20 characters. The opening line always stays.
-ARTICLE_NOISE = (rf"\n(?:{_S}*#[^\n]*|[^\n#]*+#(?:{_S}*|[^\n]*#{_S}*)Chương[^\n]*|{_S}*\*\*Chương[^\n]*"
-                 rf"|{_S}*Chương{_S}+[IVXLC\d][^\n]*"
-                 rf"|{_S}*(?:_{{5,}}|=+|-+){_S}*{_END}"
-                 rf"|{_S}*(?-i:[{_CAPS}][{_CAPS}\s&&[^\n]]{{19,}}[{_CAPS}]){_S}*{_END})")
+# lines of more than 20 characters. The opening line always stays. A line with
+# a small letter in first or second place is no capital line: that test spares
+# most lines the long class.
+_NOISE = (rf"{_S}*+(?:#[^\n]*|\*\*Chương[^\n]*|Chương{_S}+[IVXLC\d][^\n]*"
+          rf"|(?:_{{5,}}|=+|-+){_S}*{_END}"
+          rf"|(?-i:(?!\p{{Ll}}|[^\n]\p{{Ll}})[{_CAPS}][{_CAPS}\s&&[^\n]]{{19,}}[{_CAPS}]){_S}*{_END})")
+ARTICLE_NOISE = rf"\n{_NOISE}"
+# The same with chapter marks anywhere in a line, for articles with a `#`.
+ARTICLE_NOISE_MARKS = rf"\n(?:{_NOISE}|[^\n]*#{_S}*Chương[^\n]*)"
 ARTICLE_NUMBER = rf"(?iuU)\A{_S}*(?:\*\*)?(?:Điều|Dieu){_S}+(\d+)"
 BOLD_HEADING = r"(?iuU)\A\*\*(?:Điều|Dieu)\s+\d+\s*[—\-.]?\s*(.*?)\*\*"
 OPEN_HEADING = r"(?iuU)\A(?:\*\*)?(?:Điều|Dieu)\s+\d+\s*\.?\s*(.*)\z"
@@ -76,22 +80,15 @@ _ENDS = r"\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 # Cutting
 # ---------------------------------------------------------------------------
 
-def from_first(text: Column, pattern: str) -> Column:
-    """The text from the first match on; empty without a match.
+def through_first(text: Column, pattern: str) -> Column:
+    """The text up to and with the first match; empty without a match. The
+    search stops at the match, which for headings is near the top."""
+    return F.regexp_extract(text, rf"(?s){_FLAGS}\A(?>.*?(?:{pattern}))", 0)
 
-    A search with a greedy tail is the cheapest cut; what lies before the match
-    is known by difference."""
-    return F.regexp_extract(text, rf"(?s){_FLAGS}(?:{pattern}).*\z", 0)
 
-
-def before_suffix(text: Column, suffix: Column) -> Column:
-    """The text without a suffix taken from it."""
-    return F.substr(text, F.lit(1), F.length(text) - F.length(suffix))
-
-
-def line_of_suffix(text: Column, suffix: Column) -> Column:
-    """Line number at which a suffix of the text starts; NULL if it is empty."""
-    return F.when(suffix != "", line_breaks(text) - line_breaks(suffix))
+def before_first(text: Column, pattern: str) -> Column:
+    """The text before the first match; all of it without a match."""
+    return F.regexp_extract(text, rf"(?s){_FLAGS}\A.*?(?={pattern}|\z)", 0)
 
 
 def explode_rows(df: DataFrame, array: Column, *keep: str) -> DataFrame:
@@ -133,14 +130,12 @@ def prepare(df: DataFrame, text: str = "text", out: str = "_t") -> DataFrame:
 def with_basis(df: DataFrame, text: str = "_t", name: str = "_basis") -> DataFrame:
     """From the first basis line to before the first line with the decision
     colon (which counts from the top of the text); empty when there is none."""
-    line_start = rf"(?<![^{_ENDS}])"
-    t, after = F.col(text), F.col("_after")
-    basis = F.regexp_extract(before_suffix(t, after), rf"(?s){_FLAGS}{line_start}[^{_ENDS}]*?"
-                             rf"{BASIS_WORDS}.*\z", 0)
+    line = rf"(?<![^{_ENDS}])[^{_ENDS}]*?"
+    before = before_first(F.col(text), line + DECISION_COLON)
+    basis = F.regexp_extract(before, rf"(?s){_FLAGS}{line}{BASIS_WORDS}.*\z", 0)
     lines = F.regexp_replace(basis, f"[{_ENDS}]", "\n")
     trimmed = F.regexp_replace(lines, rf"(?dmU)(?<!{_S}){_S}++$", "")
-    return (df.withColumn("_after", from_first(t, rf"{line_start}[^{_ENDS}]*?{DECISION_COLON}"))
-            .withColumn(name, strip_asterisks(strip(trimmed))).drop("_after"))
+    return df.withColumn(name, strip_asterisks(strip(trimmed)))
 
 
 def with_decision(df: DataFrame, text: str = "_t", name: str = "_decision") -> DataFrame:
@@ -160,21 +155,19 @@ def with_decision_span(df: DataFrame, text: str = "_t",
                        recipients: str = SPAN_RECIPIENTS) -> DataFrame:
     """Add `span_start` and `span_end` line numbers (NULL without a decision).
 
-    The span ends before the first recipients line after the decision line,
-    else before the first signature, article, chapter or appendix line, else at
-    the end of the text. Since the decision line's match ends inside a line,
-    every boundary must come after a newline."""
-    t, rest, at = F.col(text), F.col("_rest"), F.col("_boundary")
-    tail = F.regexp_extract("_decision_on", rf"(?s){_FLAGS}\A{DECISION_START}(.*)\z", 1)
-    last = F.greatest(line_breaks(t) - line_breaks(at) - F.lit(1), F.col("span_start"))
-    return (df.withColumn("_decision_on", from_first(t, DECISION_START))
-            .withColumn("span_start", line_of_suffix(t, F.col("_decision_on")))
-            .withColumn("_rest", tail)
-            .withColumn("_to", from_first(rest, r"(?<=\n)" + recipients))
-            .withColumn("_boundary", F.when(F.col("_to") != "", F.col("_to"))
-                        .otherwise(from_first(rest, r"(?<=\n)" + SPAN_BOUNDARY)))
-            .withColumn("span_end", F.when(F.col("span_start").isNotNull(), last))
-            .drop("_decision_on", "_rest", "_to", "_boundary"))
+    One regex takes the text up to the end of the span: the first recipients
+    line after the decision line, else the first signature, article, chapter or
+    appendix line, else the end of the text. Line numbers are newline counts.
+    Since the decision line's match ends inside a line, every later boundary
+    must come after a newline."""
+    ends = rf"(?:.*?(?<=\n)(?={recipients})|.*?(?:(?<=\n)(?={SPAN_BOUNDARY})|\z))"
+    found = F.col("_through") != ""
+    last = F.greatest(line_breaks(F.col("_through")) - F.lit(1), F.col("span_start"))
+    return (df.withColumn("_through", F.regexp_extract(
+                text, rf"(?s){_FLAGS}\A(?>.*?(?:{DECISION_START})){ends}", 0))
+            .withColumn("span_start", F.when(found, line_breaks(
+                before_first(F.col("_through"), DECISION_START))))
+            .withColumn("span_end", F.when(found, last)).drop("_through"))
 
 
 # ---------------------------------------------------------------------------
@@ -185,18 +178,18 @@ def _with_scope_line(df: DataFrame, text: Column) -> DataFrame:
     """Add `_by_scope`: the line of the scope words, or of the earliest
     article-one line among the five lines before; NULL without scope words."""
     scope, near, one = F.col("_scope"), F.col("_near"), F.col("_one")
-    window = F.concat(last_lines(before_suffix(text, scope), 6), first_line(scope))
-    back = F.when(one != "", line_breaks(one))
-    return (df.withColumn("_scope", from_first(text, SCOPE))
-            .withColumn("_near", F.when(scope != "", window))
-            .withColumn("_one", from_first(near, ARTICLE_ONE_NEAR))
-            .withColumn("_by_scope", line_of_suffix(text, scope) - F.coalesce(back, F.lit(0)))
+    back = F.when(one != "", line_breaks(near) - line_breaks(one))
+    return (df.withColumn("_scope", through_first(text, SCOPE + r"[^\n]*"))
+            .withColumn("_near", last_lines(scope, 6))
+            .withColumn("_one", through_first(near, ARTICLE_ONE_NEAR))
+            .withColumn("_by_scope", F.when(
+                scope != "", line_breaks(scope) - F.coalesce(back, F.lit(0))))
             .drop("_scope", "_near", "_one"))
 
 
 # Recipients line, then a signature line after it, then (group 1) a star rule,
 # then (group 2) the regulation heading. Atomic groups keep the first of each.
-_SIGNED = (rf"(?s){_FLAGS}\A{RECIPIENTS_LINE}[^\n]*(?>.*?{SIGNATURE}[^\n]*)"
+_SIGNED = (rf"(?s){_FLAGS}\A(?>.*?{RECIPIENTS_LINE}[^\n]*)(?>.*?{SIGNATURE}[^\n]*)"
            rf"(?:((?>.*?{STAR_RULE}[^\n]*))((?>.*?{REGULATION_HEADING}))?)?")
 
 
@@ -208,23 +201,24 @@ def with_article_start(df: DataFrame, text: str = "_t") -> DataFrame:
 
     Each step is NULL once an earlier rule has decided, so later scans cost
     nothing for that row."""
-    t = F.col(text)
+    t, signed = F.col(text), F.col("_signed")
     df = _with_scope_line(df, t)
-    tail, signed = F.col("_tail"), F.col("_signed")
     after = (F.when(F.regexp_extract(signed, _SIGNED, 2) != "", 1)
              .when(F.regexp_extract(signed, _SIGNED, 1) != "", 2).otherwise(3))
-    df = (df.withColumn("_tail", from_first(F.when(F.col("_by_scope").isNull(), t),
-                                            RECIPIENTS_LINE))
-          .withColumn("_signed", F.regexp_extract(tail, _SIGNED, 0))
-          .withColumn("_by_sign", F.when(signed != "", line_of_suffix(t, tail)
-                                         + line_breaks(signed) + after)))
+    df = (df.withColumn("_signed", F.regexp_extract(
+              F.when(F.col("_by_scope").isNull(), t), _SIGNED, 0))
+          .withColumn("_by_sign", F.when(signed != "", line_breaks(signed) + after)))
     still_open = F.when(F.col("_by_scope").isNull() & F.col("_by_sign").isNull(), t)
-    df = (df.withColumn("_general", from_first(still_open, GENERAL_RULES))
-          .withColumn("_reg", from_first(still_open, REGULATION_HEADING)))
+    df = (df.withColumn("_general", through_first(still_open, GENERAL_RULES))
+          .withColumn("_reg", through_first(still_open, REGULATION_HEADING)))
+
+    def next_line(head):
+        return F.when(head != "", line_breaks(head) + F.lit(1))
+
     return (df.withColumn("start_line", F.coalesce(
-        F.col("_by_scope"), F.col("_by_sign"), line_of_suffix(t, F.col("_general")) + 1,
-        line_of_suffix(t, F.col("_reg")) + 1, F.lit(0)))
-        .drop("_by_scope", "_tail", "_signed", "_by_sign", "_general", "_reg"))
+        F.col("_by_scope"), F.col("_by_sign"), next_line(F.col("_general")),
+        next_line(F.col("_reg")), F.lit(0)))
+        .drop("_by_scope", "_signed", "_by_sign", "_general", "_reg"))
 
 
 # ---------------------------------------------------------------------------
@@ -253,7 +247,8 @@ def articles(zone: Column) -> Column:
     raw = _pieces(zone, ARTICLE_OPEN, ARTICLE_STOP)
     headed = F.transform(raw, lambda a: F.struct(
         strip(first_line(a)).alias("head"),
-        F.regexp_replace(a, _FLAGS + ARTICLE_NOISE, "").alias("content")))
+        F.when(F.contains(a, F.lit("#")), F.regexp_replace(a, _FLAGS + ARTICLE_NOISE_MARKS, ""))
+        .otherwise(F.regexp_replace(a, _FLAGS + ARTICLE_NOISE, "")).alias("content")))
     return F.transform(headed, lambda a: F.struct(
         F.regexp_extract(a["head"], ARTICLE_NUMBER, 1).alias("article_num"),
         _heading(a["head"]).alias("article_title"),
@@ -348,14 +343,17 @@ def with_blocks(df: DataFrame, text: str = "text",
 
 def split_documents(df: DataFrame, key: str = "doc_key", text: str = "text",
                     recipients: str = SPAN_RECIPIENTS) -> DataFrame:
-    """One row per block, numbered from 1 within its document."""
-    blocks = with_blocks(df.select(key, text), text, recipients)
-    rows = explode_rows(blocks, F.col("blocks"), key, "doc_id", "department", "date")
+    """One row per block, numbered from 1 within its document. Sections are
+    labelled after the explode, where the expressions are compiled."""
+    sections = with_sections(df.select(key, text), text, recipients)
+    rows = explode_rows(sections, F.col("sections"), key, "doc_id", "department", "date")
+    section = F.col("_e")
+    rows = rows.withColumn("_low", F.lower(section["content"]))
     return rows.select(
-        key, (F.col("_pos") + 1).alias("block_no"), F.col("_e.section_type").alias("section_type"),
+        key, (F.col("_pos") + 1).alias("block_no"), section["section_type"].alias("section_type"),
         "doc_id", "department", F.lit(fv.TYPE_DATA).alias("type_data"),
-        F.col("_e.category").alias("category"), "date", F.col("_e.source").alias("source"),
-        F.col("_e.content").alias("content"))
+        rules.content_category(F.col("_low")).alias("category"), "date",
+        source_label(section).alias("source"), clean_block(section["content"]).alias("content"))
 
 
 # ---------------------------------------------------------------------------
@@ -432,9 +430,8 @@ def decision_to_recipients(df: DataFrame, key: str = "doc_key", text: str = "tex
     """From the decision line to before the recipients line or the end, articles
     included, with the line numbers of both ends."""
     spans = with_decision_span(prepare(df.select(key, text), text))
-    spans = (spans.withColumn("_from", drop_lines(F.col("_t"), F.col("span_start")))
-             .withColumn("_to", from_first(F.col("_from"), rf"\n(?={recipients})"))
-             .withColumn("_body", before_suffix(F.col("_from"), F.col("_to"))))
+    spans = spans.withColumn("_body", before_first(
+        drop_lines(F.col("_t"), F.col("span_start")), rf"\n{recipients}"))
     out = F.struct("span_start",
                    (F.col("span_start") + line_breaks(F.col("_body"))).alias("end_line"),
                    F.regexp_extract("_body", r"(?sU)\A(.*[^\s\x1c-\x1f])?", 0).alias("content"))
@@ -446,8 +443,7 @@ def decision_to_first_article(df: DataFrame, key: str = "doc_key",
                               text: str = "text") -> DataFrame:
     """From the first line that starts with the decision words to before the
     next basis or article line."""
-    steps = (prepare(df.select(key, text), text)
-             .withColumn("_from", from_first(F.col("_t"), DECISION_LINE))
-             .withColumn("_to", from_first(F.col("_from"), rf"\n(?={BASIS_OR_ARTICLE})")))
-    return keep_rows(steps, before_suffix(F.col("_from"), F.col("_to")), lambda c: c != "", key,
+    tail = F.regexp_extract("_t", rf"(?s){_FLAGS}{DECISION_LINE}.*\z", 0)
+    return keep_rows(prepare(df.select(key, text), text),
+                     before_first(tail, rf"\n{BASIS_OR_ARTICLE}"), lambda c: c != "", key,
                      name="content")

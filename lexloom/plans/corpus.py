@@ -46,14 +46,22 @@ FILLER = f"""case when o_orderstatus = 'P' then '- Lưu: VT.' else concat_ws({NL
 HEADER = f"concat_ws({NL}, {NUMBER}, {DATES}, '', {BASIS}, '', {DECISION}, {FILLER})"
 
 _SHIP = "cast(cast(l_shipdate as date) as string)"
-TITLE = f"""case l_linenumber
-  when 1 then case when {_P} in ('1', '2', '3')
-    then case when l_returnflag = 'R' then 'Phạm vi điều chỉnh và đối tượng áp dụng'
-         else 'Phạm vi điều chỉnh' end else 'Nguyên tắc áp dụng' end
+SCOPE_SUBJECT = "Phạm vi điều chỉnh và đối tượng áp dụng"
+SCOPE_ONLY = "Phạm vi điều chỉnh"
+NO_SCOPE = "Nguyên tắc áp dụng"
+# Title of a line; orders of low priority have another first title.
+LINE_TITLE = f"""case l_linenumber
+  when 1 then case when l_returnflag = 'R' then '{SCOPE_SUBJECT}' else '{SCOPE_ONLY}' end
   when 2 then 'Nội dung và trách nhiệm' when 3 then 'Điều khoản thi hành' when 4 then 'Hồ sơ kèm theo'
   when 5 then 'Trách nhiệm các bên' when 6 then 'Điều kiện và thủ tục' else 'Hiệu lực' end"""
-HEAD = f"""case when l_linestatus = 'F' then concat('**Điều ', l_linenumber, '. ', {TITLE}, '**')
-  else concat('Điều ', l_linenumber, '. ', {TITLE}) end"""
+SCOPED = f"{_P} in ('1', '2', '3')"
+TITLE = f"case when l_linenumber = 1 and not ({SCOPED}) then '{NO_SCOPE}' else {LINE_TITLE} end"
+def head_of(title: str) -> str:
+    return f"""case when l_linestatus = 'F' then concat('**Điều ', l_linenumber, '. ', {title}, '**')
+      else concat('Điều ', l_linenumber, '. ', {title}) end"""
+
+
+HEAD = head_of(TITLE)
 BODY = f"""case l_returnflag
   when 'R' then concat('Mức học phí của mục ', l_partkey, ' áp dụng từ ', {_SHIP}, '.')
   when 'A' then concat('Kết quả đánh giá mục ', l_partkey, ' công bố vào ', {_SHIP}, '.')
@@ -71,21 +79,29 @@ EXTRA = f"""case l_linenumber
   when 6 then concat_ws({NL}, 'Phụ lục 2', concat('Bảng ', l_suppkey, '.'),
                         concat('Dieu 60. Ghi nhớ ', l_suppkey), 'Phần ghi nhớ.') end"""
 PIECE = f"concat_ws({NL}, {HEAD}, {BODY}, {EXTRA}, '')"
+LINE_PIECE = f"concat_ws({NL}, {head_of(LINE_TITLE)}, {BODY}, {EXTRA}, '')"
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
               "l_returnflag", "l_linestatus"]
 
 
 def legal_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_key, text): one legal text per order."""
+    """(doc_key, text): one legal text per order.
+
+    The pieces are joined before they meet the orders, so no order with very
+    many lines becomes a hot key of a row-level join."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *LINE_ORDER)
-    heads = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority",
-                          F.expr(HEADER).alias("_head"))
-    # The article of the first line number depends on the order's priority.
-    lines = (items.join(heads.select("l_orderkey", "o_orderpriority"), "l_orderkey")
-             .select("l_orderkey", *LINE_ORDER, F.expr(PIECE).alias("_piece")))
+    # A fixed number of partitions keeps adaptive execution from merging them:
+    # the texts compress so well that their size understates the work to come.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    heads = (orders.select("o_orderkey", F.expr(SCOPED).alias("_scoped"),
+                           F.expr(HEADER).alias("_head")).repartition(parts, "o_orderkey"))
+    lines = items.select("l_orderkey", *LINE_ORDER, F.expr(LINE_PIECE).alias("_piece"))
     bodies = ordered_text(lines, "l_orderkey", "l_linenumber", F.col("_piece"), "\n",
                           order=LINE_ORDER[1:], name="_body")
-    return (heads.join(bodies, "l_orderkey", "left")
-            .select(F.col("l_orderkey").alias("doc_key"),
-                    F.concat_ws("\n", "_head", "_body").alias("text")))
+    unscoped = F.replace(F.replace("_body", F.lit(SCOPE_SUBJECT), F.lit(NO_SCOPE)),
+                         F.lit(SCOPE_ONLY), F.lit(NO_SCOPE))
+    body = F.when(F.col("_scoped"), F.col("_body")).otherwise(unscoped)
+    return (heads.join(bodies, heads.o_orderkey == bodies.l_orderkey, "left")
+            .select(F.col("o_orderkey").alias("doc_key"),
+                    F.concat_ws("\n", "_head", body).alias("text")))
