@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Code points that composition never changes, alone or next to one another:
-# below the combining marks, the precomposed Latin block and the punctuation
-# and symbol area between the two spacing singletons and the Ohm sign.
-ALWAYS_COMPOSED = [(0x0000, 0x02FF), (0x1E00, 0x1EFF), (0x2002, 0x2125)]
+# below the combining marks, the precomposed Latin block, and the punctuation
+# and letterlike symbols up to the Ohm sign without the marks for symbols.
+ALWAYS_COMPOSED = [(0x0000, 0x02FF), (0x1E00, 0x1EFF), (0x2002, 0x20CF), (0x2100, 0x2125)]
 # Where accent removal is looked up character by character on the JVM.
 FOLDABLE = [(0x0000, 0x036F), (0x1E00, 0x1EFF), (0x2010, 0x2027)]
 

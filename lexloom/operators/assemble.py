@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import is_blank, needs_fallback, normalize_text, tidy_composed
+from ..functions.text import is_blank, needs_fallback, normalize_text
 
 RUN = 256       # positions joined in the first step
 
@@ -49,15 +49,15 @@ def assemble_pages(pages: DataFrame, key: str = "doc_key", page_no: str = "page_
 
     A page counts when its raw text is not empty; with `skip_blank` (the rule
     for recognised text) only when something is left after normalisation.
-    Pages are normalised before the shuffle. Joining composed pages with page
-    headings leaves them composed, so the joined text needs no second NFC."""
+    Pages are normalised before the shuffle, the joined text once more after it:
+    dropping a control character may have left a letter next to its mark."""
     ready = pages.select(key, page_no, (F.length(text) > 0).alias("_has"),
                          normalize_text(F.col(text)).alias("_n"))
     counts = F.col("_has") & ~is_blank(F.col("_n")) if skip_blank else F.col("_has")
     body = F.when(counts, F.concat(F.lit(fv.PAGE_HEADING), F.col(page_no).cast("string"),
                                   F.lit("\n\n"), F.col("_n"), F.lit("\n\n")))
     joined = ordered_text(ready, key, page_no, body, "\n", run=run, name="_joined")
-    return joined.select(key, tidy_composed(F.coalesce("_joined", F.lit(""))).alias("text"))
+    return joined.select(key, normalize_text(F.col("_joined")).alias("text"))
 
 
 def missing_pages(pages: DataFrame, key: str = "doc_key", page_no: str = "page_no",
