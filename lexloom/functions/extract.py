@@ -9,14 +9,16 @@ from .text import strip
 # --- Fixed values: what a document number may look like ----------------------
 _ORG = r"[A-ZĐƠƯ&]+"
 NUMBER_LINE = r"(?dmiuU)^\s*+Số\s*:\s*([A-Z0-9ĐƠƯ/.\-–&]+)\s*$"
-# (part that must occur in lower case, pattern), in order of preference.
+# (part that must occur in lower case, pattern), in order of preference. A
+# number is only tried from its first digit, which keeps the search linear.
+_N = r"(?iuU)(?<!\d)\d++"
 NUMBER_PATTERNS = [
-    ("/qđ-", rf"(?iuU)\d+/QĐ-{_ORG}"),
-    ("/tt-", rf"(?iuU)\d+/\d+/TT-{_ORG}"),
-    ("/nđ-cp", r"(?iuU)\d+/\d+/NĐ-CP"),
-    ("/nq-", rf"(?iuU)\d+/NQ-{_ORG}"),
+    ("/qđ-", rf"{_N}/QĐ-{_ORG}"),
+    ("/tt-", rf"{_N}/\d++/TT-{_ORG}"),
+    ("/nđ-cp", rf"{_N}/\d++/NĐ-CP"),
+    ("/nq-", rf"{_N}/NQ-{_ORG}"),
     ("qd-dhcntt", r"(?iuU)QD-DHCNTT&?TT"),
-    ("", r"(?iuU)\d+[/\-]\d+[/\-]?\d*[/\-]?[A-ZĐƠƯ\-&]*"),
+    ("", rf"{_N}[/\-]\d+[/\-]?\d*[/\-]?[A-ZĐƠƯ\-&]*"),
 ]
 # --- Fixed values: dates ------------------------------------------------------
 _DAY_MONTH_YEAR = r"ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import extract as X, fixed_values as fv, rules as R, text as T
 from ..operators import (assemble as A, classify as C, lookups as L, render as M, segment as S,
                          store as D)
+from ..session import shared_folder
 from ..sources import files as FS
 from ..streaming import ingest
 from . import oracle as O
@@ -36,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder of the cluster; a
     temporary one where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = shared_folder(spark)
     return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
 
 

@@ -1,7 +1,9 @@
 """Session settings and checkpoint folder."""
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lexloom", master: str | None = None, **conf) -> SparkSession:
@@ -19,3 +21,19 @@ def build_session(app: str = "lexloom", master: str | None = None, **conf) -> Sp
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The checkpoint folder that the cluster names, if any."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a table once and cut its lineage at a reliable checkpoint in the
+    cluster's shared folder; where none is named, as in tests, in a temporary
+    one."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(
+            shared_folder(spark) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

@@ -19,12 +19,14 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 def accept_files(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES):
     """(accepted, rejected): the extension and size gates. Rejected files keep
     a reason and drop their content."""
-    gated = files.withColumn("extension", extension(F.col("path")))
-    reason = (F.when(~F.col("extension").isin(fv.ACCEPTED_EXTENSIONS), "unsupported_extension")
-              .when(F.col("length") > max_bytes, "too_large"))
-    gated = gated.withColumn("reason", reason)
-    return (gated.where(F.col("reason").isNull()).drop("reason"),
-            gated.where(F.col("reason").isNotNull()).drop("content"))
+    named = files.withColumn("extension", extension(F.col("path")))
+    known = F.col("extension").isin(fv.ACCEPTED_EXTENSIONS)
+    # A plain comparison on the length reaches the source, which then does not
+    # even open the larger files.
+    accepted = named.where((F.col("length") <= max_bytes) & known)
+    rejected = named.drop("content").where(~known | (F.col("length") > max_bytes))
+    return accepted, rejected.withColumn(
+        "reason", F.when(~known, "unsupported_extension").otherwise("too_large"))
 
 
 def assign_keys(files: DataFrame) -> DataFrame:

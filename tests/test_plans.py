@@ -42,10 +42,21 @@ def test_unused_columns_are_pruned(stored_docs):
     assert text.count("Exchange") == 1 and "tiến sĩ" not in text
 
 
-def test_assembly_combines_before_both_shuffles(spark):
-    pages = spark.createDataFrame([("a", 1, "x")], "doc_key string, page_no int, text string")
-    text = plan(A.assemble_pages(pages))
-    assert text.count("Exchange") == 2 and "partial_collect_list" in text
+def test_assembly_shuffles_once_for_small_groups_and_spreads_large_ones(spark, monkeypatch):
+    pages = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "doc_key string, page_no int, text string")
+    small = plan(A.assemble_pages(pages))
+    assert small.count("Exchange") == 1 and "partial_collect_list" in small
+    monkeypatch.setattr(A, "SMALL_GROUP", 1)
+    large = plan(A.assemble_pages(pages))
+    assert large.count("Exchange") == 2 and "_run" in large
+
+
+def test_size_gate_reaches_the_file_source(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    from lexloom.sources import files as FS
+    accepted, rejected = FS.accept_files(FS.scan_files(spark, str(tmp_path)))
+    assert "LessThanOrEqual(length,16777216)" in plan(accepted)
+    assert "content" not in plan(rejected)
 
 
 def test_versions_are_reduced_before_the_shuffle(spark):
@@ -71,3 +82,14 @@ def test_nothing_is_broadcast_without_a_size_check(spark):
     from pathlib import Path
     source = "".join(p.read_text() for p in Path(S.__file__).parents[1].rglob("*.py"))
     assert "broadcast(" not in source and "crossJoin" not in source and "localCheckpoint" not in source
+
+
+def test_rendering_grows_with_the_blocks_only(spark, tmp_path):
+    """Work per block must not repeat work per document."""
+    import time
+    text = "Căn cứ a\n" + "Điều 1. Tên\nnội dung\n" * 20000
+    spark.createDataFrame([(1, text)], "doc_key int, text string").write.parquet(str(tmp_path / "t"))
+    begin = time.time()
+    df = M.structure_documents(spark.read.parquet(str(tmp_path / "t")))
+    assert df.select(F.length("metadata")).first()[0] > 20000 * 100
+    assert time.time() - begin < 60
