@@ -63,9 +63,9 @@ def strip_asterisks(c: Column) -> Column:
 def fold(c: Column) -> Column:
     """Accent-free lower case with single spaces; `đ` has no decomposition and
     stays."""
-    bare = decompose_and_drop_marks(c)
+    bare = F.replace(decompose_and_drop_marks(c), F.lit("\n"), F.lit(" "))
     # Only runs that change are matched; a single space is left alone.
-    other_space = r"[\s\x1c-\x1f&&[^ ]]"
+    other_space = r"[\x00-\x1f\x7f-\x{10FFFF}&&[\s\x1c-\x1f]]"
     return F.regexp_replace(F.lower(bare), rf"(?U){other_space}{SPACE}*+| {SPACE}++", " ")
 
 

@@ -20,9 +20,17 @@ ALWAYS_COMPOSED = [(0x0000, 0x02FF), (0x1E00, 0x1EFF), (0x2002, 0x20CF), (0x2100
 FOLDABLE = [(0x0000, 0x036F), (0x1E00, 0x1EFF), (0x2010, 0x2027)]
 
 
-def _outside(ranges) -> str:
-    body = "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in ranges)
-    return f"[^{body}]"
+def _ranges(ranges) -> str:
+    return "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in ranges)
+
+
+def _outside(ranges, also: str = "") -> str:
+    """Class of the characters outside the ranges, or in `also`. The first range
+    starts at zero and holds most text, so the class tests against its end
+    first. `also` must lie above ASCII, where that test then begins."""
+    first = 0x80 if also else ranges[0][1] + 1
+    extra = f"[{also}]" if also else ""
+    return rf"[\x{{{first:X}}}-\x{{10FFFF}}&&[[^{_ranges(ranges)}]{extra}]]"
 
 
 def _normalizer(form: str, drop_marks: bool):
@@ -75,8 +83,7 @@ def decompose_and_drop_marks(c: Column) -> Column:
     table, or with ones that expand to several letters, through the UDF."""
     src, dst, dropped, other = _fold_table()
     expanding = "".join(rf"\x{{{ord(ch):X}}}" for ch in other)
-    outside = _outside(FOLDABLE)[2:-1]
-    hard = c.rlike(f"[^{outside}]|[{expanding}]")
+    hard = c.rlike(_outside(FOLDABLE, expanding))
     simple = F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, src + dropped, dst)).otherwise(c)
     via_udf = _normalizer("NFKD", True)(F.when(hard, c))
     return F.coalesce(via_udf, simple)
