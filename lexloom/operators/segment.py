@@ -306,6 +306,49 @@ def source_label(s: Column) -> Column:
                       F.lit(fv.SOURCE_UNKNOWN))
 
 
+SECTION_FIELDS = ["section_type", "article_num", "khoan_num", "clause_num", "subsection_num",
+                  "point_letter", "phu_luc_num", "named_source", "content"]
+CLAUSE_OF_ARTICLE = r"(?sU)Khoản\s+(\d+)[^\n]*?Điều\s+(\d+)"
+
+
+def label_sections(df: DataFrame, name: str = "source") -> DataFrame:
+    """Add the source label to a table of sections of any type, also of types
+    that other splitters make (subsections, points, chapters, appendices).
+    Fields that the table lacks count as empty."""
+    f = {c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
+         for c in SECTION_FIELDS}
+    kind = f["section_type"]
+    article = F.concat(F.lit(fv.SOURCE_ARTICLE + " "), f["article_num"])
+
+    def clause(number):
+        return F.concat(article, F.lit(f", {fv.SOURCE_CLAUSE} "), number)
+
+    def if_given(number):
+        return F.when(number == "", article).otherwise(clause(number))
+
+    named = F.regexp_replace(F.regexp_extract(f["named_source"], CLAUSE_OF_ARTICLE, 0),
+                             rf"\A{CLAUSE_OF_ARTICLE}\z",
+                             f"{fv.SOURCE_ARTICLE} $2, {fv.SOURCE_CLAUSE} $1")
+    point_clause = F.when(f["clause_num"] == "", f["khoan_num"]).otherwise(f["clause_num"])
+    by_type = (
+        F.when(kind == "legal_basis", fv.SOURCE_BASIS)
+        .when(kind == "quyet_dinh", fv.SOURCE_DECISION)
+        .when(kind == "article", article)
+        .when(kind == "khoan", clause(f["khoan_num"]))
+        .when(kind == "subsection", clause(f["subsection_num"]))
+        .when(kind == "khoan_number_clause",
+              F.when(named != "", named).otherwise(clause(f["khoan_num"])))
+        .when(kind == "point", F.concat(clause(point_clause), F.lit(f", {fv.SOURCE_POINT} "),
+                                        f["point_letter"]))
+        .when(kind.isin("nhu_sau_clause", "nhu_sau_article", "quy_trinh_clause",
+                        "quy_trinh_article"), if_given(f["clause_num"]))
+        .when(kind == "chuong", f["named_source"])
+        .when(kind == "phu_luc", F.concat(F.lit(fv.SOURCE_APPENDIX + " "), f["phu_luc_num"])))
+    guess = X.source_from_content(f["content"])
+    return df.withColumn(name, F.coalesce(F.nullif(by_type, F.lit("")), F.nullif(guess, F.lit("")),
+                                          F.lit(fv.SOURCE_UNKNOWN)))
+
+
 def with_sections(df: DataFrame, text: str = "text",
                   recipients: str = SPAN_RECIPIENTS) -> DataFrame:
     """One row per document with `doc_id`, `date`, `department` and the array

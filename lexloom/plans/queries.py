@@ -228,6 +228,61 @@ def structure_documents(spark, sf_dir):
     return M.structure_documents(legal_corpus(spark, sf_dir))
 
 
+@query(f"""WITH {O.SECTIONS} SELECT k AS doc_key, concat({O._HEADER},
+  'QUYẾT ĐỊNH ban hành các quy định liên quan đến ', keyword, {O.NL}) AS markdown
+  FROM blk WHERE section_type = 'quyet_dinh'""")
+def decision_headings(spark, sf_dir):
+    return M.decision_headings(legal_corpus(spark, sf_dir))
+
+
+@query(f"""WITH {O.RENDERED} SELECT concat('order-', k) AS document_id, md5(string_agg(concat(
+    CASE WHEN block_no = 1 THEN '' WHEN source LIKE 'Điều%' THEN concat(repeat({O.NL}, 3), '---', repeat({O.NL}, 2))
+    ELSE concat(repeat({O.NL}, 2), '---', repeat({O.NL}, 2)) END, markdown), '' ORDER BY block_no)) AS metadata_md5,
+    '2024-06-01' AS updated FROM md GROUP BY k""")
+def write_back(spark, sf_dir):
+    """Structured Markdown written back to the documents of the table."""
+    at = F.lit("2024-01-01").cast("timestamp")
+    base = D.align_schema(legal_corpus(spark, sf_dir).select(
+        F.concat(F.lit("order-"), "doc_key").alias("document_id"), "text",
+        at.alias("created_at"), at.alias("updated_at")))
+    made = M.structure_documents(base.select("document_id", "text"), key="document_id")
+    updates = made.withColumn("now", F.lit("2024-06-01").cast("timestamp"))
+    return D.update_metadata(base, updates).select(
+        "document_id", F.md5("metadata").alias("metadata_md5"),
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+_KIND = """case l_linenumber when 1 then 'subsection' when 2 then 'point' when 3 then 'nhu_sau_clause'
+  when 4 then 'khoan_number_clause' when 5 then 'chuong' when 6 then 'phu_luc' else 'other' end"""
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber
+  WHEN 1 THEN concat('Điều ', l_partkey, ', Khoản ', l_suppkey)
+  WHEN 2 THEN concat('Điều ', l_partkey, ', Khoản ', l_suppkey, ', Điểm ', lower(l_returnflag))
+  WHEN 3 THEN CASE l_linestatus WHEN 'F' THEN concat('Điều ', l_partkey, ', Khoản ', l_suppkey)
+    ELSE concat('Điều ', l_partkey) END
+  WHEN 4 THEN concat('Điều ', l_partkey, ', Khoản ', l_suppkey)
+  WHEN 5 THEN concat('Chương ', l_suppkey) WHEN 6 THEN concat('Phụ lục ', l_suppkey)
+  ELSE CASE l_linestatus WHEN 'F' THEN concat('Phụ lục ', l_partkey) ELSE 'Unknown' END END AS source FROM lineitem""")
+def source_labels(spark, sf_dir):
+    """Labels of sections of the types that the splitter itself never makes."""
+    num = lambda c: F.col(c).cast("string")
+    has_clause = (F.col("l_linenumber") != 3) | (F.col("l_linestatus") == "F")
+    sections = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.expr(_KIND).alias("section_type"), num("l_partkey").alias("article_num"),
+        F.when(has_clause, num("l_suppkey")).alias("clause_num"),
+        num("l_suppkey").alias("subsection_num"), F.lower("l_returnflag").alias("point_letter"),
+        num("l_suppkey").alias("phu_luc_num"),
+        F.when(F.col("l_linenumber") == 4, F.concat(F.lit("Khoản "), "l_suppkey", F.lit(" của Điều "),
+                                                    "l_partkey"))
+        .otherwise(F.concat(F.lit("Chương "), "l_suppkey")).alias("named_source"),
+        F.when(F.col("l_linestatus") == "F", F.concat(F.lit("xem phụ lục "), "l_partkey"))
+        .otherwise("văn bản").alias("content"))
+    return S.label_sections(sections).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                             "source")
+
+
 @query(f"""WITH {O.SECTIONS} SELECT k AS doc_key, block_no, CAST(to_json({{'metadata': {{'doc_id': doc_id,
   'department': department, 'type_data': 'markdown', 'category': category, 'date': date,
   'source': source}}, 'content': content}}) AS VARCHAR) AS json FROM blk""")

@@ -234,3 +234,16 @@ def test_block_stats(docs):
     df = docs("Căn cứ a\nQUYẾT ĐỊNH:\nx\nĐiều 1. y")
     assert rows(A.block_stats(S.split_documents(df)), "n_blocks", "n_legal_basis", "n_quyet_dinh",
                 "n_article", "n_khoan") == [(3, 1, 1, 1, 0)]
+
+
+def test_labels_of_other_section_types(spark):
+    df = spark.createDataFrame(
+        [("point", "3", "2", "", "a", "", ""), ("point", "3", "2", "9", "b", "", ""),
+         ("khoan_number_clause", "3", "2", "", "", "Khoản 3 của Điều 8", ""),
+         ("khoan_number_clause", "3", "2", "", "", "", ""), ("quy_trinh_article", "3", "", "", "", "", ""),
+         ("chuong", "", "", "", "", "Chương II", ""), ("chuong", "", "", "", "", "", "điều 4"), ("x", "", "", "", "", "", "")],
+        "section_type string, article_num string, khoan_num string, clause_num string, point_letter string,"
+        " named_source string, content string")
+    assert [r.source for r in S.label_sections(df).collect()] == [
+        "Điều 3, Khoản 2, Điểm a", "Điều 3, Khoản 9, Điểm b", "Điều 8, Khoản 3", "Điều 3, Khoản 2", "Điều 3",
+        "Chương II", "Điều 4", "Unknown"]
