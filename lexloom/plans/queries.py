@@ -126,7 +126,6 @@ def block_stats(spark, sf_dir):
     return A.block_stats(S.split_documents(legal_corpus(spark, sf_dir)))
 
 
-_H = r"[^\S\n]"
 _BOLD_STOP = r"^\s*\*\*(Phụ\s+lục\s+\d|Điều\s+\d|Chương\s+[IVXLC\d])"
 
 
