@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, url_filter
+from . import html_extract, secret_scan, sharding, topk_search, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -56,3 +56,31 @@ def op1_url_filter(spark, sf_dir):
 @query()
 def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS vec
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.vec, c.vec), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""")
+def op3_topk_search(spark, sf_dir):
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op4_secret_scan(spark, sf_dir):
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_html_extraction(spark, sf_dir):
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))

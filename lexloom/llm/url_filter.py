@@ -95,6 +95,8 @@ def match_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
                           none.cast(starts.schema["opened"].dataType).alias("opened"), *key)
     events = points.unionByName(starts, allowMissingColumns=True).unionByName(
         ends, allowMissingColumns=True)
+    # Dealt by piece too: the join above may have dealt the keys by owner alone.
+    events = events.repartition("owner", "piece")
 
     sweep = Window.partitionBy("owner", "piece").orderBy("key", "kind")
     so_far = (Window.unboundedPreceding, Window.currentRow)
