@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, secret_scan, sharding, topk_search, url_filter
+from . import html_extract, packing, secret_scan, sharding, topk_search, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -84,3 +84,13 @@ def op4_secret_scan(spark, sf_dir):
 @query()
 def op8_html_extraction(spark, sf_dir):
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op6_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
