@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, packing, secret_scan, sharding, topk_search, toxicity, url_filter
+from . import (html_extract, jaccard_join, packing, secret_scan, sharding, topk_search, toxicity,
+               url_filter)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -94,3 +95,8 @@ def op6_packing(spark, sf_dir):
 @query()
 def op5_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
