@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (html_extract, jaccard_join, packing, secret_scan, sharding, topk_search, toxicity,
-               url_filter)
+from . import (decontaminate, html_extract, jaccard_join, packing, secret_scan, sharding, topk_search,
+               toxicity, url_filter)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -100,3 +100,8 @@ def op5_toxicity(spark, sf_dir):
 @query()
 def op2_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -15,6 +15,8 @@ WIDTH = 5
 #: Bytes hashed at once; a longer text is cut at separators.
 STRETCH = 1 << 20
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
+#: Lower case, and every other ASCII sign a separator: words without punctuation.
+BARE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15                   # odd, so it has an inverse modulo 2^64
@@ -54,9 +56,10 @@ def _stretch(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(h + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first, end
 
 
-def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Hash, first byte and end byte of each word of a text, and the bytes."""
-    data = text.encode("utf-8", "surrogatepass").translate(LOWER)
+def word_hashes(text: str, table: bytes = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Hash, first byte and end byte of each word of a text, and the bytes, which
+    `table` maps first."""
+    data = text.encode("utf-8", "surrogatepass").translate(table)
     if len(data) <= STRETCH:
         return (*_stretch(data), data)
     parts, at = [], 0
