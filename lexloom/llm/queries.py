@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (decontaminate, html_extract, jaccard_join, packing, secret_scan, sharding, topk_search,
-               toxicity, url_filter)
+               substring_dedup, toxicity, url_filter)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -105,3 +105,8 @@ def op2_jaccard_join(spark, sf_dir):
 @query()
 def op9_decontamination(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
