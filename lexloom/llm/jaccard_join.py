@@ -15,11 +15,13 @@ other two are verified on the full sets.
    two or more classes. Two sets can only share such tokens.
 3. Class buckets join these into the shared part of each class and cut its prefixes.
    Classes with enough unique tokens drop out: nothing can be similar to them.
-4. Pairs. Classes that share a prefix token are not paired all with all: each is
-   verified against the token's leader, one of a few spread by hash, and links make
-   components. Then, for tokens whose classes are still in different components, the
-   pairs across components are verified. Pairs within a component need no check, and no
-   link between different components is lost.
+4. Links. Classes that share a prefix token are not paired all with all: each is
+   verified against the token's leader, one of a few spread by hash. Links make
+   components; looser ones (COARSE) make clusters, which hold large groups of near
+   copies. What may still link different components is verified in two ways, and no
+   link is lost: pairs that share a prefix token and are in different clusters one by
+   one; members of a cluster with several components block against block, where a task
+   holds two blocks and gives one link for two components that meet.
 """
 from __future__ import annotations
 
@@ -27,16 +29,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import stage, stage_split
 from .components import components
 from .shingles import WIDTH, mix, shingle_set
 
-#: Least similarity in hundredths.
-SIMILAR = 80
+#: Least similarity in hundredths, of links and of clusters.
+SIMILAR, COARSE = 80, 60
+#: Members of a cluster's block, and tokens counted at once in it.
+MEMBERS, COLUMNS = 256, 4096
 #: Tokens of a block, and tokens or returned tokens of a bucket.
-BLOCK, BUCKET = 2_000_000, 4_000_000
+BLOCK, BUCKET = 1_000_000, 3_000_000
 #: A token in so many classes of a block travels as a count.
 FREQUENT = 64
 #: Leaders of a token's classes are the smallest under one of so many hashes.
@@ -277,14 +281,75 @@ def _prefixes(similar: int):
 
 
 def _verified(pairs: DataFrame, found: DataFrame, similar: int) -> DataFrame:
-    """The pairs (u, v) that pass the other two filters and are similar. Unique
-    tokens are in neither list, so shared tokens give the whole intersection."""
+    """The pairs (u, v) that pass the other two filters and are similar, with the size
+    of their intersection. Unique tokens are in neither list, so shared tokens give the
+    whole intersection."""
     side = lambda c: found.select(F.col("class").alias(c), *[
         F.col(x).alias(f"{x}_{c}") for x in ("n", "tokens", "p2", "p3")])
     both = F.size(F.array_intersect("tokens_u", "tokens_v"))
     return (pairs.join(side("u"), "u").join(side("v"), "v")
             .where(F.arrays_overlap("p2_u", "p2_v") & F.arrays_overlap("p3_u", "p3_v"))
-            .where(100 * both >= similar * (F.col("n_u") + F.col("n_v") - both)).select("u", "v"))
+            .select("u", "v", both.alias("both"), (F.col("n_u") + F.col("n_v")).alias("sizes"))
+            .where(_at_least(similar)))
+
+
+def _at_least(similar: int):
+    return 100 * F.col("both") >= similar * (F.col("sizes") - F.col("both"))
+
+
+def _compare(similar: int):
+    def run(key, group):
+        """Two blocks of a cluster: one link for each two components that are similar."""
+        roots, _, root = np.unique(np.array(group["root"].to_pylist(), "S16"), return_index=True,
+                                   return_inverse=True)
+        sizes = group["n"].to_numpy()
+        lists = [np.asarray(t, np.int64) for t in group["tokens"].to_pylist()]
+        owner = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+        tokens, back, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        order = np.argsort(back, kind="stable")
+        order = order[count[back[order]] > 1]
+        back, owner = back[order], owner[order]
+        both = np.zeros((len(lists), len(lists)), np.float32)
+        # Whole numbers below 2^24 in a block of columns, so that sums are exact.
+        for at in range(0, int(back.max(initial=-1)) + 1, COLUMNS):
+            part = slice(*np.searchsorted(back, (at, at + COLUMNS)))
+            if part.start < part.stop:
+                m = np.zeros((len(lists), COLUMNS), np.float32)
+                m[owner[part], back[part] - at] = 1
+                both += m @ m.T
+        either = sizes[:, None] + sizes[None, :] - both
+        i, j = np.nonzero((100 * both >= similar * either) & (root[:, None] < root[None, :]))
+        _, one = np.unique(root[i] * len(roots) + root[j], return_index=True)
+        classes = group["class"].take(pa.array(np.concatenate((i[one], j[one]))))
+        n = len(one)
+        return pa.table({"u": classes.slice(0, n), "v": classes.slice(n, n)})
+    return run
+
+
+def _within_clusters(found: DataFrame, clusters: DataFrame, roots: DataFrame, similar: int) -> DataFrame:
+    """Links (u, v) between components of one cluster. Large components have blocks of
+    their own, which are not held against each other."""
+    placed = (clusters.withColumnRenamed("node", "class").withColumnRenamed("root", "cluster")
+              .join(roots.withColumnRenamed("node", "class"), "class", "left")
+              .withColumn("root", F.coalesce("root", "class")))
+    split = (placed.groupBy("cluster").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+             .where("a <> b").select("cluster"))
+    large = (placed.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n_root"))
+             .withColumn("part", F.when(F.col("n_root") >= MEMBERS, F.col("root")).otherwise(F.unhex(F.lit("")))))
+    parts = large.groupBy("cluster", "part").agg(F.sum("n_root").alias("n_part"))
+    blocks = stage(placed.join(split, "cluster").join(large.drop("n_root"), ["cluster", "root"])
+                   .join(parts, ["cluster", "part"])
+                   .withColumn("i", F.pmod(F.xxhash64("class"), F.ceil(F.col("n_part") / MEMBERS)))
+                   .select("cluster", "class", "root", F.struct("part", "i").alias("block")), "blocks")
+    every = stage(blocks.select("cluster", "block").distinct(), "every_block")
+    one, two = [every.withColumnRenamed("block", c) for c in ("one", "two")]
+    meet = (one.join(two, "cluster").where("one <= two")
+            .where("one.part <> two.part or one.part = unhex('')")
+            .withColumn("meeting", F.struct("cluster", "one", "two"))
+            .select("meeting", "cluster", F.explode(F.array_distinct(F.array("one", "two"))).alias("block")))
+    members = (blocks.join(meet, ["cluster", "block"]).select("meeting", "class", "root")
+               .join(found.select("class", "n", "tokens"), "class"))
+    return members.groupBy("meeting").applyInArrow(_compare(similar), "u binary, v binary")
 
 
 def _links(found: DataFrame, similar: int) -> DataFrame:
@@ -299,40 +364,32 @@ def _links(found: DataFrame, similar: int) -> DataFrame:
         "leaders")
     ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     stars = (posts.join(leaders, "token").where(F.col("class") != F.col("leader"))
-             .where(n_close(F.col("n"), F.col("leader_n")))
              .select(*ordered(F.col("class"), F.col("leader"))).distinct())
-    links = stage(_verified(stars, found, similar), "stars")
+    near = stage(_verified(stars, found, min(COARSE, similar)), "stars")
+    links = near.where(_at_least(similar)).select("u", "v")
     roots = stage(components(links), "roots")
+    clusters = stage(components(near.select("u", "v")), "clusters")
 
-    # Tokens whose classes are in more than one component, and pairs across these.
+    # Pairs across clusters, of tokens whose classes are in more than one.
     placed = stage(posts.join(leaders.select("token"), "token")
-                   .join(roots.withColumnRenamed("node", "class"), "class", "left")
-                   .withColumn("root", F.coalesce("root", "class")), "placed")
-    split = (placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+                   .join(clusters.withColumnRenamed("node", "class"), "class", "left")
+                   .withColumn("cluster", F.coalesce("root", "class")).drop("root"), "placed")
+    split = (placed.groupBy("token").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b"))
              .where("a <> b").select("token"))
     mixed = stage(placed.join(split, "token"), "mixed")
-    one, two = [mixed.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("class", "n", "root")])
+    one, two = [mixed.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("class", "n", "cluster")])
                 for i in (1, 2)]
-    across = (one.join(two, "token").where("root1 < root2").where(n_close(F.col("n1"), F.col("n2")))
-              .select(*ordered(F.col("class1"), F.col("class2"))).distinct()
-              .join(stars, ["u", "v"], "left_anti"))
-    more = stage(_verified(across, found, similar), "across")
+    across = (one.join(two, "token").where("cluster1 < cluster2").where(n_close(F.col("n1"), F.col("n2")))
+              .select(*ordered(F.col("class1"), F.col("class2"))).distinct())
+    more = stage(_verified(across, found, similar).select("u", "v").unionByName(
+        _within_clusters(found, clusters, roots, similar)), "more")
     if more.isEmpty():
         return roots
     return components(links.unionByName(more))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       similar: int = SIMILAR, width: int = WIDTH) -> DataFrame:
-    """(id, n_shingles, component_id), one row for each document.
-
-    A document's set: its distinct shingles of `width` words; with fewer words the
-    whole sequence as one; without words or text empty, and linked with nothing. Two
-    documents link when 100 * intersection >= similar * union. component_id is the
-    smallest id that links reach, the document's own included. Repeated rows and
-    equal texts are in one component; null ids are never the smallest, and stay null
-    where a component has no other. Other columns, whatever their names, are not read.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, similar: int, width: int):
+    """(id, class) of each row, and (class, root, component_id) of each class."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = ROWS.format(id=kind)
@@ -350,7 +407,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = (own.groupBy("class").agg(F.min("id").alias("least")).join(roots, "class", "left")
                 .withColumn("root", F.coalesce("root", "class")))
     by_root = stage(smallest.groupBy("root").agg(F.min("least").alias("component_id")), "by_root")
-    placed = stage(smallest.select("class", "root").join(by_root, "root").drop("root"), "placed")
+    return own, stage(smallest.select("class", "root").join(by_root, "root"), "placed")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       similar: int = SIMILAR, width: int = WIDTH) -> DataFrame:
+    """(id, n_shingles, component_id), one row for each document.
+
+    A document's set: its distinct shingles of `width` words; with fewer words the
+    whole sequence as one; without words or text empty, and linked with nothing. Two
+    documents link when 100 * intersection >= similar * union. component_id is the
+    smallest id that links reach, the document's own included. Repeated rows and
+    equal texts are in one component; null ids are never the smallest, and stay null
+    where a component has no other. Other columns, whatever their names, are not read.
+    """
+    own, placed = _classes(docs, id_col, text_col, similar, width)
     # The last four bytes of the class are the size of the set; 0: linked with nothing.
     size = F.conv(F.hex(F.substring("class", 13, 4)), 16, 10).cast("bigint")
     return (own.join(placed, "class")
@@ -358,15 +429,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     F.when(size == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _with_class(text_col: str, width: int):
+    def run(batches):
+        for batch in batches:
+            keys = [class_key(shingle_set(t or "", width)) for t in batch[text_col].to_pylist()]
+            yield batch.append_column("_class", pa.array(keys, pa.binary()))
+    return run
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                similar: int = SIMILAR, width: int = WIDTH) -> DataFrame:
     """The documents, with all columns, that have the smallest id of their component;
-    of repeated ids one row for each text, and of a component without ids one row."""
-    found = stage(jaccard_components(docs, id_col, text_col), "components")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    often = (found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col)
-             .agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-             .select(F.col(id_col).alias("_often")))
-    again = F.col(id_col).eqNullSafe(F.col("_often"))
+    of repeated ids one row for each text. Of a component without ids one row stays;
+    texts without words are linked with nothing and stay."""
+    own, placed = _classes(docs, id_col, text_col, similar, width)
+    empty = F.col("class") == F.lit(EMPTY)
+    found = stage(own.join(placed, "class").select(F.col("id").alias("_id"), F.when(
+        empty, F.col("id")).otherwise(F.col("component_id")).alias("least")).where("_id is not null"), "ids")
+    named = docs.where(F.col(id_col).isNotNull())
+    gone = found.where("_id <> least").select("_id").distinct()
+    kept = named.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    often = (found.where("_id = least").groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select("_id"))
+    again = F.col(id_col) == F.col("_id")
     repeated = kept.join(often, again, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(often, again, "left_anti").unionByName(repeated)
+    once = kept.join(often, again, "left_anti")
+    # Rows without an id, by the class of their text.
+    bare = docs.where(F.col(id_col).isNull())
+    schema = T.StructType([*docs.schema.fields, T.StructField("_class", T.BinaryType())])
+    bare = bare.mapInArrow(_with_class(text_col, width), schema)
+    alone = placed.where("component_id is null").select(F.col("class").alias("_class"), F.col("root").alias("_root"))
+    first = bare.join(alone, "_class").where(F.col("_class") != F.lit(EMPTY)).dropDuplicates(["_root"])
+    wordless = bare.where(F.col("_class") == F.lit(EMPTY))
+    return (once.unionByName(repeated).unionByName(first.select(*docs.columns))
+            .unionByName(wordless.select(*docs.columns)))

@@ -39,6 +39,8 @@ NEAR, FAR, CELLS = 24, 20, 10_000
 #: Words that a chain may grow by at each end beyond its matches: runs that are not
 #: seeds themselves, with room for edits.
 REACH = 400
+#: Bit of a place that starts a repeated run, and a word number beyond any text.
+RUN, END = 1 << 31, 1 << 28
 BLOCK, BUCKET_CHARS = 500_000, 12_000_000
 
 ROWS = ("kind int, bucket long, ids array<{id}>, texts binary, others binary, counts binary, "
@@ -51,7 +53,9 @@ def text_key(text: str, n_words: int) -> bytes:
 
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the kept runs of K words."""
+    """Hashes and places of the kept runs of K words. Of the same run kept again and
+    again, as where one word repeats, only the first stays; RUN marks such places, since
+    a single match of them can stand for a long passage."""
     if len(words) < K:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     h = shingle_hashes(words, K)
@@ -60,7 +64,9 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     else:
         windows = np.lib.stride_tricks.sliding_window_view(h, W)
         at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    return h[at], at
+    again = np.append(False, (h[at][1:] == h[at][:-1]) & (np.diff(at) <= W))
+    marked = at | np.where(np.append(again[1:], False), RUN, 0)
+    return h[at][~again], marked[~again]
 
 
 def stars(h: np.ndarray, owner: np.ndarray, place: np.ndarray):
@@ -284,17 +290,22 @@ def _chain(key, group):
     least = MIN_WORDS - 2 * (K + W)
     out: dict[str, list] = {c.split()[0]: [] for c in CHAINS.split(", ")}
     for s, e in zip(starts.tolist(), ends.tolist()):
-        if xs[e - 1] - xs[s] + K < least:
-            continue
         x, y = xs[s:e], ys[s:e]
+        runs = {int(v) for v in x[(x & y & RUN) > 0] & ~RUN}
+        x, y = x & ~RUN, y & ~RUN
+        if x.max() - x.min() + K < least and not runs:
+            continue
+        by_place = np.lexsort((y, x))
+        x, y = x[by_place], y[by_place]
         new = np.append(True, (np.diff(x) != 0) | (np.diff(y) != 0))
         for chain in chains(diagonals(x[new], y[new])):
             (x0, y0, _), (x1, y1, m) = chain[0], chain[-1]
-            if min(x1 + m - x0, y1 + m - y0) < least:
+            run = bool(runs) and any(x in runs for x, _, _ in chain)
+            if min(x1 + m - x0, y1 + m - y0) < least and not run:
                 continue
             for c, v in (("x", a[which[s]].tobytes()), ("y", b[which[s]].tobytes()),
-                         ("x_low", max(0, x0 - REACH)), ("x_high", x1 + m + REACH),
-                         ("y_low", max(0, y0 - REACH)), ("y_high", y1 + m + REACH),
+                         ("x_low", 0 if run else max(0, x0 - REACH)), ("x_high", END if run else x1 + m + REACH),
+                         ("y_low", 0 if run else max(0, y0 - REACH)), ("y_high", END if run else y1 + m + REACH),
                          ("blocks", np.array(chain, "<i4").tobytes())):
                 out[c].append(v)
     kinds = [pa.binary(), pa.binary(), *[pa.int32()] * 4, pa.binary()]
