@@ -1,11 +1,10 @@
 """Ordered assembly of pieces (pages, paragraphs, blocks) into one text.
 
-A group may hold a third of all rows. The largest group is counted first, from
-the key column alone. If it is small, one shuffle by key joins every text. If
-not, assembly runs in two steps: pieces are first joined within (key, run of
-positions), which spreads one large group over many tasks, and only the joined
-runs are then brought together by key. The text of one document has to fit one
-row, as it does in the input of every other operator here.
+A group may hold a third of all rows. Pieces are first joined within (key, run of
+positions), which spreads one large group over many tasks, and only the joined runs
+are then brought together by key. Callers whose groups are small by nature may ask
+for one step (`run=None`). The text of one document has to fit one row, as it does
+in the input of every other operator here.
 """
 from __future__ import annotations
 
@@ -15,32 +14,15 @@ from ..functions import fixed_values as fv
 from ..functions.text import is_blank, needs_fallback, normalize_text
 
 RUN = 256           # positions joined in the first step
-SMALL_GROUP = 4096  # pieces that one step may join
-
-
-def largest_group(df: DataFrame, key: str) -> int:
-    """Rows of the largest group: counts of the key column, combined on the map
-    side."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
-def choose_run(df: DataFrame, key: str, run):
-    """`run` as given, or for "auto" one step (None) when every group is small."""
-    if run != "auto":
-        return run
-    return None if largest_group(df, key) <= SMALL_GROUP else RUN
 
 
 def ordered_text(df: DataFrame, key: str, position: str, text: Column, separator: str,
-                 order=None, run="auto", name: str = "text") -> DataFrame:
+                 order=None, run: int | None = RUN, name: str = "text") -> DataFrame:
     """One row per key with its texts joined in order; NULL texts are skipped
     and a key with none gives NULL.
 
     `position` is an integer column that the order starts with; `order` adds
-    tie-breakers. `run` is the length of a first-step run, None for one step,
-    or "auto" to decide by the largest group."""
-    run = choose_run(df, key, run)
+    tie-breakers. `run` is the length of a first-step run, None for one step."""
     ties = [F.col(c) for c in (order or [])]
     entry = F.struct(F.col(position).alias("p"), *[c.alias(f"o{i}") for i, c in enumerate(ties)],
                      F.col("_text").alias("t"))
@@ -62,7 +44,7 @@ def ordered_text(df: DataFrame, key: str, position: str, text: Column, separator
 
 def assemble_pages(pages: DataFrame, key: str = "doc_key", page_no: str = "page_no",
                    text: str = "text", skip_blank: bool = False,
-                   run="auto") -> DataFrame:
+                   run: int | None = RUN) -> DataFrame:
     """Pages in order, each under its page heading, as one normalised text.
 
     A page counts when its raw text is not empty; with `skip_blank` (the rule
@@ -71,7 +53,6 @@ def assemble_pages(pages: DataFrame, key: str = "doc_key", page_no: str = "page_
     dropping a control character may have left a letter next to its mark."""
     ready = pages.select(key, page_no, (F.length(text) > 0).alias("_has"),
                          normalize_text(F.col(text)).alias("_n"))
-    run = choose_run(pages, key, run)
     counts = F.col("_has") & ~is_blank(F.col("_n")) if skip_blank else F.col("_has")
     body = F.when(counts, F.concat(F.lit(fv.PAGE_HEADING), F.col(page_no).cast("string"),
                                   F.lit("\n\n"), F.col("_n"), F.lit("\n\n")))
@@ -119,7 +100,7 @@ def choose_text(native: DataFrame, recognised: DataFrame, key: str = "doc_key")
 
 
 def assemble_paragraphs(paras: DataFrame, key: str = "doc_key", para_no: str = "para_no",
-                        text: str = "text", run="auto") -> DataFrame:
+                        text: str = "text", run: int | None = RUN) -> DataFrame:
     """Paragraphs that are not blank, in order, with a blank line between;
     status `no_content` when there are none."""
     kept = F.when(~is_blank(F.col(text)), F.col(text))

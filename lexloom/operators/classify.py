@@ -1,12 +1,14 @@
 """Keyword classification of tables, with fixed rules or rules given as data."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import fixed_values as fv, rules as R
+from ..session import materialize
 
-MAX_INLINE_RULES = 1000
-GRAM = 3
+#: Characters of keywords that one automaton holds; they are collected and broadcast.
+MAX_RULE_CHARS = 4_000_000
 
 
 def classify_documents(df: DataFrame, text: str = "text", rules=None, default=None,
@@ -20,46 +22,54 @@ def classify_documents(df: DataFrame, text: str = "text", rules=None, default=No
 
 def classify_join(df: DataFrame, rules_df: DataFrame, default: str, key: str,
                   text: str = "text", name: str = "label",
-                  max_inline: int = MAX_INLINE_RULES) -> DataFrame:
-    """(key, label) with rules (priority, label, keyword) given as a table: the
-    contained keyword of least priority decides.
+                  max_chars: int = MAX_RULE_CHARS) -> DataFrame:
+    """(key, label), one row per row, with rules (priority, label, keyword) given as a
+    table: the contained keyword of least priority decides, then label, then keyword.
 
-    The number of rules is counted. Up to `max_inline` they become a constant
-    array searched within each row, with no join and no shuffle. Beyond that
-    the rules are joined on character grams: a keyword can only occur where its
-    first characters occur, so texts and rules meet in an equi-join on grams
-    and only real matches go on to the minimum."""
+    The rules become an automaton that reads each text once and finds all keywords,
+    however many there are; there is no join, so keys may repeat or be NULL. Rules are
+    collected in slices of at most `max_chars` characters (or one rule), whose number
+    follows their total length; each slice is one more look at the text."""
     wanted = rules_df.select("priority", "label", F.lower("keyword").alias("keyword")).where(
-        F.length("keyword") > 0)
-    head = wanted.orderBy("priority", "label").limit(max_inline + 1).collect()
-    if len(head) <= max_inline:
-        if not head:
-            return df.select(key, F.lit(default).alias(name))
-        table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"))
-                          for r in head])
-        low = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
-        hits = F.transform(F.array("_low"), lambda t: F.get(
-            F.filter(table, lambda r: F.contains(t, r["keyword"])), F.lit(0))["label"])
-        return low.select(key, F.coalesce(F.get(hits, F.lit(0)), F.lit(default)).alias(name))
-    return _classify_by_grams(df, wanted, default, key, text, name)
+        "priority is not null and label is not null and length(keyword) > 0").distinct()
+    chars = wanted.agg(F.sum(F.length("keyword").cast("long"))).first()[0] or 0
+    n = max(1, -(-chars // max(1, max_chars // 2)))
+    part = F.pmod(F.xxhash64("keyword"), F.lit(n))
+    best = T.StructType([T.StructField("priority", wanted.schema["priority"].dataType),
+                         T.StructField("label", T.StringType()), T.StructField("keyword", T.StringType())])
+    rows = df.select(F.col(key).alias("_key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"),
+                     F.lit(None).cast(best).alias("_best"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    for i in range(n):
+        rules = [tuple(r) for r in wanted.where(part == i).collect()]
+        if rules:
+            spread = df.sparkSession.sparkContext.broadcast(sorted(rules))
+            rows = rows.mapInArrow(_first_rules(spread), schema)
+            rows = materialize(rows) if n > 1 else rows     # one automaton in memory at a time
+    return rows.select(F.col("_key").alias(key), F.coalesce("_best.label", F.lit(default)).alias(name))
 
 
-def _grams(low: Column, size: int) -> Column:
-    """All runs of `size` characters, one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+def _first_rules(spread):
+    """A batch function: the least of `_best` and the rules whose keyword is in `_low`."""
+    def run(batches):
+        import ahocorasick
 
-
-def _classify_by_grams(df, wanted, default, key, text, name) -> DataFrame:
-    low = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
-    rules = wanted.withColumn("_gram", F.substring("keyword", 1, GRAM))
-    grams = F.concat(*[_grams(F.col("_low"), n) for n in range(1, GRAM + 1)])
-    # Grams travel without the text; it is joined back for the candidates only.
-    candidates = low.select(key, F.explode(grams).alias("_gram")).join(rules, "_gram")
-    met = (candidates.select(key, "priority", "label", "keyword").join(low, key)
-           .where(F.contains(F.col("_low"), F.col("keyword"))))
-    best = met.groupBy(key).agg(F.min(F.struct("priority", "label")).alias("_b"))
-    return (low.select(key).join(best, key, "left")
-            .select(key, F.coalesce("_b.label", F.lit(default)).alias(name)))
+        rules = spread.value
+        automaton = ahocorasick.Automaton()
+        for rank in range(len(rules) - 1, -1, -1):          # of equal keywords the first rule stays
+            automaton.add_word(rules[rank][2], rank)
+        automaton.make_automaton()
+        for batch in batches:
+            best = []
+            for text, old in zip(batch["_low"].to_pylist(), batch["_best"].to_pylist()):
+                rank = min((r for _, r in automaton.iter(text)), default=None)
+                new = None if rank is None else dict(zip(("priority", "label", "keyword"), rules[rank]))
+                both = [b for b in (old, new) if b]
+                best.append(min(both, key=lambda b: tuple(b.values())) if both else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch["_key"], batch["_low"], pa.array(best, batch.schema.field("_best").type)],
+                ["_key", "_low", "_best"])
+    return run
 
 
 def label_counts(labelled: DataFrame, labels, name: str = "label") -> DataFrame:

@@ -1,12 +1,14 @@
 """The document table: upsert, update, lookup, listing, delete, schema.
 
-Every operator maps tables to tables. Versions of one document are reduced on
-the map side before the shuffle, so an id with very many versions is no hot
-key.
+Every operator maps tables to tables. Versions of one document are reduced to
+key, order and a hash on the map side before the shuffle; only the winners' rows
+travel whole, so an id with very many versions is no hot key.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("document_id", T.StringType(), False),
@@ -20,14 +22,20 @@ DOCUMENT_SCHEMA = T.StructType([
 
 
 def latest_versions(df: DataFrame, key: str = "document_id", order=("updated_at",)) -> DataFrame:
-    """The last row per key by the order columns. All columns ride in one
-    struct, compared by the order columns first; the maximum is partial before
-    the shuffle."""
+    """The last row per key by the order columns; equal ones by a hash of the row.
+
+    The winning order is found first, without the rows' other columns, by a maximum
+    that is partial before the shuffle. The rows then meet it by key, order and hash
+    together, which spreads the versions of one key. Equal rows count once."""
     rest = [c for c in df.columns if c != key and c not in order]
-    packed = F.struct(*order, *rest)
-    best = df.groupBy(key).agg(F.max(packed).alias("_v"))
-    return best.select(*[F.col(key) if c == key else F.col(f"_v.{c}").alias(c)
-                         for c in df.columns])
+    hashed = df.withColumn("_h", F.xxhash64(*rest) if rest else F.lit(0).cast("long"))
+    best = (hashed.groupBy(key).agg(F.max(F.struct(*order, "_h")).alias("_b"))
+            .select(F.col(key).alias("_k"), *[F.col(f"_b.{c}").alias(f"_b_{c}") for c in (*order, "_h")]))
+    same = [F.col(key).eqNullSafe(F.col("_k"))] + [
+        F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in (*order, "_h")]
+    won = hashed.join(best, reduce(lambda a, b: a & b, same), "left_semi")
+    one = Window.partitionBy(key).orderBy("_h")
+    return won.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*df.columns)
 
 
 def upsert_documents(base: DataFrame, incoming: DataFrame, key: str = "document_id",

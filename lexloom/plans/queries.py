@@ -1,7 +1,6 @@
 """Registered queries and their expected results as DuckDB SQL."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import extract as X, fixed_values as fv, rules as R, text as T
 from ..operators import (assemble as A, classify as C, lookups as L, render as M, segment as S,
                          store as D)
-from ..session import shared_folder
+from ..session import stage_folder
 from ..sources import files as FS
 from ..streaming import ingest
 from . import oracle as O
@@ -35,10 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder of the cluster; a
-    temporary one where none is set, as in tests."""
-    shared = shared_folder(spark)
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
+    """A new folder below the shared checkpoint folder of the cluster."""
+    return f"{stage_folder(spark)}/{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------------------
@@ -177,8 +174,12 @@ def keywords(spark, sf_dir):
 
 
 def _first_words(batches):
+    """Answers some titles twice, some with nothing and some not at all."""
     for batch in batches:
-        yield batch.assign(keyword=[" ".join(t.split()[:fv.KEYWORD_WORDS]) for t in batch["title"]])
+        batch = batch[batch["title"].str.len() % 4 > 0]
+        words = [" ".join(t.split()[:fv.KEYWORD_WORDS]) for t in batch["title"]]
+        yield batch.assign(keyword=words)
+        yield batch.assign(keyword=[w if len(w) % 2 else None for w in words])
 
 
 @query(f"WITH {O.DOC} SELECT k AS doc_key, title, keyword FROM doc")
@@ -237,18 +238,60 @@ def decision_headings(spark, sf_dir):
 @query(f"""WITH {O.RENDERED} SELECT concat('order-', k) AS document_id, md5(string_agg(concat(
     CASE WHEN block_no = 1 THEN '' WHEN source LIKE 'Điều%' THEN concat(repeat({O.NL}, 3), '---', repeat({O.NL}, 2))
     ELSE concat(repeat({O.NL}, 2), '---', repeat({O.NL}, 2)) END, markdown), '' ORDER BY block_no)) AS metadata_md5,
-    '2024-06-01' AS updated FROM md GROUP BY k""")
+    '2024-06-01' AS updated FROM md GROUP BY k
+  UNION ALL SELECT concat('blank-', doc_id), md5('keep'), '2024-01-01' FROM labels""")
 def write_back(spark, sf_dir):
-    """Structured Markdown written back to the documents of the table."""
+    """Structured Markdown written back to all documents of the table; blank ones
+    keep what they have."""
+    return _written(L.rebuild_metadata(_to_structure(spark, sf_dir), "2024-06-01"))
+
+
+def _to_structure(spark, sf_dir):
+    """The legal texts as stored documents, and blank ones with old metadata."""
     at = F.lit("2024-01-01").cast("timestamp")
-    base = D.align_schema(legal_corpus(spark, sf_dir).select(
-        F.concat(F.lit("order-"), "doc_key").alias("document_id"), "text",
-        at.alias("created_at"), at.alias("updated_at")))
-    made = M.structure_documents(base.select("document_id", "text"), key="document_id")
-    updates = made.withColumn("now", F.lit("2024-06-01").cast("timestamp"))
-    return D.update_metadata(base, updates).select(
-        "document_id", F.md5("metadata").alias("metadata_md5"),
-        F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+    legal = legal_corpus(spark, sf_dir).select(F.concat(F.lit("order-"), "doc_key").alias("document_id"), "text")
+    blank = table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("blank-"), "doc_id").alias("document_id"), F.lit(" \n").alias("text"),
+        F.lit("keep").alias("metadata"))
+    rows = legal.unionByName(blank, allowMissingColumns=True)
+    return D.align_schema(rows.withColumn("created_at", at).withColumn("updated_at", at))
+
+
+def _written(docs):
+    return docs.select("document_id", F.md5("metadata").alias("metadata_md5"),
+                       F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+def _to_generate(spark, sf_dir):
+    """Requests: every third legal text twice, blank documents, unknown ids, no ids."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    third = orders.where("k % 3 = 0").select(F.concat(F.lit("order-"), "k").alias("document_id"))
+    lost = orders.where("k % 100 = 1").select(F.concat(F.lit("lost-"), "k").alias("document_id"))
+    blank = table(spark, sf_dir, "labels").select(F.concat(F.lit("blank-"), "doc_id").alias("document_id"))
+    none = lost.select(F.lit("").alias("document_id"))
+    return third.unionByName(third).unionByName(lost).unionByName(blank).unionByName(none)
+
+
+@query(f"""WITH {O.RENDERED}, made AS (SELECT k, md5(string_agg(concat(
+    CASE WHEN block_no = 1 THEN '' WHEN source LIKE 'Điều%' THEN concat(repeat({O.NL}, 3), '---', repeat({O.NL}, 2))
+    ELSE concat(repeat({O.NL}, 2), '---', repeat({O.NL}, 2)) END, markdown), '' ORDER BY block_no)) AS m
+  FROM md GROUP BY k)
+  SELECT concat('order-', k) AS document_id, CASE WHEN k % 3 = 0 THEN m END AS metadata_md5,
+    CASE WHEN k % 3 = 0 THEN '2024-06-01' ELSE '2024-01-01' END AS updated FROM made
+  UNION ALL SELECT concat('blank-', doc_id), md5('keep'), '2024-01-01' FROM labels""")
+def generate_metadata(spark, sf_dir):
+    """Request, document, structure and update in one."""
+    return _written(L.generate_metadata(_to_generate(spark, sf_dir), _to_structure(spark, sf_dir),
+                                        "2024-06-01")[0])
+
+
+@query("""SELECT concat('order-', o_orderkey) AS document_id, 'ok' AS status
+    FROM orders, (SELECT unnest([1, 2])) WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT concat('lost-', o_orderkey), 'not_found' FROM orders WHERE o_orderkey % 100 = 1
+  UNION ALL SELECT '', 'missing_id' FROM orders WHERE o_orderkey % 100 = 1
+  UNION ALL SELECT concat('blank-', doc_id), 'empty' FROM labels""")
+def generate_metadata_outcome(spark, sf_dir):
+    return L.generate_metadata(_to_generate(spark, sf_dir), _to_structure(spark, sf_dir), "2024-06-01")[1]
 
 
 _KIND = """case l_linenumber when 1 then 'subsection' when 2 then 'point' when 3 then 'nhu_sau_clause'
@@ -390,9 +433,25 @@ def classify_rule_join(spark, sf_dir):
 
 @query(f"SELECT doc_id, {_DEMO} AS label FROM documents")
 def classify_rule_grams(spark, sf_dir):
-    """The path for rule tables too large to inline."""
+    """The same with the rules in several slices."""
     return C.classify_join(table(spark, sf_dir, "documents"), _demo_rules(spark), "other", "doc_id",
-                           max_inline=0)
+                           max_chars=60)
+
+
+@query("""WITH rules AS (SELECT doc_id AS priority, source AS label, lower(substr(text, 1, 9)) AS keyword
+    FROM documents WHERE doc_id % 2 = 0 AND length(text) >= 9),
+  keyed AS (SELECT row_number() OVER () AS r, CASE WHEN lang = 'de' THEN NULL ELSE doc_id % 50 END AS k,
+    lower(text) AS low FROM documents),
+  best AS (SELECT r, arg_min(label, priority) AS label FROM keyed JOIN rules ON contains(low, keyword) GROUP BY r)
+  SELECT k, coalesce(label, 'none') AS label FROM keyed LEFT JOIN best USING (r)""")
+def classify_rule_many(spark, sf_dir):
+    """As many rules as half of the documents, keys that repeat or are NULL."""
+    docs = table(spark, sf_dir, "documents")
+    rules = docs.where("doc_id % 2 = 0 and length(text) >= 9").select(
+        F.col("doc_id").alias("priority"), F.col("source").alias("label"),
+        F.substring("text", 1, 9).alias("keyword"))
+    keyed = docs.select(F.when(F.col("lang") != "de", F.col("doc_id") % 50).alias("k"), "text")
+    return C.classify_join(keyed, rules, "none", "k")
 
 
 @query(f"""WITH l AS (SELECT {_DEMO} AS label FROM documents),
@@ -461,15 +520,21 @@ def pick_candidate(spark, sf_dir):
     return A.pick_candidate(_turns(spark, sf_dir), "doc_key", rank="page_no")
 
 
-@query(f"""WITH {_TURNS}, n AS (SELECT doc_key, text FROM turns WHERE page_no = 1),
-  r AS (SELECT doc_key, text AS rec FROM turns WHERE page_no = 2)
+@query("""WITH n AS (SELECT conv_id AS doc_key, string_agg(text, chr(10) ORDER BY turn) AS text
+    FROM conversations WHERE role = 'user' AND conv_id % 2 = 0 OR turn = 0 GROUP BY conv_id),
+  r AS (SELECT conv_id AS doc_key, string_agg(text, chr(10) ORDER BY turn) AS rec
+    FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
   SELECT doc_key, CASE WHEN length(trim(text)) >= 50 THEN text WHEN trim(coalesce(rec, '')) <> '' THEN rec
     ELSE '' END AS text, CASE WHEN length(trim(text)) >= 50 THEN 'native'
     WHEN trim(coalesce(rec, '')) <> '' THEN 'recognised' ELSE 'failed' END AS status
   FROM n LEFT JOIN r USING (doc_key)""")
 def choose_text(spark, sf_dir):
-    turns = _turns(spark, sf_dir)
-    return A.choose_text(turns.where("page_no = 1"), turns.where("page_no = 2"))
+    """Turns of the user as native text, those of the assistant as recognised text;
+    of every second conversation the first turn alone is native."""
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "doc_key")
+    joined = lambda rows: A.ordered_text(rows, "doc_key", "turn", F.col("text"), "\n")
+    native = turns.where("role = 'user' and doc_key % 2 = 0 or turn = 0")
+    return A.choose_text(joined(native), joined(turns.where("role = 'assistant'")))
 
 
 @query(f"""WITH {_TURNS} SELECT doc_key,
@@ -553,7 +618,8 @@ def lookup(spark, sf_dir):
 
 @query(f"WITH {_STORED} SELECT {_DOC_COLUMNS} FROM stored ORDER BY stored.created_at DESC, document_id")
 def list_newest(spark, sf_dir):
-    return _document_columns(D.list_documents(_stored(spark, sf_dir)))
+    # The texts are hashed before the sort, which then carries short rows.
+    return D.list_documents(_document_columns(_stored(spark, sf_dir)))
 
 
 def _delete_ids(spark, sf_dir):
@@ -673,13 +739,14 @@ _EXT = "case lang when 'en' then '.TXT' when 'de' then '.md' when 'fr' then '.pd
 _PATH = f"concat('/in/', source, '/', doc_id, {_EXT})"
 
 
-def _as_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: German ones in Latin-1, the others in UTF-8."""
+def _as_files(docs: DataFrame, german: str = "ISO-8859-1") -> DataFrame:
+    """Documents as files: German ones in Latin-1 unless told otherwise, the others
+    in UTF-8."""
     return docs.select(
         F.expr(_PATH).alias("path"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("modificationTime"),
         F.col("n_chars").alias("length"),
-        F.when(F.col("lang") == "de", F.encode("text", "ISO-8859-1"))
+        F.when(F.col("lang") == "de", F.encode("text", german))
         .otherwise(F.encode("text", "UTF-8")).alias("content"))
 
 
@@ -693,10 +760,10 @@ def accept_files(spark, sf_dir):
 
 @query(f"""SELECT {_PATH} AS path, sha256(concat({_PATH}, '|', sha256(encode(text)))) AS document_id,
   concat(doc_id, {_EXT}) AS filename, concat(strftime(make_timestamp((1704067200 + doc_id) * 1000000),
-  '%Y%m%d_%H%M%S'), '_', doc_id, {_EXT}) AS stored_name FROM documents WHERE lang <> 'de'""")
+  '%Y%m%d_%H%M%S'), '_', doc_id, {_EXT}) AS stored_name FROM documents""")
 def assign_keys(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("lang") != "de")
-    return FS.assign_keys(_as_files(docs)).select("path", "document_id", "filename", "stored_name")
+    docs = table(spark, sf_dir, "documents")
+    return FS.assign_keys(_as_files(docs, "UTF-8")).select("path", "document_id", "filename", "stored_name")
 
 
 @query(f"""SELECT {_PATH} AS path, CASE WHEN lang IN ('en', 'de') THEN text END AS text,
@@ -707,16 +774,18 @@ def read_text_files(spark, sf_dir):
     return FS.extract_text(accepted).select("path", "text", "status")
 
 
-@query(f"""SELECT concat(doc_id, {_EXT}) AS filename, CASE WHEN lang IN ('en', 'de')
-  THEN {_NORMAL.format('text')} END AS text FROM documents WHERE lang <> 'es'""")
+@query(f"""SELECT concat(doc_id, {_EXT}) AS filename, CASE WHEN lang IN ('en', 'de') AND n_chars <= 5000
+  THEN {_NORMAL.format('text')} END AS text, CASE WHEN lang = 'es' THEN 'unsupported_extension'
+  WHEN n_chars > 5000 THEN 'too_large' WHEN lang = 'fr' THEN 'needs_parser' ELSE 'ok' END AS status FROM documents""")
 def stream_ingest(spark, sf_dir):
-    """The documents as a stream of arriving files, ingested to the end and
-    read back from the store."""
+    """The documents as a stream of arriving files, ingested to the end, delivered
+    again by a second stream, compacted, and read back from the store."""
     folder = work_folder(spark)
     schema = table(spark, sf_dir, "documents").schema
-    arriving = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-                .parquet(sf_dir))
-    accepted, _ = FS.accept_files(_as_files(arriving))
-    ingest.start_upserts(FS.to_documents(accepted), f"{folder}/store", f"{folder}/state",
-                         buckets=8).awaitTermination()
-    return ingest.read_store(spark, f"{folder}/store").select("filename", "text")
+    for again in ("first", "second"):
+        arriving = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+                    .parquet(sf_dir))
+        ingest.start_upserts(FS.file_outcomes(_as_files(arriving), max_bytes=5000), f"{folder}/store",
+                             f"{folder}/{again}").awaitTermination()
+    ingest.compact_store(spark, f"{folder}/store")
+    return ingest.read_store(spark, f"{folder}/store").select("filename", "text", "status")

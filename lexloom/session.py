@@ -28,12 +28,24 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables. A temporary folder stands in for
+    it where driver and executors are one process; a cluster must name one, since
+    each of its machines would write to its own disk."""
+    shared = shared_folder(spark)
+    if shared:
+        return shared
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder (master is {master})")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a table once and cut its lineage at a reliable checkpoint in the
     cluster's shared folder; where none is named, as in tests, in a temporary
     one."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            shared_folder(spark) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(stage_folder(spark))
     return df.checkpoint()

@@ -31,12 +31,14 @@ def accept_files(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES):
 
 def assign_keys(files: DataFrame) -> DataFrame:
     """Add `document_id`, `filename` and `stored_name`. The id is a hash of
-    path and content, so a file delivered twice keeps its id."""
+    path and content, so a file delivered twice keeps its id. The time in the
+    stored name is UTC, whatever the session's time zone."""
     name = F.substring_index("path", "/", -1)
+    utc = F.to_utc_timestamp("modificationTime", F.current_timezone())
     digest = F.sha2(F.concat_ws("|", "path", F.sha2("content", 256)), 256)
     return (files.withColumn("document_id", digest).withColumn("filename", name)
             .withColumn("stored_name", F.concat_ws(
-                "_", F.date_format("modificationTime", fv.STORED_NAME_TIME_FORMAT), name)))
+                "_", F.date_format(utc, fv.STORED_NAME_TIME_FORMAT), name)))
 
 
 def decode_text(content: Column) -> Column:
@@ -55,22 +57,46 @@ def extract_text(files: DataFrame) -> DataFrame:
             .withColumn("status", F.when(is_text, "ok").otherwise("needs_parser")))
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, ...) of the text files under a folder."""
-    accepted, _ = accept_files(scan_files(spark, path, "*.{txt,md,markdown,TXT,MD,MARKDOWN}"))
-    return extract_text(accepted).drop("content")
+def read_text_files(spark: SparkSession, path: str, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
+    """(path, text, ...) of the text files under a folder, in any mixture of upper
+    and lower case in their extensions. `unread_files` has all the others."""
+    accepted, _ = accept_files(scan_files(spark, path), max_bytes)
+    return extract_text(accepted).where(F.col("extension").isin(fv.TEXT_EXTENSIONS)).drop("content")
+
+
+def unread_files(spark: SparkSession, path: str, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
+    """(path, length, reason) of the files under a folder that `read_text_files`
+    leaves out: unsupported, too large, or in need of a parser."""
+    accepted, rejected = accept_files(scan_files(spark, path), max_bytes)
+    parsed = accepted.where(~F.col("extension").isin(fv.TEXT_EXTENSIONS))
+    return rejected.select("path", "length", "reason").unionByName(
+        parsed.select("path", "length", F.lit("needs_parser").alias("reason")))
 
 
 def to_documents(files: DataFrame) -> DataFrame:
-    """Accepted files as rows of the document table, text normalised. Times
-    come from the file, so that a repeated delivery gives the same rows."""
+    """Accepted files as rows of the document table, text normalised, with the
+    status of the extraction. Times come from the file, so that a repeated delivery
+    gives the same rows."""
     rows = extract_text(assign_keys(files))
     return rows.select(
         "document_id", "filename", F.col("path").alias("filepath"),
         F.when(F.col("text").isNotNull(), normalize_text(F.col("text"))).alias("text"),
         F.lit(None).cast("string").alias("metadata"),
         F.col("modificationTime").alias("created_at"),
-        F.col("modificationTime").alias("updated_at"))
+        F.col("modificationTime").alias("updated_at"), "status")
+
+
+def file_outcomes(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
+    """Every file as a document row. Rejected ones have no text, the reason as their
+    status, and an id of path, size and time, since their content is not opened."""
+    accepted, rejected = accept_files(files, max_bytes)
+    time = F.col("modificationTime")
+    others = rejected.select(
+        F.sha2(F.concat_ws("|", "path", "length", F.unix_micros(time)), 256).alias("document_id"),
+        F.substring_index("path", "/", -1).alias("filename"), F.col("path").alias("filepath"),
+        F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("metadata"),
+        time.alias("created_at"), time.alias("updated_at"), F.col("reason").alias("status"))
+    return to_documents(accepted).unionByName(others)
 
 
 def write_markdown(df: DataFrame, path: str, mode: str = "overwrite") -> None:

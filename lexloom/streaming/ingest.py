@@ -1,79 +1,107 @@
-"""Continuous ingest: files arrive, are gated, decoded, keyed and upserted."""
+"""Continuous ingest: files arrive, are gated, decoded, keyed and stored.
+
+The store is append-only. Every batch writes its rows to a folder of its own and
+reading takes the newest version of each document, so a batch costs what it holds,
+whatever the size of the store. A folder counts once its `_SUCCESS` marker is there:
+a lost driver leaves an unmarked folder that nobody reads and the replayed batch
+writes anew, and a batch that was committed is not written again. Compaction writes
+the newest versions as the first folder of the next generation; readers go by the
+highest generation that has a committed folder, so they switch at one marker.
+"""
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import DOCUMENT_SCHEMA, align_schema, upsert_documents
-from ..sources.files import BINARY_SCHEMA, accept_files, to_documents
+from ..functions import fixed_values as fv
+from ..operators.store import DOCUMENT_SCHEMA, align_schema, latest_versions
+from ..sources.files import BINARY_SCHEMA, file_outcomes
+
+STORE_SCHEMA = T.StructType(DOCUMENT_SCHEMA.fields + [T.StructField("status", T.StringType())])
+VERSIONS = T.StructType(STORE_SCHEMA.fields + [T.StructField("seq", T.LongType())])
+FOLDER = re.compile(r"g(\d{6})-s(\d{9})-(.*)")
 
-BUCKETS = 64
-STORE_SCHEMA = T.StructType(DOCUMENT_SCHEMA.fields + [T.StructField("bucket", T.IntegerType())])
 
+def _folders(spark: SparkSession, path: str) -> list[tuple[int, int, str, str]]:
+    """(generation, sequence number, batch name, folder) of the committed batches."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    out = []
+    for f in fs.listStatus(root):
+        m = FOLDER.fullmatch(f.getPath().getName())
+        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")
+        if m and fs.exists(marker):
+            out.append((int(m[1]), int(m[2]), m[3], f.getPath().toString()))
+    return sorted(out)
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
 
+def _current(spark: SparkSession, path: str) -> list[tuple[int, int, str, str]]:
+    found = _folders(spark, path)
+    return [f for f in found if f[0] == found[-1][0]]
 
-def read_store(spark: SparkSession, path: str, buckets=None) -> DataFrame:
-    """The stored documents, of some buckets only when given (partition
-    pruning); an empty table when nothing was stored yet."""
-    try:
-        stored = spark.read.schema(STORE_SCHEMA).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], DOCUMENT_SCHEMA)
-    if buckets is not None:
-        stored = stored.where(F.col("bucket").isin(buckets))
-    return align_schema(stored)
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of every stored document; an empty table when nothing was
+    stored yet."""
+    found = _current(spark, path)
+    if not found:
+        return spark.createDataFrame([], STORE_SCHEMA)
+    rows = spark.read.schema(VERSIONS).parquet(*[f[3] for f in found])
+    return latest_versions(rows, order=("seq", "updated_at")).drop("seq")
 
-def upsert_store(batch: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Upsert a batch into the stored table.
 
-    The table is partitioned by a hash bucket of the id and only the buckets
-    that the batch touches are read and rewritten (dynamic partition
-    overwrite). Staged files replace old ones at commit, so a lost executor or
-    a repeated batch leaves the same table."""
+def append_versions(batch: DataFrame, path: str, name: str) -> None:
+    """Store a batch under a name. A batch of that name that is already there, also
+    before a compaction, is the same one delivered again, and is left as it is."""
     spark = batch.sparkSession
-    batch = batch.persist()     # read three times below
-    # At most `buckets` numbers reach the driver.
-    touched = [r.b for r in batch.select(_bucket(buckets).alias("b")).distinct().collect()]
-    if not touched:
-        batch.unpersist()
+    found = _folders(spark, path)
+    if any(f[2] == name for f in found):
+        return
+    generation, seq = (found[-1][0], found[-1][1] + 1) if found else (0, 0)
+    rows = align_schema(batch, STORE_SCHEMA).withColumn("seq", F.lit(seq).cast("long"))
+    rows.write.mode("overwrite").parquet(f"{path}/g{generation:06d}-s{seq:09d}-{name}")
+
+
+def compact_store(spark: SparkSession, path: str) -> None:
+    """Write the newest versions as one folder of the next generation. Run it between
+    batches; folders of older generations may be deleted when no reader uses them."""
+    found = _current(spark, path)
+    if not found:
         return
-    merged = upsert_documents(read_store(spark, path, touched), align_schema(batch))
-    # Rebalancing gathers each bucket into files of the advisory size and splits
-    # a bucket that is larger than that over several tasks.
-    (merged.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
-    batch.unpersist()
+    generation, seq = found[-1][0] + 1, found[-1][1] + 1
+    rows = align_schema(read_store(spark, path), STORE_SCHEMA)
+    rows.withColumn("seq", F.lit(seq).cast("long")).write.mode("overwrite").parquet(
+        f"{path}/g{generation:06d}-s{seq:09d}-compacted")
 
 
-def file_stream(spark: SparkSession, in_dir: str, max_files: int | None = None) -> DataFrame:
-    """Arriving files as document rows, gates applied; no state."""
+def file_stream(spark: SparkSession, in_dir: str, max_files: int | None = None,
+                max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
+    """Arriving files as document rows, rejected ones with their reason; no state."""
     reader = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
               .option("recursiveFileLookup", "true"))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    accepted, _ = accept_files(reader.load(in_dir))
-    return to_documents(accepted)
+    return file_outcomes(reader.load(in_dir), max_bytes)
 
 
-def start_upserts(rows: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS,
+def start_upserts(rows: DataFrame, out: str, checkpoint: str,
                   available_now: bool = True) -> StreamingQuery:
-    """Upsert a stream of document rows. `out` and `checkpoint` are shared
-    storage."""
+    """Store a stream of document rows. `out` and `checkpoint` are shared storage;
+    batches are named by the checkpoint, so that another stream's do not collide."""
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
     writer = (rows.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda batch, _: upsert_store(batch, out, buckets)))
+              .foreachBatch(lambda batch, n: append_versions(batch, out, f"{stream}-{n}")))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def stream_ingest(spark: SparkSession, in_dir: str, out: str, checkpoint: str,
-                  max_files: int | None = None, buckets: int = BUCKETS,
+                  max_files: int | None = None, max_bytes: int = fv.MAX_FILE_BYTES,
                   available_now: bool = True) -> StreamingQuery:
     """Ingest files as they arrive in a folder."""
-    return start_upserts(file_stream(spark, in_dir, max_files), out, checkpoint, buckets,
+    return start_upserts(file_stream(spark, in_dir, max_files, max_bytes), out, checkpoint,
                          available_now)

@@ -20,24 +20,34 @@ def folder(tmp_path):
     (src / "d.exe").write_bytes(b"x")
     (src / "noext").write_bytes(b"x")
     (src / "big.markdown").write_bytes(b"x" * 2000)
+    for name in ("e.Txt", "f.tXT", "g.Md", "h.Markdown", "i.MARKDOWN"):
+        (src / "sub" / name).write_bytes(name.encode())
     return src
 
 
+MIXED = {n: n for n in ("e.Txt", "f.tXT", "g.Md", "h.Markdown", "i.MARKDOWN")}
+
+
 def names(df):
     return sorted(os.path.basename(r.path) for r in df.collect())
 
 
 def test_gates(spark, folder):
     accepted, rejected = FS.accept_files(FS.scan_files(spark, str(folder)), max_bytes=1999)
-    assert names(accepted) == ["B.MD", "a.txt", "c.pdf"]
+    assert names(accepted) == sorted(["B.MD", "a.txt", "c.pdf", *MIXED])
     assert {(os.path.basename(r.path), r.reason) for r in rejected.collect()} == {
         ("d.exe", "unsupported_extension"), ("noext", "unsupported_extension"), ("big.markdown", "too_large")}
-    assert FS.accept_files(FS.scan_files(spark, str(folder)), max_bytes=2000)[0].count() == 4
+    assert FS.accept_files(FS.scan_files(spark, str(folder)), max_bytes=2000)[0].count() == 9
 
 
 def test_text_files(spark, folder):
     got = {os.path.basename(r.path): r.text for r in FS.read_text_files(spark, str(folder)).collect()}
-    assert got == {"a.txt": "Điều 1. A\nx\ny", "B.MD": "café", "big.markdown": "x" * 2000}
+    assert got == {"a.txt": "Điều 1. A\nx\ny", "B.MD": "café", "big.markdown": "x" * 2000, **MIXED}
+    small = FS.read_text_files(spark, str(folder), max_bytes=1999)
+    assert "big.markdown" not in names(small)
+    left = {os.path.basename(r.path): r.reason for r in FS.unread_files(spark, str(folder), 1999).collect()}
+    assert left == {"c.pdf": "needs_parser", "d.exe": "unsupported_extension", "noext": "unsupported_extension",
+                    "big.markdown": "too_large"}
 
 
 def test_keys_are_stable_and_depend_on_content(spark, folder):
@@ -68,30 +78,67 @@ def test_sinks(spark, folder, tmp_path):
 
 
 def stored(spark, path):
-    return sorted((r.filename, r.text) for r in ingest.read_store(spark, path).collect())
+    return sorted((r.filename, r.status, r.text or "") for r in ingest.read_store(spark, path).collect())
 
 
 def test_stream_equals_batch_and_takes_new_files(spark, folder, tmp_path):
     out, state = str(tmp_path / "store"), str(tmp_path / "state")
     assert ingest.read_store(spark, out).count() == 0
-    ingest.stream_ingest(spark, str(folder), out, state, max_files=1, buckets=4).awaitTermination()
-    accepted, _ = FS.accept_files(FS.scan_files(spark, str(folder)))
-    batch = sorted((r.filename, r.text) for r in FS.to_documents(accepted).collect())
-    assert stored(spark, out) == batch and len(batch) == 4
+    ingest.compact_store(spark, out)
+    ingest.stream_ingest(spark, str(folder), out, state, max_files=3, max_bytes=1999).awaitTermination()
+    batch = sorted((r.filename, r.status, r.text or "")
+                   for r in FS.file_outcomes(FS.scan_files(spark, str(folder)), 1999).collect())
+    assert stored(spark, out) == batch and len(batch) == 11
+    assert {s for _, s, _ in batch} == {"ok", "needs_parser", "unsupported_extension", "too_large"}
     (folder / "late.txt").write_text("muộn")
-    ingest.stream_ingest(spark, str(folder), out, state, buckets=4).awaitTermination()
-    assert stored(spark, out) == sorted(batch + [("late.txt", "muộn")])
-    # A batch delivered twice leaves the table as it is.
-    ingest.upsert_store(FS.to_documents(accepted), out, buckets=4)
-    assert stored(spark, out) == sorted(batch + [("late.txt", "muộn")])
+    ingest.stream_ingest(spark, str(folder), out, state, max_bytes=1999).awaitTermination()
+    batch = sorted([*batch, ("late.txt", "ok", "muộn")])
+    assert stored(spark, out) == batch
+    # All files again through another checkpoint, and a compaction.
+    ingest.stream_ingest(spark, str(folder), out, state + "2", max_bytes=1999).awaitTermination()
+    assert stored(spark, out) == batch
+    ingest.compact_store(spark, out)
+    assert stored(spark, out) == batch
 
 
-def test_only_touched_buckets_are_rewritten(spark, folder, tmp_path):
+def version(spark, i, text, day=1):
+    at = f"2024-01-{day:02d} 00:00:00"
+    return spark.sql(f"select '{i}' document_id, '{i}' filename, '' filepath, '{text}' text, timestamp'{at}' created_at,"
+                     f" timestamp'{at}' updated_at, 'ok' status")
+
+
+def test_batches_append_and_replays_change_nothing(spark, tmp_path):
     out = str(tmp_path / "store")
-    accepted, _ = FS.accept_files(FS.scan_files(spark, str(folder)))
-    rows = FS.to_documents(accepted)
-    ingest.upsert_store(rows, out, buckets=50)
-    before = {f: os.path.getmtime(f) for f in map(str, (tmp_path / "store").rglob("*.parquet"))}
-    ingest.upsert_store(rows.where(F.col("filename") == "a.txt"), out, buckets=50)
-    after = set(map(str, (tmp_path / "store").rglob("*.parquet")))
-    assert len(set(before) - after) == 1 and len(after) == len(before)
+    ingest.append_versions(version(spark, "a", "1", 5), out, "s-0")
+    files = {f: os.path.getmtime(f) for f in map(str, (tmp_path / "store").rglob("*.parquet"))}
+    ingest.append_versions(version(spark, "a", "2", 2).union(version(spark, "b", "1")), out, "s-1")
+    ingest.append_versions(version(spark, "a", "other"), out, "s-1")            # delivered again
+    assert [x[::2] for x in stored(spark, out)] == [("a", "2"), ("b", "1")]     # arrival decides
+    assert all(os.path.getmtime(f) == t for f, t in files.items())              # nothing is rewritten
+    ingest.compact_store(spark, out)
+    ingest.append_versions(version(spark, "b", "late"), out, "s-1")             # also after a compaction
+    assert [x[::2] for x in stored(spark, out)] == [("a", "2"), ("b", "1")]
+    ingest.append_versions(version(spark, "b", "3"), out, "s-2")
+    assert [x[::2] for x in stored(spark, out)] == [("a", "2"), ("b", "3")]
+
+
+def test_batches_without_a_marker_do_not_count(spark, tmp_path):
+    out = tmp_path / "store"
+    ingest.append_versions(version(spark, "a", "1"), str(out), "s-0")
+    ingest.append_versions(version(spark, "a", "2"), str(out), "s-1")
+    (out / "g000000-s000000001-s-1" / "_SUCCESS").unlink()                      # the driver was lost here
+    assert [x[::2] for x in stored(spark, str(out))] == [("a", "1")]
+    ingest.append_versions(version(spark, "a", "2"), str(out), "s-1")
+    assert [x[::2] for x in stored(spark, str(out))] == [("a", "2")]
+    ingest.compact_store(spark, str(out))
+    (out / "g000001-s000000002-compacted" / "_SUCCESS").unlink()
+    assert [x[::2] for x in stored(spark, str(out))] == [("a", "2")]
+
+
+def test_stored_names_are_utc(spark, folder):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        here = {r.filename: r.stored_name for r in FS.assign_keys(FS.scan_files(spark, str(folder))).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert here == {r.filename: r.stored_name for r in FS.assign_keys(FS.scan_files(spark, str(folder))).collect()}

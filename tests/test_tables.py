@@ -56,9 +56,12 @@ def test_rule_tables_inline_and_by_grams(spark):
     chain = C.classify_documents(df, rules=fv.CONTENT_CATEGORY_RULES, default=fv.DEFAULT_CATEGORY)
     want = {r.doc_key: r.label for r in chain.collect()}
     assert want[0] == "finance_and_tuition" and want[4] == want[5] == fv.DEFAULT_CATEGORY
-    for bound in (1000, 0):
-        got = C.classify_join(df, rules, fv.DEFAULT_CATEGORY, "doc_key", max_inline=bound)
+    for chars in (1_000_000, 300):
+        got = C.classify_join(df, rules, fv.DEFAULT_CATEGORY, "doc_key", max_chars=chars)
         assert {r.doc_key: r.label for r in got.collect()} == want
+    keys = spark.createDataFrame([(1, "học phí"), (1, "nothing"), (None, "học phí"), (None, None)], "k int, text string")
+    got = sorted((repr(r.k), r.label) for r in C.classify_join(keys, rules, "none", "k").collect())
+    assert got == [("1", "finance_and_tuition"), ("1", "none"), ("None", "finance_and_tuition"), ("None", "none")]
     empty = C.classify_join(df, rules.limit(0), "none", "doc_key")
     assert {r.label for r in empty.collect()} == {"none"}
     counts = C.label_counts(chain, [x for x, _ in fv.CONTENT_CATEGORY_RULES])
@@ -135,3 +138,37 @@ def test_one_document_asked_for_by_most_requests(spark):
     docs = spark.createDataFrame([("hot", "x"), ("3", "y")], "doc_key string, text string")
     got = L.answer_requests(asks, docs)
     assert got.count() == 20000 and got.where("status = 'ok'").count() == 13334
+
+
+def test_generate_metadata(spark):
+    base = table(spark, document("a", T0, "m", "Điều 1. Một"), document("b", T0, "keep", " "), document("c", T0, "m"),
+                 document("d", T0, "m", None))
+    reqs = spark.createDataFrame([("a",), ("a",), ("b",), ("d",), ("q",), ("",), (None,)], "document_id string")
+    docs, outcome = L.generate_metadata(reqs, base, "2024-06-01")
+    rows = {r.document_id: r for r in docs.collect()}
+    assert len(rows) == 4 and rows["a"].metadata.endswith("Điều 1. Một") and rows["a"].updated_at > T2
+    assert [(rows[i].metadata, rows[i].updated_at) for i in "bcd"] == [("keep", T0), ("m", T0), ("m", T0)]
+    got = sorted((repr(r.document_id), r.status) for r in outcome.collect())
+    assert got == [("''", "missing_id"), ("'a'", "ok"), ("'a'", "ok"), ("'b'", "empty"), ("'d'", "no_text"),
+                   ("'q'", "not_found"), ("None", "missing_id")]
+    every = {r.document_id: r for r in L.rebuild_metadata(base, "2024-06-01").collect()}
+    assert every["a"] == rows["a"] and every["b"] == rows["b"] and every["d"] == rows["d"]
+
+
+def test_generators_may_fail(spark):
+    from lexloom.operators import render as M
+
+    def some(batches):
+        import pandas as pd
+        for batch in batches:
+            if batch["title"].str.contains("boom").any():
+                raise ValueError("no answer")
+            yield pd.DataFrame([(t, k) for t in batch["title"] for k in
+                                ({"one": ["k2", "k1", None], "two": [" "]}.get(t, []))], columns=["title", "keyword"])
+
+    titles = ["one", "one", "two", "three is a longer title with words", "", None, "Căn cứ x"]
+    df = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
+    got = {r.id: r.keyword for r in M.enrich_keywords(df, some).collect()}
+    assert got == {0: "k1", 1: "k1", 2: "two", 3: "three is a longer title", 4: "", 5: "", 6: ""}
+    boom = spark.createDataFrame([(1, "boom a b c d e")], "id int, title string")
+    assert M.enrich_keywords(boom, some).first().keyword == "boom a b c d"
