@@ -2,19 +2,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_folder
+from ..session import stage_folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share. Only where the session
     names none, as in tests, a temporary folder is taken."""
-    base = shared_folder(spark) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base}/lexloom-{uuid.uuid4().hex}/{name}"
+    path = f"{stage_folder(spark)}/lexloom-{uuid.uuid4().hex}/{name}"
     atexit.register(_remove, spark, path)
     return path
 
