@@ -5,6 +5,7 @@ import string
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -95,7 +96,9 @@ def test_word_and_shingle_hashes():
     assert len(h) == 400_000 and (h[:5000] == h[5000:10000]).all() and len(np.unique(h)) == 5000
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [0, 10**6])
+def test_components(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(C, "TASK_EDGES", task_edges)
     rng = random.Random(4)
     edges = ([(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 300)]
              + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(350)] + [(5, 5)])
