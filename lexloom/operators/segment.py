@@ -349,17 +349,21 @@ def label_sections(df: DataFrame, name: str = "source") -> DataFrame:
                                           F.lit(fv.SOURCE_UNKNOWN)))
 
 
+def with_fields(df: DataFrame) -> DataFrame:
+    """Add `doc_id`, `date` and `department` of a prepared text."""
+    t = F.col("_t")
+    return (df.withColumn("_low", F.lower(t))
+            .withColumn("date", X.doc_date_text(t))
+            .withColumn("department", rules.department(F.col("_low")))
+            .withColumn("doc_id", X.doc_number(t, F.col("_low"))))
+
+
 def with_sections(df: DataFrame, text: str = "text",
                   recipients: str = SPAN_RECIPIENTS) -> DataFrame:
     """One row per document with `doc_id`, `date`, `department` and the array
     `sections`: basis, decision, then articles and clauses in text order."""
-    df = prepare(df, text)
-    t = F.col("_t")
+    df = with_fields(prepare(df, text))
     none = F.lit("")
-    df = (df.withColumn("_low", F.lower(t))
-          .withColumn("date", X.doc_date_text(t))
-          .withColumn("department", rules.department(F.col("_low")))
-          .withColumn("doc_id", X.doc_number(t, F.col("_low"))))
     df = with_article_zone(with_decision(with_basis(df)), "_t", recipients)
     fronts = F.array(_section("legal_basis", none, none, none, F.col("_basis")),
                      _section("quyet_dinh", none, none, none, F.col("_decision")))
@@ -370,6 +374,21 @@ def with_sections(df: DataFrame, text: str = "text",
                   "start_line"))
 
 
+def with_front_blocks(df: DataFrame, text: str = "text", recipients: str = SPAN_RECIPIENTS) -> DataFrame:
+    """Add `decision` and `first`, the contents of the decision block and of the first
+    block, NULL without one. Articles are cut only from texts that have neither basis
+    nor decision: for all others the text is NULL from there on."""
+    df = with_decision(with_basis(prepare(df, text)))
+    shown = lambda c: F.when(~is_blank(F.col(c)), clean_block(F.col(c)))
+    df = df.withColumn("decision", shown("_decision")).withColumn("_front", F.coalesce(
+        shown("_basis"), F.col("decision")))
+    df = df.withColumn("_t", F.when(F.col("_front").isNull(), F.col("_t")))
+    df = with_article_zone(df, "_t", recipients)
+    bodies = F.filter(_sections_of(articles(F.col("_zone"))), lambda b: ~is_blank(b["content"]))
+    return df.withColumn("first", F.coalesce("_front", clean_block(F.get(bodies, F.lit(0))["content"]))).drop(
+        "_t", "_basis", "_decision", "_front", "_zone", "span_start", "span_end", "start_line")
+
+
 def with_blocks(df: DataFrame, text: str = "text",
                 recipients: str = SPAN_RECIPIENTS) -> DataFrame:
     """`with_sections`, each section labelled: array `blocks` of

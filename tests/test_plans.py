@@ -42,13 +42,25 @@ def test_unused_columns_are_pruned(stored_docs):
     assert text.count("Exchange") == 1 and "tiến sĩ" not in text
 
 
-def test_assembly_shuffles_once_for_small_groups_and_spreads_large_ones(spark, monkeypatch):
-    pages = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "doc_key string, page_no int, text string")
-    small = plan(A.assemble_pages(pages))
-    assert small.count("Exchange") == 1 and "partial_collect_list" in small
-    monkeypatch.setattr(A, "SMALL_GROUP", 1)
+def test_assembly_starts_no_job_and_spreads_large_groups(spark):
+    pages = spark.range(10).select(F.lit("a").alias("doc_key"), F.col("id").cast("int").alias("page_no"),
+                                   F.raise_error(F.lit("a job ran")).cast("string").alias("text"))
     large = plan(A.assemble_pages(pages))
     assert large.count("Exchange") == 2 and "_run" in large
+    one = plan(A.assemble_pages(pages, run=None))
+    assert one.count("Exchange") == 1 and "partial_collect_list" in one
+
+
+def test_newest_versions_are_found_without_the_text(spark, tmp_path):
+    spark.createDataFrame([("a", "x", 1)], "document_id string, text string, at int").write.parquet(str(tmp_path / "v"))
+    text = plan(D.latest_versions(spark.read.parquet(str(tmp_path / "v")), order=("at",)))
+    first = [line for line in text.splitlines() if "partial_max" in line]
+    assert first and all("text" not in line for line in first)
+
+
+def test_headings_cut_no_article(stored_docs):
+    text = plan(M.decision_headings(stored_docs))
+    assert "Exchange" not in text and len(text) < 0.5 * len(plan(M.document_titles(stored_docs)))
 
 
 def test_size_gate_reaches_the_file_source(spark, tmp_path):
