@@ -33,6 +33,7 @@ def normalize_newlines(c: Column) -> Column:
 
 def tidy_composed(c: Column) -> Column:
     """The part of `normalize_text` that follows Unicode composition."""
+    # The control characters that go, and the run of newlines that shrinks.
     no_controls = F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]+", "")
     # Only runs that change are matched; a single space is left alone.
     one_space = F.regexp_replace(no_controls, r"\t[ \t]*+| [ \t]++", " ")
