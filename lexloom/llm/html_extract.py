@@ -5,7 +5,9 @@ are (navigation, footers, forms, comments and so on, by tag, role, class or id)
 are left out. The first pass calls each other block good, bad, near-good or short
 by its length, link density and stop-word density; the second gives undecided
 blocks the label of their nearest decided neighbours. Blocks inside an element
-that marks the article start as good unless they are mostly links.
+that marks the article start as good unless they are mostly links, and where a page
+has one, others start as bad. If the names of classes leave nothing of a page, it is
+read again without them.
 
 A page is one row and its work stays in its task: no shuffle, no state. The scan
 over the tags is linear in the length of the page.
@@ -47,10 +49,14 @@ BOILER = re.compile(
     r"|sidebar|side|aside|widget|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal"
     r"|overlay|subscribe|subscription|newsletter|signup|login|share|sharing|social|related|recommended"
     r"|comment|comments|commentlist|disqus|respond|replies|discussion|pagination|pager|tags|toolbar|search|form"
-    r"|skip|hidden|complementary|contentinfo|dialog|toc|header)(?:$|[\s_-])", re.I)
+    r"|skip|hidden|complementary|contentinfo|dialog|toc)(?:$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+READERS = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies)(?:$|[\s_-])", re.I)
+#: "has-sidebar" and the like say something of the parts around it.
+ABOUT_OTHERS = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|show|is)[-_]\S*", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content|main|maincontent|text|body)"
                      r"(?:$|[\s_-])", re.I)
-NOT_BOILER_TAGS = frozenset("html body article main".split())
+WHOLE_TAGS = frozenset("html body main".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)"
                    r"|<[!?][^>]*(?:>|$)", re.S)
 MARKS = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -63,13 +69,15 @@ SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 6, 20, 0.33, 0.12, 0.25
 HEADING_REACH = 3
 
 
-def blocks(page: str) -> list[dict]:
-    """Text blocks in page order, without the parts that markup rules out: text,
-    n_words, link (share of characters in links), article, heading."""
+def blocks(page: str, by_names: bool = True) -> list[dict]:
+    """Text blocks in page order, without the parts that markup rules out: text, link
+    (share of characters in links), article (2 in an article, 1 in the main part or in
+    an element whose name says so, 0 elsewhere), heading."""
     out: list[dict] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []         # tag, skipped, article
-    skipped = article = links = 0
+    stack: list[tuple[str, bool, int]] = []          # tag, skipped, article
+    skipped = links = 0
+    article = [0, 0, 0]                              # open elements of each degree
     heading = False
     at, end = 0, len(page)
 
@@ -80,7 +88,7 @@ def blocks(page: str) -> list[dict]:
             if text:
                 linked = sum(len(t) for t, is_link in parts if is_link)
                 out.append({"text": text, "link": linked / max(1, sum(len(t) for t, _ in parts)),
-                            "article": article > 0, "heading": heading})
+                            "article": 2 if article[2] else int(article[1] > 0), "heading": heading})
             parts = []
 
     while at < end:
@@ -100,7 +108,8 @@ def blocks(page: str) -> list[dict]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     for _, s, a in stack[i:]:
-                        skipped, article = skipped - s, article - a
+                        skipped -= s
+                        article[a] -= 1
                     links -= sum(t == "a" for t, _, _ in stack[i:])
                     del stack[i:]
                     break
@@ -120,7 +129,8 @@ def blocks(page: str) -> list[dict]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     for _, s, a in stack[i:]:
-                        skipped, article = skipped - s, article - a
+                        skipped -= s
+                        article[a] -= 1
                     links -= sum(t == "a" for t, _, _ in stack[i:])
                     del stack[i:]
                     break
@@ -128,22 +138,28 @@ def blocks(page: str) -> list[dict]:
                     break
         attributes = token[3] or ""
         marks = " ".join(filter(None, (x for m in MARKS.findall(attributes) for x in m)))
-        inside = article > 0 or any(a for _, _, a in stack)
-        skip = (tag in SKIP_TAGS
-                or tag == "header" and not inside
-                or tag not in NOT_BOILER_TAGS and bool(marks) and bool(BOILER.search(marks))
-                or "hidden" in attributes.lower() + attributes and bool(HIDDEN.search(attributes))
-                or "none" in attributes and bool(HIDDEN.search(attributes)))
-        is_article = not skip and (tag in ("article", "main")
-                                   or bool(marks) and bool(ARTICLE.search(marks)) and tag != "body")
+        marks = ABOUT_OTHERS.sub(" ", marks) if by_names else ""
+        inside = article[1] + article[2] > 0
+        skip = (tag in SKIP_TAGS or tag == "header" and not inside
+                or tag == "article" and bool(READERS.search(marks))
+                or tag not in WHOLE_TAGS and tag != "article" and bool(
+                    BOILER.search(marks) or not inside and HEADER.search(marks))
+                or bool(HIDDEN.search(attributes)))
+        degree = 0
+        if not skip and tag not in ("html", "body"):
+            if tag == "article" or "articlebody" in marks.lower():
+                degree = 2
+            elif tag == "main" or ARTICLE.search(marks):
+                degree = 1
         if tag in RAW_TAGS:
             close = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(page, at)
             at = close.end() if close else end
             continue
         if attributes.rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
-        stack.append((tag, skip, is_article))
-        skipped, article = skipped + skip, article + is_article
+        stack.append((tag, skip, degree))
+        skipped += skip
+        article[degree] += 1
         links += tag == "a"
         heading = heading or tag in HEADINGS
     flush()
@@ -152,21 +168,21 @@ def blocks(page: str) -> list[dict]:
 
 def classify(found: list[dict]) -> list[bool]:
     """Which blocks are main text."""
-    has_article = any(b["article"] for b in found)
+    has_article = any(b["article"] == 2 for b in found)
     labels = []
     for b in found:
         words = [w.strip(".,;:!?()\"'").lower() for w in b["text"].split()]
         density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b["link"] > LINKS and len(words) > 0 and not (b["article"] and b["link"] < 0.8):
+        if b["link"] > LINKS and len(words) > 0 and not (b["article"] == 2 and b["link"] < 0.8):
             label = "bad"
-        elif b["article"]:
+        elif b["article"] == 2:
             label = "good"
         elif has_article:
             label = "bad"                     # the page says where its article is
         elif len(words) < SHORT:
             label = "short"
-        elif density >= STOP_HIGH:
-            label = "good" if len(words) >= LONG else "near"
+        elif density >= STOP_HIGH or b["article"] and len(words) >= LONG:
+            label = "good" if len(words) >= LONG or b["article"] else "near"
         elif density >= STOP_LOW:
             label = "near"
         else:
@@ -195,8 +211,13 @@ def classify(found: list[dict]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    return "\n".join(b["text"] for b, keep in zip(found, classify(found)) if keep)
+    kept: list[str] = []
+    for by_names in (True, False):
+        found = blocks(page or "", by_names)
+        kept = kept or [b["text"] for b, keep in zip(found, classify(found)) if keep]
+        if kept:
+            break
+    return "\n".join(kept)
 
 
 def _extract(batches):
