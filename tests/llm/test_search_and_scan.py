@@ -195,3 +195,16 @@ def test_html_is_linear_in_odd_input():
                  "<div a='" * 20_000, "</p>" * 50_000):
         html_extract.main_text(page)
     assert np.isfinite(len(html_extract.main_text("<script>" * 1000)))
+
+
+def test_html_names_of_parts():
+    story = ("The council said on Monday that it would not close the bridge to the island, as had been planned for "
+             "this year, and that the work on it is to be done at night.")
+    page = (f'<body class="has-sidebar"><div class="site-header">Logo</div><div id="content" class="has-sidebar">'
+            f'<div class="article-header"><h1>Bridge stays</h1></div><p>{story}<p>Short one.<p>{story}</div>'
+            f'<div class="sidebar">{story}</div><div id="comments"><p>{story}</p></div>')
+    assert html_extract.main_text(page) == "\n".join(["Bridge stays", story, "Short one.", story])
+    page = (f'<main><article class="post"><h1>T</h1><p>{story}</p></article><section class="related">{story}</section>'
+            f'<article class="comment"><p>{story}</p></article></main>')
+    assert html_extract.main_text(page) == f"T\n{story}"
+    assert html_extract.main_text(f'<div class="sidebar-wrap"><p>{story}</p></div>') == story
