@@ -32,10 +32,14 @@ K, W = 6, 6
 MIN_WORDS, MIN_SAME = 50, 80
 #: Cost of a word of gap in either text, in matched words.
 GAP_COST = 0.25
-#: Matches of a diagonal so close are one; a longer gap with fewer equal words parts
-#: a chain; unequal gaps up to so many cells are aligned in full, longer ones from
+#: Matches of a diagonal so close are one, as in a run of equal words; a gap with more
+#: unequal words than FAR parts a chain; unequal gaps up to so many cells are aligned in full, longer ones from
 #: both ends.
-NEAR, FAR, CELLS = 24, 20, 10_000
+NEAR, FAR, CELLS = W, 20, 10_000
+#: At its ends a chain goes on after so many missing or new words, if so many equal
+#: ones follow.
+SHIFT, RESUME = 2, 4
+SHIFTS = sorted(((i, j) for i in range(SHIFT + 1) for j in range(SHIFT + 1) if i + j), key=sum)
 #: Words that a chain may grow by at each end beyond its matches: runs that are not
 #: seeds themselves, with room for edits.
 REACH = 400
@@ -328,6 +332,22 @@ def _grow(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return to, int(same[:to].sum())
 
 
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(words of a, words of b, equal words) of a common beginning in which up to SHIFT
+    words may be missing or new on either side, wherever RESUME equal words follow."""
+    la, same = _grow(a, b)
+    lb = la
+    while True:
+        for i, j in SHIFTS:
+            x, y = a[la + i:la + i + RESUME], b[lb + j:lb + j + RESUME]
+            if len(x) == len(y) == RESUME and (x == y).all():
+                more, equal = _grow(a[la + i:], b[lb + j:])
+                la, lb, same = la + i + more, lb + j + more, same + equal
+                break
+        else:
+            return la, lb, same
+
+
 def _between(a: np.ndarray, b: np.ndarray) -> int:
     """Equal words of the best alignment of two gaps."""
     if len(a) == len(b):
@@ -369,9 +389,9 @@ def align(a: np.ndarray, b: np.ndarray, blocks: list[tuple[int, int, int]]) -> l
     for i, (x0, x1, y0, y1, equal) in enumerate(parts):
         floor_a, floor_b = (parts[i - 1][1], parts[i - 1][3]) if i else (0, 0)
         top_a, top_b = (parts[i + 1][0], parts[i + 1][2]) if i + 1 < len(parts) else (len(a), len(b))
-        left, same_left = _grow(a[floor_a:x0][::-1], b[floor_b:y0][::-1])
-        right, same_right = _grow(a[x1:top_a], b[y1:top_b])
-        x0, y0, x1, y1 = x0 - left, y0 - left, x1 + right, y1 + right
+        left_a, left_b, same_left = _extend(a[floor_a:x0][::-1], b[floor_b:y0][::-1])
+        right_a, right_b, same_right = _extend(a[x1:top_a], b[y1:top_b])
+        x0, y0, x1, y1 = x0 - left_a, y0 - left_b, x1 + right_a, y1 + right_b
         equal += same_left + same_right
         if (min(x1 - x0, y1 - y0) >= MIN_WORDS
                 and 100 * equal >= MIN_SAME * max(x1 - x0, y1 - y0)):
@@ -411,19 +431,21 @@ def _words(batches):
 
 
 def aligned_passages(rows: DataFrame, chained: DataFrame) -> DataFrame:
-    """The chains' passages. Only texts with chains are read again."""
+    """The chains' passages. Only texts with chains are read again. The joins are merge
+    joins at every size: a broadcast where the tables happen to be small would say
+    nothing of larger ones."""
     wanted = stage(chained.select(F.col("x").alias("k")).unionByName(chained.select(F.col("y").alias("k")))
                    .distinct().select(F.substring("k", 1, 12).alias("head")).distinct(), "wanted")
     head = F.substring(F.unhex(F.md5(F.encode("text", "UTF-8"))), 1, 12)
     words = stage(rows.where("text is not null").select("text", head.alias("head"))
-                  .join(wanted, "head", "left_semi").select("text")
+                  .join(wanted.hint("merge"), "head", "left_semi").select("text")
                   .mapInArrow(_words, "text_key binary, words binary")
                   .groupBy("text_key").agg(F.min("words").alias("words")), "words")
     part = lambda c, low, high: F.substring(
         F.col(c), F.col(low) * 4 + 1, (F.col(high) - F.col(low)) * 4)
-    with_x = (chained.join(words.withColumnRenamed("text_key", "x"), "x")
+    with_x = (chained.join(words.withColumnRenamed("text_key", "x").hint("merge"), "x")
               .withColumn("x_words", part("words", "x_low", "x_high")).drop("words"))
-    with_y = (with_x.join(words.withColumnRenamed("text_key", "y"), "y")
+    with_y = (with_x.join(words.withColumnRenamed("text_key", "y").hint("merge"), "y")
               .withColumn("y_words", part("words", "y_low", "y_high")).drop("words"))
     return with_y.mapInArrow(_align, ALIGNED)
 
