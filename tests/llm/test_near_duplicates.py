@@ -173,7 +173,7 @@ def test_leaks(spark):
         rows.append((k, " ".join(rng.choices(VOCABULARY, k=rng.randrange(30)) + w
                                  + rng.choices(VOCABULARY, k=rng.randrange(30))).replace(" W1", ", W1")))
     rows += [(200, None), (201, ""), (None, rows[0][1]), (3, rows[3][1]), (202, "w1")]
-    bare = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", (t or "").lower()).split()
+    bare = lambda t: words_of(re.sub(r"[!-/:-@\[-`{-~]", " ", (t or "").lower()))
     parts = lambda w: Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
     want = set()
     for d, t in rows:
