@@ -448,7 +448,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         empty, F.col("id")).otherwise(F.col("component_id")).alias("least")).where("_id is not null"), "ids")
     named = docs.where(F.col(id_col).isNotNull())
     gone = found.where("_id <> least").select("_id").distinct()
-    kept = named.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    # A merge join at every size, as for the ids of a large corpus.
+    kept = named.join(gone.hint("merge"), F.col(id_col) == F.col("_id"), "left_anti")
     often = (found.where("_id = least").groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
              .where("n > 1").select("_id"))
     again = F.col(id_col) == F.col("_id")

@@ -169,6 +169,7 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>", id_col: str = "doc_i
             & F.col(owner_col).cast("string").eqNullSafe(F.col("_owner")))
     redact = F.udf(_redact, T.StringType())
     text = F.when(F.col("_spans").isNotNull(), redact(F.col(text_col), F.col("_spans"), F.lit(mark)))
-    return (docs.join(hits, same, "left")
+    # A merge join at every size, as for the findings of a large corpus.
+    return (docs.join(hits.hint("merge"), same, "left")
             .withColumn(text_col, F.coalesce(text, F.col(text_col)))
             .select(*docs.columns))
