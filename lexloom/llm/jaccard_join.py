@@ -439,28 +439,38 @@ def _with_class(text_col: str, width: int):
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 similar: int = SIMILAR, width: int = WIDTH) -> DataFrame:
-    """The documents, with all columns, that have the smallest id of their component;
-    of repeated ids one row for each text. Of a component without ids one row stays;
-    texts without words are linked with nothing and stay."""
+    """The documents, with all columns, that have the smallest id of their component:
+    one row for each component, also where that id is repeated. Rows of one id with
+    different texts are decided each by its own text. Of a component without ids one
+    row stays; texts without words are linked with nothing and stay, repeated rows of
+    them once."""
     own, placed = _classes(docs, id_col, text_col, similar, width)
-    empty = F.col("class") == F.lit(EMPTY)
-    found = stage(own.join(placed, "class").select(F.col("id").alias("_id"), F.when(
-        empty, F.col("id")).otherwise(F.col("component_id")).alias("least")).where("_id is not null"), "ids")
+    wordless = F.col("_class") == F.lit(EMPTY)
+    found = stage(own.where("id is not null").groupBy("id", "class").agg(F.count(F.lit(1)).alias("n"))
+                  .join(placed, "class").select(
+                      F.col("id").alias("_id"), F.col("class").alias("_class"), F.col("root").alias("_root"), "n",
+                      F.when(F.col("class") == F.lit(EMPTY), F.col("id")).otherwise(F.col("component_id"))
+                      .alias("least")), "ids")
+    rows = stage(found.groupBy("_id").agg(F.sum("n").alias("n"), F.min(F.col("_id") == F.col("least")).alias("stay"),
+                                          F.max(F.col("_id") == F.col("least")).alias("any_stay")), "rows_of_ids")
     named = docs.where(F.col(id_col).isNotNull())
-    gone = found.where("_id <> least").select("_id").distinct()
-    # A merge join at every size, as for the ids of a large corpus.
-    kept = named.join(gone.hint("merge"), F.col(id_col) == F.col("_id"), "left_anti")
-    often = (found.where("_id = least").groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select("_id"))
-    again = F.col(id_col) == F.col("_id")
-    repeated = kept.join(often, again, "left_semi").dropDuplicates([id_col, text_col])
-    once = kept.join(often, again, "left_anti")
+    by_id = F.col(id_col) == F.col("_id")
+    # Merge joins at every size, as for the ids of a large corpus. An id of one row is
+    # decided by the id alone.
+    once = named.join(rows.where("n > 1 or not stay").select("_id").hint("merge"), by_id, "left_anti")
+    with_class = lambda of: of.mapInArrow(_with_class(text_col, width), T.StructType(
+        [*docs.schema.fields, T.StructField("_class", T.BinaryType())]))
+    repeated = with_class(named.join(rows.where("n > 1 and any_stay").select("_id").hint("merge"), by_id, "left_semi"))
+    # Of the near copies under one id the smallest class stands for the component.
+    first = (found.where("_id = least").join(rows.where("n > 1").select("_id"), "_id")
+             .groupBy("_id", "_root").agg(F.min("_class").alias("_class")))
+    repeated = repeated.join(first.withColumnRenamed("_class", "_of").hint("merge"),
+                             by_id & (F.col("_class") == F.col("_of")), "left_semi")
+    repeated = (repeated.where(~wordless).dropDuplicates([id_col, "_class"])
+                .unionByName(repeated.where(wordless).dropDuplicates([id_col, text_col])))
     # Rows without an id, by the class of their text.
-    bare = docs.where(F.col(id_col).isNull())
-    schema = T.StructType([*docs.schema.fields, T.StructField("_class", T.BinaryType())])
-    bare = bare.mapInArrow(_with_class(text_col, width), schema)
+    bare = with_class(docs.where(F.col(id_col).isNull()))
     alone = placed.where("component_id is null").select(F.col("class").alias("_class"), F.col("root").alias("_root"))
-    first = bare.join(alone, "_class").where(F.col("_class") != F.lit(EMPTY)).dropDuplicates(["_root"])
-    wordless = bare.where(F.col("_class") == F.lit(EMPTY))
-    return (once.unionByName(repeated).unionByName(first.select(*docs.columns))
-            .unionByName(wordless.select(*docs.columns)))
+    first = bare.join(alone, "_class").where(~wordless).dropDuplicates(["_root"])
+    return (once.unionByName(repeated.select(*docs.columns)).unionByName(first.select(*docs.columns))
+            .unionByName(bare.where(wordless).select(*docs.columns)))

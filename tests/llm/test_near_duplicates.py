@@ -132,6 +132,17 @@ def test_jaccard(spark, monkeypatch):
     assert J.jaccard_components(awkward(spark, [(1, None)])).collect()[0] == (1, 0, 1)
 
 
+def test_one_of_each_of_repeated_ids(spark):
+    """Each row of a repeated id goes by its own text, and one row stays of each component."""
+    new = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    a, b, c = new("a"), new("b"), new("c")
+    rows = [(3, a), (7, a + " x"), (7, b), (9, b + " y"), (11, c), (11, c + " z"), (11, c), (12, c + " w"),
+            (13, ""), (13, b), (13, ""), (14, a)]
+    kept = sorted((r.doc_id, r.text) for r in J.one_of_each(awkward(spark, rows)).collect())
+    assert [(i, t) for i, t in kept if i != 11] == [(3, a), (7, b), (13, "")]
+    assert [t in (c, c + " z") for i, t in kept if i == 11] == [True]
+
+
 def test_frequent_tokens_of_blocks(spark, monkeypatch):
     """The scan's and the buckets' own steps, with tokens that travel as counts."""
     import pyarrow as pa
