@@ -2,20 +2,23 @@
 
 Each text is scanned once for base secrets (assignments, access keys, long hex
 strings) and for further high-entropy strings. The hashes of all candidates are
-counted over the whole corpus by distinct repositories and owners. A string held
-by one owner only is a live-looking credential; one held by many is a widely
-copied example. High-entropy strings become findings (`owned`) only when they are
-owner-specific; base findings stay, whatever the counts say.
-
-Skew: distinct (hash, owner, repository) rows are reduced by partial aggregation
-before each shuffle, and the counts come back by a join of two stored tables, in
+counted over the whole corpus by distinct repositories, owners and texts. A string
+held by one owner only, or only in copies of one text, is a live-looking credential;
+one that many owners hold in many repositories is a widely copied example; between
+them it is shared. High-entropy strings become findings (`owned`) unless they are
+examples; base findings stay, whatever the counts say.
+
+Skew: distinct (hash, owner), (hash, repository) and (hash, text) rows are reduced by
+partial aggregation before each shuffle, and the counts come back by a join of two stored tables, in
 which adaptive execution splits a hash that a third of the rows hold. Values
 never leave the scan: only their hashes do.
 """
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -28,11 +31,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "owned")
-#: A further candidate: a run of this many characters or more with this many
-#: digits, and with letters.
+#: A further candidate: a run of this many characters or more.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
-RUN_DIGITS = 5
-#: At most so many owners: owner-specific. At least so many: a copied example.
+#: Its least entropy in bits, over all its characters, and the most characters on
+#: average of its pieces: words in lower, upper or title case, and numbers. With this
+#: many digits and different characters the pieces may be of any length.
+RUN_BITS, PIECE_CHARS, RUN_DIGITS, RUN_CHARS = 64, 5, 5, 10
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: At most so many owners: owner-specific. At least so many owners and repositories: a
+#: copied example.
 OWNED, COPIED = 1, 5
 
 SCAN = ("id {id}, owner string, text_md5 string, n_assign long, n_access long, n_hex long, "
@@ -53,17 +60,21 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+def high_entropy(value: str) -> bool:
+    """Whether a run looks drawn at random and not put together from words."""
+    counts = Counter(value)
+    bits = sum(n * math.log2(len(value) / n) for n in counts.values())
+    digits = sum(counts[c] for c in "0123456789")
+    if not any(c.isalpha() for c in counts):
+        return False
+    return (bits >= RUN_BITS and len(PIECE.findall(value)) * PIECE_CHARS >= len(value)
+            or digits >= RUN_DIGITS and len(counts) >= RUN_CHARS)
+
+
 def further_spans(text: str, base: list) -> list[tuple[int, int, int, str]]:
     """High-entropy runs that do not touch a base span."""
-    out = []
-    for m in RUN.finditer(text):
-        value = m[0]
-        digits = sum(map(value.count, "0123456789"))
-        if (digits >= RUN_DIGITS and len(set(value)) >= 10
-                and any(c.isalpha() for c in value)
-                and not any(m.start() < b[2] and b[0] < m.end() for b in base)):
-            out.append((m.start(), 3, m.end(), value))
-    return out
+    return [(m.start(), 3, m.end(), m[0]) for m in RUN.finditer(text)
+            if high_entropy(m[0]) and not any(m.start() < b[2] and b[0] < m.end() for b in base)]
 
 
 def span_list(spans) -> str:
@@ -101,8 +112,8 @@ def judge_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one row for each different (id, owner, text), with the number of its copies.
 
     spans: array of (start, kind, stop, repositories, owners, verdict), verdict
-    `live`, `shared` or `example`, in order; `owned` spans only if they are live.
-    The id is the repository. A null owner is one owner. A null text is empty.
+    `live`, `shared` or `example`, in order; `owned` spans unless they are examples.
+    The id is the repository. A null owner or id is one of its kind. A null text is empty.
     Other columns, whatever their names, are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(owner_col).cast("string").alias("owner"),
@@ -112,15 +123,16 @@ def judge_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = stage(rows.mapInArrow(_scan, SCAN.format(id=rows.schema["id"].dataType.simpleString()))
                  .groupBy(*key).agg(F.count(F.lit(1)).alias("copies")), "scan")
     found = seen.withColumn("f", F.explode("found"))
-    held = stage(found.select("f.hash", "owner", "id").distinct()
-                 .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-                 .groupBy("hash").agg(F.sum("n").alias("repositories"),
-                                      F.count(F.lit(1)).alias("owners")), "held")
-    verdict = (F.when(F.col("owners") <= owned, "live")
-               .when(F.col("owners") >= copied, "example").otherwise("shared"))
+    held = stage(found.select("f.hash", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("of"), F.col(c).cast("string").alias("v"))
+        for i, c in enumerate(("id", "owner", "text_md5"))])).alias("h")).select("hash", "h.*").distinct()
+        .groupBy("hash").agg(*[F.count_if(F.col("of") == i).alias(c)
+                               for i, c in enumerate(("repositories", "owners", "texts"))]), "held")
+    verdict = (F.when((F.col("owners") >= copied) & (F.col("repositories") >= copied), "example")
+               .when((F.col("owners") <= owned) | (F.col("texts") == 1), "live").otherwise("shared"))
     row = ["id", "owner", "text_md5"]
     judged = (found.select(*row, "f.*").join(held, "hash").withColumn("verdict", verdict)
-              .where((F.col("kind") < len(KINDS) - 1) | (F.col("verdict") == "live"))
+              .where((F.col("kind") < len(KINDS) - 1) | (F.col("verdict") != "example"))
               .select(*row, F.struct("start", "kind", "stop", "repositories", "owners", "verdict")
                       .alias("span")))
     return (seen.drop("found", "base").unionByName(judged, allowMissingColumns=True)

@@ -2,6 +2,7 @@
 import hashlib
 import math
 import random
+import string
 import re
 import struct
 import zlib
@@ -95,6 +96,31 @@ def test_secret_scan(spark):
     assert secret_scan.secret_spans(docs.limit(0)).count() == 0
 
 
+def test_random_keys_are_candidates():
+    rng = random.Random(4)
+    base62 = string.ascii_letters + string.digits
+    for n in (24, 32, 40):
+        keys = ["".join(rng.choices(base62, k=n)) for _ in range(3000)]
+        assert sum(map(secret_scan.high_entropy, keys)) == len(keys)
+    assert not any(map(secret_scan.high_entropy, (
+        "Donaudampfschifffahrtsgesellschaft", "/articles/of/the/council/on-bridges", "=" * 80)))
+
+
+def test_secrets_of_few_owners_stay(spark):
+    """A key stays when its document is copied to other sources, and when some owners
+    share it; a repository under many owners makes no example."""
+    key, common, moved = "QwErTyUiOpAsDfGhJkLzXcVb", "ZmXnCbVaLsKdJfHgQpWoEiRu", "PlOkMiJnUhBzGvTfCrDxEsWa"
+    rows = [(1, f"k {key}", "s0"), (2, f"k {key}", "s1")] + [
+        (10 + i, f"t{i} {common}", f"s{i}") for i in range(3)] + [(20, f"m{i} {moved}", f"s{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan.judge_secrets(docs).collect()
+    of = lambda ids: {(s.verdict, s.repositories, s.owners) for r in got if r.id in ids for s in r.spans}
+    assert of({1, 2}) == {("live", 2, 2)} and of({10, 11, 12}) == {("shared", 3, 3)}
+    assert of({20}) == {("shared", 1, 6)}
+    texts = [r.text for r in secret_scan.redact_secrets(docs).collect()]
+    assert len(texts) == len(rows) and all(t.endswith(" <secret>") for t in texts)
+
+
 # Packing -------------------------------------------------------------------
 
 def test_packing_round_trip(spark):
