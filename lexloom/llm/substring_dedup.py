@@ -6,7 +6,10 @@
    places in the text with the smallest and with the largest key. This happens first
    inside each block of texts, and only those two places travel on, so a passage that a
    third of all texts hold costs each of them two matches and each block two places.
-   Texts that share a passage share all its seeds, hence have the same leaders.
+   Parts of a passage can be held more widely than the passage, as where it is made of
+   frequent lines, and then its seeds have leaders without it. Hence the runs of seeds
+   over SPAN words are keys besides the seeds, with leaders of their own: two texts
+   that share MIN_WORDS words in a row share such a run, and its leaders all hold it.
 3. Chains. The matches of a pair of texts are merged along diagonals, then chained: a
    match may follow any that ends before it in both texts, at a cost for the gaps. With
    costs linear in the gaps the best predecessor is a prefix maximum, which a Fenwick
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stage, stage_split
-from .shingles import shingle_hashes, word_hashes
+from .shingles import mix, shingle_hashes, word_hashes
 
 K, W = 6, 6
 MIN_WORDS, MIN_SAME = 50, 80
@@ -45,6 +48,10 @@ SHIFTS = sorted(((i, j) for i in range(SHIFT + 1) for j in range(SHIFT + 1) if i
 REACH = 400
 #: Bit of a place that starts a repeated run, and a word number beyond any text.
 RUN, END = 1 << 31, 1 << 28
+#: Places that a run of seeds covers: in MIN_WORDS equal words, whatever stands around
+#: them, there is one with the same seeds. LONG marks its place.
+SPAN, LONG = MIN_WORDS - K - 2 * (W - 1), 1 << 30
+STEP = 0x9E3779B97F4A7C15
 BLOCK, BUCKET_CHARS = 500_000, 12_000_000
 
 ROWS = ("kind int, bucket long, ids array<{id}>, texts binary, others binary, counts binary, "
@@ -73,6 +80,19 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at][~again], marked[~again]
 
 
+def seed_runs(h: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and marked places of the runs of seeds over SPAN places, from each seed."""
+    at = marked & ~RUN
+    end = np.searchsorted(at, at + SPAN, "right")
+    begin = np.arange(len(at))
+    power, inverse = (np.multiply.accumulate(np.append(np.uint64(1), np.full(len(at), x, np.uint64)))
+                      for x in (STEP, pow(STEP, -1, 1 << 64)))
+    sums = np.append(np.uint64(0), np.cumsum(h * power[:-1]))
+    runs = mix((sums[end] - sums[begin]) * inverse[:-1] + (end - begin).astype(np.uint64), 7)
+    wide = end - begin > 1
+    return runs[wide], at[wide] | LONG
+
+
 def stars(h: np.ndarray, owner: np.ndarray, place: np.ndarray):
     """(member, leader) matches and the leaders that travel on, as positions. Owners
     are numbered by their keys. A leader stands for its first place."""
@@ -166,7 +186,8 @@ def _scan(n: int):
                 if len(words) >= MIN_WORDS * MIN_SAME // 100 and key not in seen:
                     seen.add(key)
                     h, at = seeds(words)
-                    block.append((key, h, at))
+                    runs, run_at = seed_runs(h, at)
+                    block.append((key, np.append(h, runs), np.append(at, run_at)))
                     size += len(h)
                     if size >= BLOCK:
                         yield from flush()
@@ -296,8 +317,9 @@ def _chain(key, group):
     for s, e in zip(starts.tolist(), ends.tolist()):
         x, y = xs[s:e], ys[s:e]
         runs = {int(v) for v in x[(x & y & RUN) > 0] & ~RUN}
-        x, y = x & ~RUN, y & ~RUN
-        if x.max() - x.min() + K < least and not runs:
+        wide = x[(x & y & LONG) > 0] & ~LONG
+        x, y = x & ~(RUN | LONG), y & ~(RUN | LONG)
+        if x.max() - x.min() + K < least and not runs and not len(wide):
             continue
         by_place = np.lexsort((y, x))
         x, y = x[by_place], y[by_place]
@@ -305,7 +327,8 @@ def _chain(key, group):
         for chain in chains(diagonals(x[new], y[new])):
             (x0, y0, _), (x1, y1, m) = chain[0], chain[-1]
             run = bool(runs) and any(x in runs for x, _, _ in chain)
-            if min(x1 + m - x0, y1 + m - y0) < least and not run:
+            if (min(x1 + m - x0, y1 + m - y0) < least and not run
+                    and not ((wide >= x0) & (wide < x1 + m)).any()):
                 continue
             for c, v in (("x", a[which[s]].tobytes()), ("y", b[which[s]].tobytes()),
                          ("x_low", 0 if run else max(0, x0 - REACH)), ("x_high", END if run else x1 + m + REACH),

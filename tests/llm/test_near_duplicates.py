@@ -273,6 +273,24 @@ def test_passages(spark, monkeypatch):
     assert S.repeated_passages(awkward(spark, [(1, None), (2, "a b")])).count() == 0
 
 
+def test_passages_of_frequent_lines(spark):
+    """Two texts share lines in a row that many others hold one by one."""
+    rng = random.Random(21)
+    new = lambda k: [f"m{rng.randrange(10**6)}" for _ in range(k)]
+    lines = [new(26 + k % 3) for k in range(8)]
+    parts = [[a] for a in range(8) for _ in range(40)] + [
+        [a, b] for a in range(8) for b in range(8) if a < b for _ in range(2)] + [
+        [a, a - 1, a - 2] for a in range(2, 8) for _ in range(2)]
+    rows = [(k, " ".join(new(30) + [w for a in p for w in lines[a]] + new(30))) for k, p in enumerate(parts)]
+    spans = defaultdict(list)
+    for r in S.repeated_passages(awkward(spark, rows)).collect():
+        spans[r.doc_id].append((r.first_word, r.end_word))
+    windows = exact_windows(rows)
+    missed = {rows[row][0] for row, p in windows
+              if not any(a <= p and p + 51 <= b for a, b in spans[rows[row][0]])}
+    assert len({row for row, _ in windows}) == 68 and not missed, (len(missed), sorted(missed))
+
+
 def test_chains_follow_the_best_way():
     rng = random.Random(3)
     for _ in range(60):
