@@ -4,9 +4,10 @@ A page is cut into blocks at block-level tags. Parts whose markup says what they
 are (navigation, footers, forms, comments and so on, by tag, role, class or id)
 are left out. The first pass calls each other block good, bad, near-good or short
 by its length, link density and stop-word density; the second gives undecided
-blocks the label of their nearest decided neighbours. Blocks inside an element
-that marks the article start as good unless they are mostly links, and where a page
-has one, others start as bad. If the names of classes leave nothing of a page, it is
+blocks the label of their nearest decided neighbours. Article marks are a weight in
+the first pass: inside one, blocks need less length and density and may hold more links.
+Where the running text inside outweighs that outside, blocks outside without a content
+mark start as bad. In languages without stop words here length decides alone. If the names of classes leave nothing of a page, it is
 read again without them.
 
 A page is one row and its work stays in its task: no shuffle, no state. The scan
@@ -65,6 +66,8 @@ SPACE = re.compile(r"\s+")
 
 #: Pass 1: words of a short and of a long block, link and stop-word densities.
 SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 6, 20, 0.33, 0.12, 0.25
+#: Signs of scripts that set no spaces between words; two count as a word.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 #: A heading stays with a good block at most this many blocks further on.
 HEADING_REACH = 3
 
@@ -168,25 +171,33 @@ def blocks(page: str, by_names: bool = True) -> list[dict]:
 
 def classify(found: list[dict]) -> list[bool]:
     """Which blocks are main text."""
-    has_article = any(b["article"] == 2 for b in found)
-    labels = []
+    counts, stops = [], []
     for b in found:
         words = [w.strip(".,;:!?()\"'").lower() for w in b["text"].split()]
-        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b["link"] > LINKS and len(words) > 0 and not (b["article"] == 2 and b["link"] < 0.8):
-            label = "bad"
-        elif b["article"] == 2:
-            label = "good"
-        elif has_article:
-            label = "bad"                     # the page says where its article is
-        elif len(words) < SHORT:
-            label = "short"
-        elif density >= STOP_HIGH or b["article"] and len(words) >= LONG:
-            label = "good" if len(words) >= LONG or b["article"] else "near"
-        elif density >= STOP_LOW:
-            label = "near"
-        else:
+        counts.append(len(words) + len(UNSPACED.findall(b["text"])) // 2)
+        stops.append(sum(w in STOP_WORDS for w in words))
+    running = [b["link"] <= LINKS and n >= LONG for b, n in zip(found, counts)]
+    # Text in a language without stop words here is as dense as its length allows.
+    known = (sum(k for k, x in zip(stops, running) if x)
+             >= STOP_LOW * sum(n for n, x in zip(counts, running) if x))
+    density = [k / max(1, n) if known else STOP_HIGH if n >= LONG else STOP_LOW for k, n in zip(stops, counts)]
+    dense = [n if x and d >= STOP_LOW else 0 for n, x, d in zip(counts, running, density)]
+    inside = sum(n for n, b in zip(dense, found) if b["article"] == 2)
+    outweighs = any(b["article"] == 2 for b in found) and inside >= sum(dense) - inside
+    labels = []
+    for b, n, d in zip(found, counts, density):
+        if b["link"] > LINKS and n > 0 and not (b["article"] == 2 and b["link"] < 0.8):
             label = "bad"
+        elif outweighs and not b["article"]:
+            label = "bad"                     # most of the text is in the marked article
+        elif n < SHORT:
+            label = "near" if b["article"] == 2 else "short"
+        elif d >= STOP_HIGH or b["article"] and n >= LONG:
+            label = "good" if n >= LONG or b["article"] else "near"
+        elif d >= STOP_LOW:
+            label = "good" if b["article"] == 2 else "near"
+        else:                                 # in an article it goes by its neighbours
+            label = "near" if b["article"] == 2 else "bad"
         labels.append(label)
     decided = list(labels)
     n = len(found)

@@ -234,3 +234,18 @@ def test_html_names_of_parts():
             f'<article class="comment"><p>{story}</p></article></main>')
     assert html_extract.main_text(page) == f"T\n{story}"
     assert html_extract.main_text(f'<div class="sidebar-wrap"><p>{story}</p></div>') == story
+
+
+def test_html_article_marks_are_a_weight():
+    story = ("The council said on Monday that it would not close the bridge to the island, as had been planned for "
+             "this year, and that the work on it is to be done at night.")
+    card = "<article><a href=x>More</a><p>Read about the new harbour and the ships in it.</p></article>"
+    page = f"<div id=content><p>{story}</p><p>{story}</p></div><div>{card}</div>"
+    assert html_extract.main_text(page).split("\n")[:2] == [story, story]
+    page = f"<div><p>{story}</p><p>{story}</p></div>{card}"
+    assert html_extract.main_text(page).split("\n")[:2] == [story, story]
+    page = f"<article><p>{story}</p><p>So it is.</p><p>{story}</p></article><p>{story} Imprint.</p>"
+    assert html_extract.main_text(page) == "\n".join([story, "So it is.", story])
+    for other in ("Ủy ban nhân dân thành phố quyết định ban hành quy chế mới về quản lý đất đai trên địa bàn các quận "
+                  "huyện từ đầu năm sau theo đề nghị của sở", "市政府周一表示不会按照原计划关闭通往岛屿的桥梁，" * 3):
+        assert html_extract.main_text(f"<div><a href=x>A</a></div><div><p>{other}</p></div>") == other
