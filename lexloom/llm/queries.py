@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, html_extract, jaccard_join, packing, secret_scan, sharding, topk_search,
+from . import (byte_bpe, decontaminate, html_extract, jaccard_join, packing, secret_scan, sharding, topk_search,
                substring_dedup, toxicity, url_filter)
 
 QUERIES: dict = {}
@@ -127,3 +127,8 @@ def op9_decontamination(spark, sf_dir):
 @query()
 def op7_substring_dedup(spark, sf_dir):
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_byte_bpe(spark, sf_dir):
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
