@@ -50,30 +50,37 @@ class PerfectHash:
             raise ValueError("keys repeat")
         self.size = len(keys)
         self.n_buckets = max(1, -(-len(keys) // per_bucket))
-        self.keys: list[bytes | None] = [None] * len(keys)
-        self.numbers = [-1] * len(keys)
+        for self.seed in range(100):       # few keys may need another hash
+            if self._place(keys):
+                return
+        raise ValueError("keys have equal hashes")
+
+    def _place(self, keys: list[bytes]) -> bool:
+        self.keys: list[bytes | None] = [None] * self.size
+        self.numbers = [-1] * self.size
         self.displaced = [(0, 0)] * self.n_buckets
         buckets: list[list[int]] = [[] for _ in range(self.n_buckets)]
         parts = []
         for i, key in enumerate(keys):
-            h = xxhash.xxh3_128_intdigest(key)
+            h = xxhash.xxh3_128_intdigest(key, self.seed)
             parts.append((h >> 64, h & _HALF))
             buckets[(h & _HALF) % self.n_buckets].append(i)
         order = sorted((b for b in range(self.n_buckets) if buckets[b]), key=lambda b: -len(buckets[b]))
         singles = [b for b in order if len(buckets[b]) == 1]
         for b in order[:len(order) - len(singles)]:
-            for d in range(self.size * self.size):
+            for d in range(min(self.size * self.size, 1 << 20)):
                 times, add = divmod(d, self.size)
                 slots = [(parts[i][0] + times * parts[i][1] + add) % self.size for i in buckets[b]]
                 if len(set(slots)) == len(slots) and all(self.numbers[s] < 0 for s in slots):
                     break
             else:
-                raise ValueError("two keys have the same hash")
+                return False
             self._put(b, (times, add), slots, buckets[b], keys)
         free = [s for s in range(self.size) if self.numbers[s] < 0]
         for b, slot in zip(singles, free):
             add = (slot - parts[buckets[b][0]][0]) % self.size
             self._put(b, (0, add), [slot], buckets[b], keys)
+        return True
 
     def _put(self, bucket: int, displacement: tuple[int, int], slots, numbers, keys) -> None:
         self.displaced[bucket] = displacement
@@ -84,7 +91,7 @@ class PerfectHash:
         """The number of a key, -1 for other strings."""
         if not self.size:
             return -1
-        h = xxhash.xxh3_128_intdigest(key)
+        h = xxhash.xxh3_128_intdigest(key, self.seed)
         second = h & _HALF
         times, add = self.displaced[second % self.n_buckets]
         slot = ((h >> 64) + times * second + add) % self.size
