@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, decontaminate, html_extract, jaccard_join, packing, secret_scan, sharding, topk_search,
+from . import (byte_bpe, decontaminate, html_extract, importance_sample, jaccard_join, packing, secret_scan, sharding, topk_search,
                substring_dedup, toxicity, url_filter)
 
 QUERIES: dict = {}
@@ -132,3 +132,49 @@ def op7_substring_dedup(spark, sf_dir):
 @query()
 def op11_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of a word's bytes, from the table of the reflected polynomial.
+_CRC32 = """
+crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc)"""
+_CRC32_OF = """xor(list_reduce(list_transform(range(strlen({0})), lambda i:
+    ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT), lambda c, b:
+    xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+
+
+@query(f"""
+WITH {_CRC32},
+texts AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT 'b', 0, NULL, text FROM benchmark),
+lists AS (
+  SELECT kind, r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'),
+    lambda x: x <> '') AS words FROM texts),
+features AS (SELECT kind, r, unnest(words) AS word FROM lists),
+hashed AS (SELECT word, {_CRC32_OF.format("word")} % 10000 AS bucket
+           FROM (SELECT DISTINCT word FROM features), crc_table),
+counts AS (
+  SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t
+  FROM features JOIN hashed USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE
+    / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+weights AS (
+  SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM features JOIN hashed USING (word) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY r),
+scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)
+      / 4294967296)))::BIGINT AS score
+  FROM lists LEFT JOIN weights USING (r) WHERE kind = 'd'),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked
+""")
+def op12_importance_sample(spark, sf_dir):
+    return importance_sample.importance_sample(table(spark, sf_dir, "documents"),
+                                               table(spark, sf_dir, "benchmark"))
