@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, decontaminate, html_extract, importance_sample, jaccard_join, packing, secret_scan, sharding, topk_search,
-               substring_dedup, toxicity, url_filter)
+from . import (byte_bpe, conversation_repair, decontaminate, html_extract, importance_sample, jaccard_join, packing,
+               secret_scan, sharding, substring_dedup, topk_search, toxicity, url_filter)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -178,3 +178,8 @@ SELECT doc_id, n_features, weight, score,
 def op12_importance_sample(spark, sf_dir):
     return importance_sample.importance_sample(table(spark, sf_dir, "documents"),
                                                table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_report(conversation_repair.damage(table(spark, sf_dir, "conversations")))

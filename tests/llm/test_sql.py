@@ -14,5 +14,5 @@ def test_query(spark, name):
 
 def test_registered():
     found = entry.queries()
-    assert sorted(int(k[2:].split("_")[0]) for k in found if k[:2] == "op" and k[2].isdigit()) == list(range(1, 13))
+    assert sorted(int(k[2:].split("_")[0]) for k in found if k[:2] == "op" and k[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in found and set(QUERIES) <= set(found)
