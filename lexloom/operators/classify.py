@@ -1,14 +1,15 @@
 """Keyword classification of tables, with fixed rules or rules given as data."""
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv, rules as R
 from ..session import materialize
 
-#: Characters of keywords that one automaton holds; they are collected and broadcast.
-MAX_RULE_CHARS = 4_000_000
+#: Characters of keywords that are broadcast at once.
+MAX_RULE_CHARS = 200_000
+#: Characters of the grams under which keywords are filed.
+GRAM = 8
 
 
 def classify_documents(df: DataFrame, text: str = "text", rules=None, default=None,
@@ -26,50 +27,62 @@ def classify_join(df: DataFrame, rules_df: DataFrame, default: str, key: str,
     """(key, label), one row per row, with rules (priority, label, keyword) given as a
     table: the contained keyword of least priority decides, then label, then keyword.
 
-    The rules become an automaton that reads each text once and finds all keywords,
-    however many there are; there is no join, so keys may repeat or be NULL. Rules are
-    collected in slices of at most `max_chars` characters (or one rule), whose number
-    follows their total length; each slice is one more look at the text."""
+    A keyword can only be in a text that holds each of its grams (runs of eight
+    characters, or the keyword itself if it is shorter), so every rule is filed under
+    the gram that it shares with the fewest other rules. One pattern finds these grams
+    in a text; they meet the rules in an equi-join inside the task, the keyword is
+    looked for in the text, and the least rule of each row is a partial minimum: texts
+    are never shuffled, rows without a rule stay, and keys may repeat or be NULL.
+
+    Rules are broadcast in slices of about `max_chars` characters (or one rule), whose
+    number follows their total length; each slice is one more look at the text."""
     wanted = rules_df.select("priority", "label", F.lower("keyword").alias("keyword")).where(
         "priority is not null and label is not null and length(keyword) > 0").distinct()
-    chars = wanted.agg(F.sum(F.length("keyword").cast("long"))).first()[0] or 0
+    starts = F.sequence(F.lit(1), F.greatest(F.length("keyword") - GRAM + 1, F.lit(1)))
+    grams = wanted.withColumn("_gram", F.explode(F.transform(starts, lambda i: F.substring("keyword", i, GRAM))))
+    shared = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rules = materialize(grams.join(shared, "_gram").groupBy("priority", "label", "keyword")
+                        .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram")))
+    chars = rules.agg(F.sum(F.length("keyword").cast("long"))).first()[0] or 0
     n = max(1, -(-chars // max(1, max_chars // 2)))
-    part = F.pmod(F.xxhash64("keyword"), F.lit(n))
-    best = T.StructType([T.StructField("priority", wanted.schema["priority"].dataType),
-                         T.StructField("label", T.StringType()), T.StructField("keyword", T.StringType())])
-    rows = df.select(F.col(key).alias("_key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"),
-                     F.lit(None).cast(best).alias("_best"))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"),
+                     F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    rows = materialize(rows) if n > 1 else rows                             # one numbering for all slices
+    rule = F.when(F.col("keyword").isNotNull(), F.struct("priority", "label", "keyword"))
+    best = None
     for i in range(n):
-        rules = [tuple(r) for r in wanted.where(part == i).collect()]
-        if rules:
-            spread = df.sparkSession.sparkContext.broadcast(sorted(rules))
-            rows = rows.mapInArrow(_first_rules(spread), schema)
-            rows = materialize(rows) if n > 1 else rows     # one automaton in memory at a time
-    return rows.select(F.col("_key").alias(key), F.coalesce("_best.label", F.lit(default)).alias(name))
+        own = rules.where(F.pmod(F.xxhash64("keyword"), F.lit(n)) == i)
+        known = [r[0] for r in own.select("_gram").distinct().collect()]    # at most max_chars characters
+        found = [F.regexp_extract_all("_low", F.lit(p), F.lit(1)) for p in _patterns(known)]
+        none = F.array(F.lit(None).cast("string"))                          # joins nothing and keeps the row
+        spread = rows.withColumn("_g", F.explode(F.array_distinct(F.concat(none, *found))))
+        hit = (F.col("_g") == F.col("_gram")) & F.contains("_low", "keyword")
+        found = (spread.join(F.broadcast(own), hit, "left").groupBy("_row")
+                 .agg(F.first("_key").alias("_key"), F.min(rule).alias("_best")))
+        best = found if best is None else best.unionByName(found)
+    if n > 1:
+        best = best.groupBy("_row").agg(F.first("_key").alias("_key"), F.min("_best").alias("_best"))
+    return best.select(F.col("_key").alias(key), F.coalesce("_best.label", F.lit(default)).alias(name))
+
 
+def _patterns(grams: list[str]) -> list[str]:
+    """Patterns that find all of some strings of up to GRAM characters, wherever they
+    overlap: one for each length, as a tree by their first characters."""
+    def sign(c: str) -> str:
+        return f"\\x{{{ord(c):x}}}"
 
-def _first_rules(spread):
-    """A batch function: the least of `_best` and the rules whose keyword is in `_low`."""
-    def run(batches):
-        import ahocorasick
+    def tree(rest: list[str]) -> str:
+        if len(rest[0]) == 1:
+            return f"[{''.join(sign(c) for c in rest)}]"
+        heads: dict[str, list[str]] = {}
+        for g in rest:
+            heads.setdefault(g[0], []).append(g[1:])
+        return "(?:" + "|".join(sign(c) + tree(tails) for c, tails in heads.items()) + ")"
 
-        rules = spread.value
-        automaton = ahocorasick.Automaton()
-        for rank in range(len(rules) - 1, -1, -1):          # of equal keywords the first rule stays
-            automaton.add_word(rules[rank][2], rank)
-        automaton.make_automaton()
-        for batch in batches:
-            best = []
-            for text, old in zip(batch["_low"].to_pylist(), batch["_best"].to_pylist()):
-                rank = min((r for _, r in automaton.iter(text)), default=None)
-                new = None if rank is None else dict(zip(("priority", "label", "keyword"), rules[rank]))
-                both = [b for b in (old, new) if b]
-                best.append(min(both, key=lambda b: tuple(b.values())) if both else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch["_key"], batch["_low"], pa.array(best, batch.schema.field("_best").type)],
-                ["_key", "_low", "_best"])
-    return run
+    lengths: dict[int, list[str]] = {}
+    for g in sorted(grams):
+        lengths.setdefault(len(g), []).append(g)
+    return [f"(?=[{''.join(sorted({sign(g[0]) for g in some}))}])(?=({tree(some)}))" for some in lengths.values()]
 
 
 def label_counts(labelled: DataFrame, labels, name: str = "label") -> DataFrame:

@@ -1,14 +1,13 @@
 """The document table: upsert, update, lookup, listing, delete, schema.
 
-Every operator maps tables to tables. Versions of one document are reduced to
-key, order and a hash on the map side before the shuffle; only the winners' rows
-travel whole, so an id with very many versions is no hot key.
+Every operator maps tables to tables. Versions of one document are reduced on the
+map side before the shuffle, so an id with very many versions is no hot key.
 """
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("document_id", T.StringType(), False),
@@ -21,21 +20,32 @@ DOCUMENT_SCHEMA = T.StructType([
 ])
 
 
-def latest_versions(df: DataFrame, key: str = "document_id", order=("updated_at",)) -> DataFrame:
-    """The last row per key by the order columns; equal ones by a hash of the row.
+def is_stored(df: DataFrame) -> bool:
+    """Whether a DataFrame is a table of files as it lies there: to read it again costs
+    a scan of the columns asked for and no other work."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
 
-    The winning order is found first, without the rows' other columns, by a maximum
-    that is partial before the shuffle. The rows then meet it by key, order and hash
-    together, which spreads the versions of one key. Equal rows count once."""
+
+def latest_versions(df: DataFrame, key: str = "document_id", order=("updated_at",),
+                    stored: bool | None = None) -> DataFrame:
+    """The last row per key by the order columns; equal ones by a hash of the row. Equal
+    rows count once.
+
+    Computed rows take one shuffle with a partial maximum: of each task at most one row
+    a key travels. A stored table is read twice instead: first key and order alone,
+    without the wide columns, then the rows that have a key's last order; those that
+    tie are settled by a partial minimum of the hash."""
     rest = [c for c in df.columns if c != key and c not in order]
-    hashed = df.withColumn("_h", F.xxhash64(*rest) if rest else F.lit(0).cast("long"))
-    best = (hashed.groupBy(key).agg(F.max(F.struct(*order, "_h")).alias("_b"))
-            .select(F.col(key).alias("_k"), *[F.col(f"_b.{c}").alias(f"_b_{c}") for c in (*order, "_h")]))
-    same = [F.col(key).eqNullSafe(F.col("_k"))] + [
-        F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in (*order, "_h")]
-    won = hashed.join(best, reduce(lambda a, b: a & b, same), "left_semi")
-    one = Window.partitionBy(key).orderBy("_h")
-    return won.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*df.columns)
+    row, digest = F.struct(*df.columns), F.xxhash64(*rest) if rest else F.lit(0).cast("long")
+    if is_stored(df) if stored is None else stored:
+        best = (df.groupBy(key).agg(F.max(F.struct(*order)).alias("_b"))
+                .select(F.col(key).alias("_k"), *[F.col(f"_b.{c}").alias(f"_b_{c}") for c in order]))
+        same = [F.col(key).eqNullSafe(F.col("_k"))] + [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in order]
+        df = df.join(best, reduce(lambda a, b: a & b, same), "left_semi")
+        last = F.min_by(row, digest)
+    else:
+        last = F.max_by(row, F.struct(*order, F.bitwise_not(digest).alias("_h")))
+    return df.groupBy(F.col(key).alias("_k")).agg(last.alias("_r")).select("_r.*")
 
 
 def upsert_documents(base: DataFrame, incoming: DataFrame, key: str = "document_id",

@@ -521,7 +521,7 @@ def pick_candidate(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT conv_id AS doc_key, string_agg(text, chr(10) ORDER BY turn) AS text
-    FROM conversations WHERE role = 'user' AND conv_id % 2 = 0 OR turn = 0 GROUP BY conv_id),
+    FROM conversations WHERE role = 'user' GROUP BY conv_id),
   r AS (SELECT conv_id AS doc_key, string_agg(text, chr(10) ORDER BY turn) AS rec
     FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
   SELECT doc_key, CASE WHEN length(trim(text)) >= 50 THEN text WHEN trim(coalesce(rec, '')) <> '' THEN rec
@@ -529,12 +529,10 @@ def pick_candidate(spark, sf_dir):
     WHEN trim(coalesce(rec, '')) <> '' THEN 'recognised' ELSE 'failed' END AS status
   FROM n LEFT JOIN r USING (doc_key)""")
 def choose_text(spark, sf_dir):
-    """Turns of the user as native text, those of the assistant as recognised text;
-    of every second conversation the first turn alone is native."""
+    """Turns of the user as native text, those of the assistant as recognised text."""
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "doc_key")
     joined = lambda rows: A.ordered_text(rows, "doc_key", "turn", F.col("text"), "\n")
-    native = turns.where("role = 'user' and doc_key % 2 = 0 or turn = 0")
-    return A.choose_text(joined(native), joined(turns.where("role = 'assistant'")))
+    return A.choose_text(joined(turns.where("role = 'user'")), joined(turns.where("role = 'assistant'")))
 
 
 @query(f"""WITH {_TURNS} SELECT doc_key,
@@ -766,26 +764,37 @@ def assign_keys(spark, sf_dir):
     return FS.assign_keys(_as_files(docs, "UTF-8")).select("path", "document_id", "filename", "stored_name")
 
 
-@query(f"""SELECT {_PATH} AS path, CASE WHEN lang IN ('en', 'de') THEN text END AS text,
-  CASE WHEN lang IN ('en', 'de') THEN 'ok' ELSE 'needs_parser' END AS status
-  FROM documents WHERE lang <> 'es'""")
+def _below(folder: str):
+    """The path of a file below a folder, from its slash on."""
+    return F.regexp_extract("path", f"{folder.split(':')[-1]}(/.*)", 1)
+
+
+@query(f"""SELECT {_PATH} AS path, text, 'ok' AS status FROM documents WHERE lang IN ('en', 'de')
+  UNION ALL SELECT {_PATH}, NULL, CASE lang WHEN 'fr' THEN 'needs_parser' ELSE 'unsupported_extension' END
+  FROM documents WHERE lang NOT IN ('en', 'de')""")
 def read_text_files(spark, sf_dir):
-    accepted, _ = FS.accept_files(_as_files(table(spark, sf_dir, "documents")))
-    return FS.extract_text(accepted).select("path", "text", "status")
+    """The documents written as files of their own, in two encodings, and read again:
+    text files with their text, all others with the reason."""
+    folder = work_folder(spark)
+    FS.write_files(_as_files(table(spark, sf_dir, "documents")), folder)
+    texts = FS.read_text_files(spark, folder).select(_below(folder).alias("path"), "text", "status")
+    return texts.unionByName(FS.unread_files(spark, folder).select(
+        _below(folder).alias("path"), F.lit(None).cast("string").alias("text"), F.col("reason").alias("status")))
+
+
+_BYTES = "CASE WHEN lang = 'de' THEN length(text) ELSE strlen(text) END"
 
 
-@query(f"""SELECT concat(doc_id, {_EXT}) AS filename, CASE WHEN lang IN ('en', 'de') AND n_chars <= 5000
+@query(f"""SELECT concat(doc_id, {_EXT}) AS filename, CASE WHEN lang IN ('en', 'de') AND {_BYTES} <= 5000
   THEN {_NORMAL.format('text')} END AS text, CASE WHEN lang = 'es' THEN 'unsupported_extension'
-  WHEN n_chars > 5000 THEN 'too_large' WHEN lang = 'fr' THEN 'needs_parser' ELSE 'ok' END AS status FROM documents""")
+  WHEN {_BYTES} > 5000 THEN 'too_large' WHEN lang = 'fr' THEN 'needs_parser' ELSE 'ok' END AS status FROM documents""")
 def stream_ingest(spark, sf_dir):
-    """The documents as a stream of arriving files, ingested to the end, delivered
-    again by a second stream, compacted, and read back from the store."""
+    """The documents as files that arrive in a folder, ingested to the end, delivered
+    again to a second stream, compacted, and read back from the store."""
     folder = work_folder(spark)
-    schema = table(spark, sf_dir, "documents").schema
+    FS.write_files(_as_files(table(spark, sf_dir, "documents")), f"{folder}/in")
     for again in ("first", "second"):
-        arriving = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-                    .parquet(sf_dir))
-        ingest.start_upserts(FS.file_outcomes(_as_files(arriving), max_bytes=5000), f"{folder}/store",
-                             f"{folder}/{again}").awaitTermination()
+        ingest.stream_ingest(spark, f"{folder}/in", f"{folder}/store", f"{folder}/{again}",
+                             max_bytes=5000).awaitTermination()
     ingest.compact_store(spark, f"{folder}/store")
     return ingest.read_store(spark, f"{folder}/store").select("filename", "text", "status")

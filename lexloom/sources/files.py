@@ -99,6 +99,28 @@ def file_outcomes(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES) -> DataF
     return to_documents(accepted).unionByName(others)
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write (path, content) rows as one file each below a shared folder, whatever
+    storage its address names; a path's leading slash is dropped. Each file is moved
+    into place when it is whole, so a repeated task leaves the same files and a reader
+    never meets half of one."""
+    def run(rows):
+        from pyarrow.fs import FileSystem
+
+        store, root = FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        made = set()
+        for row in rows:
+            path = f"{root}/{row.path.lstrip('/')}"
+            parent, name = path.rsplit("/", 1)
+            if parent not in made:
+                store.create_dir(parent, recursive=True)
+                made.add(parent)
+            with store.open_output_stream(f"{parent}/_{name}.part") as out:
+                out.write(bytes(row.content))
+            store.move(f"{parent}/_{name}.part", path)
+    files.select("path", "content").foreachPartition(run)
+
+
 def write_markdown(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One row per document, key and Markdown."""
     df.write.mode(mode).parquet(path)

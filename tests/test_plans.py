@@ -91,10 +91,26 @@ def test_composition_sends_only_risky_text_to_python(spark):
 
 
 def test_nothing_is_broadcast_without_a_size_check(spark):
-    """No operator asks for a broadcast; the engine decides by size."""
+    """One operator asks for a broadcast, of a slice of rules whose characters it has
+    counted; for all others the engine decides by size."""
     from pathlib import Path
-    source = "".join(p.read_text() for p in Path(S.__file__).parents[1].rglob("*.py"))
-    assert "broadcast(" not in source and "crossJoin" not in source and "localCheckpoint" not in source
+    root = Path(S.__file__).parents[1]
+    sources = {str(p.relative_to(root)): p.read_text() for p in root.rglob("*.py")
+               if p.relative_to(root).parts[0] != "llm"}
+    assert [n for n, text in sources.items() if "broadcast(" in text] == ["operators/classify.py"]
+    assert sources["operators/classify.py"].count("broadcast(") == 1
+    assert not any("crossJoin" in text or "localCheckpoint" in text for text in sources.values())
+
+
+def test_rules_meet_texts_without_a_shuffle_of_texts(spark, tmp_path):
+    from lexloom.operators import classify as C
+    spark.createDataFrame([(1, "abc")], "k int, text string").write.parquet(str(tmp_path / "t"))
+    rules = spark.createDataFrame([(1, "x", "bc")], "priority int, label string, keyword string")
+    text = plan(C.classify_join(spark.read.parquet(str(tmp_path / "t")), rules, "none", "k"))
+    shuffled = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert "BroadcastHashJoin" in text and "Python" not in text and len(shuffled) == 1
+    last = text[text.index("Exchange hashpartitioning"):]
+    assert "_low" not in last.splitlines()[1]                # what the shuffle reads: row, key, best rule
 
 
 def test_rendering_grows_with_the_blocks_only(spark, tmp_path):
