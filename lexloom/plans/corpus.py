@@ -105,3 +105,16 @@ def legal_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (heads.join(bodies, heads.o_orderkey == bodies.l_orderkey, "left")
             .select(F.col("o_orderkey").alias("doc_key"),
                     F.concat_ws("\n", "_head", body).alias("text")))
+
+
+#: A last article with points, a procedure and steps, for the outline of a text.
+OUTLINE_TAIL = f"""concat_ws({NL}, 'Điều 90. Hồ sơ', 'Hồ sơ gồm các mục như sau:', concat('a) Đơn số ', doc_key),
+  '  b) Bản sao', concat('đ) Biên lai ', doc_key), '1. Thực hiện', 'Điểm c. Khác', 'Quy trình nộp',
+  concat('- Bước 1: Nộp mục ', doc_key), 'a) Tại quầy', 'Bước 2: Nhận', 'Khoản 2. Thời hạn như sau:', 'a) Một ngày',
+  'như một', case when doc_key % 3 = 0 then 'Chương IX' else 'Phụ lục 7' end, '1. Bảng', concat('Dieu ', doc_key))"""
+
+
+def outline_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The legal texts with that article at their end."""
+    return legal_corpus(spark, sf_dir).select("doc_key", F.concat(
+        "text", F.lit("\n"), F.expr(OUTLINE_TAIL)).alias("text"))

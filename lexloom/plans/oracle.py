@@ -134,3 +134,57 @@ def first_label(low: str, rules, default: str) -> str:
     whens = " ".join("WHEN " + " OR ".join(f"contains({low}, '{w}')" for w in words) +
                      f" THEN '{label}'" for label, words in rules)
     return f"CASE {whens} ELSE '{default}' END"
+
+
+# The outline by windows over lines: a node's parent is the last heading before it of a
+# lower rank, and the node ends before the next heading of its rank or a lower one.
+_HEAD_SQL = [
+    ("chuong", 1, r"(?:\*\*)?Chương[ \t]+([IVXLC\d]+)\b"), ("phu_luc", 1, r"(?:\*\*)?Phụ[ \t]+lục[ \t]+(\d+)"),
+    ("article", 2, r"(?:\*\*)?(?:Điều|Dieu)[ \t]+(\d+)"), ("khoan", 3, r"(?:(\d+)\.[ \t]|Khoản[ \t]+(\d+))"),
+    ("point", 6, r"(?:([a-zđ])\)[ \t]|Điểm[ \t]+([a-zđ])(?:[^\pL\pN_]|$))"), ("buoc", 5, r"(?:-[ \t]*)?Bước[ \t]+(\d+)"),
+    ("quy_trinh", 4, r"Quy[ \t]*trình(?:[^\pL\pN_]|$)()"), ("nhu_sau", 4, r".*như[ \t]+sau\"?[ \t]*:[ \t]*$()")]
+_SEEN = ", ".join(f"max(CASE WHEN rank = {r} THEN node END) OVER before AS r{r}" for r in range(7))
+_NEXT = ", ".join(f"min(CASE WHEN rank <= {r} THEN node END) OVER later AS e{r}" for r in range(7))
+_LEVEL = " + ".join(f"CASE WHEN rank > {r} AND r{r} IS NOT NULL AND r{r} > "
+                    f"greatest(-1, {', '.join(f'coalesce(r{q}, -1)' for q in range(r)) or '-1'}) THEN 1 ELSE 0 END"
+                    for r in range(6))
+
+
+def outline(more: str) -> str:
+    kinds = " ".join(f"WHEN regexp_matches(line, '(?i)^[ \\t]*{p}') THEN '{k}'" for k, _, p in _HEAD_SQL)
+    ranks = " ".join(f"WHEN '{k}' THEN {r}" for k, r, _ in _HEAD_SQL)
+    numbers = " ".join(
+        f"WHEN '{k}' THEN concat(regexp_extract(line, '(?i)^[ \\t]*{p}', 1)"
+        + (f", regexp_extract(line, '(?i)^[ \\t]*{p}', 2))" if k in ("khoan", "point") else ")")
+        for k, _, p in _HEAD_SQL)
+    return f"""WITH {TEXTS}, long AS (SELECT doc_key, concat(text, {NL}, {more}) AS text FROM texts),
+olines AS (SELECT doc_key, unnest(string_split(text, {NL})) AS line,
+    unnest(range(len(string_split(text, {NL})))) AS line_no FROM long),
+kinds AS (SELECT *, CASE {kinds} END AS kind FROM olines),
+numbered AS (SELECT *, count(kind) OVER (PARTITION BY doc_key ORDER BY line_no) AS node FROM kinds),
+nodes AS (
+  SELECT doc_key, CAST(node AS INT) AS node, coalesce(max(kind), 'document') AS kind,
+    coalesce(max(CASE kind {numbers} END), '') AS number, coalesce(max(CASE WHEN kind IS NOT NULL THEN line END), '') AS head,
+    CASE coalesce(max(kind), 'document') {ranks} ELSE 0 END AS rank, string_agg(line, {NL} ORDER BY line_no) AS content
+  FROM numbered GROUP BY doc_key, node),
+roots AS (SELECT * FROM nodes UNION ALL SELECT doc_key, 0, 'document', '', '', 0, '' FROM texts
+  WHERE doc_key NOT IN (SELECT doc_key FROM nodes WHERE node = 0)),
+around AS (SELECT *, count(*) OVER (PARTITION BY doc_key) AS n, {_SEEN}, {_NEXT} FROM roots
+  WINDOW before AS (PARTITION BY doc_key ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    later AS (PARTITION BY doc_key ORDER BY node ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+tree AS (SELECT *, {_LEVEL} AS level,
+    CASE rank {' '.join(f"WHEN {r} THEN nullif(greatest({', '.join(f'coalesce(r{q}, -1)' for q in range(r))}), -1)" for r in range(1, 7))} END AS parent,
+    CASE rank {' '.join(f'WHEN {r} THEN coalesce(e{r}, n)' for r in range(7))} END AS ends,
+    CASE WHEN rank >= 3 AND r2 > greatest(r0, coalesce(r1, -1)) THEN r2 END AS a,
+    CASE WHEN rank >= 4 AND r3 > greatest(r0, coalesce(r1, -1), coalesce(r2, -1)) THEN r3 END AS c FROM around),
+named AS (SELECT t.*, CASE WHEN t.rank = 2 THEN t.number ELSE coalesce(x.number, '') END AS art,
+    CASE WHEN t.rank = 3 THEN t.number ELSE coalesce(y.number, '') END AS cl
+  FROM tree t LEFT JOIN nodes x ON x.doc_key = t.doc_key AND x.node = t.a
+    LEFT JOIN nodes y ON y.doc_key = t.doc_key AND y.node = t.c)
+SELECT doc_key, node, CAST(parent AS INT) AS parent, CAST(2 * node - level + 1 AS INT) AS "left",
+  CAST(2 * ends - level AS INT) AS "right", CAST(level AS INT) AS level, kind, number,
+  CASE WHEN kind = 'chuong' THEN trim(replace(head, '**', '')) WHEN kind = 'phu_luc' THEN concat('Phụ lục ', number)
+    WHEN kind = 'article' THEN concat('Điều ', art) WHEN kind = 'khoan' THEN concat('Điều ', art, ', Khoản ', cl)
+    WHEN kind = 'point' THEN concat('Điều ', art, ', Khoản ', cl, ', Điểm ', number)
+    WHEN kind <> 'document' THEN concat('Điều ', art, CASE WHEN cl <> '' THEN concat(', Khoản ', cl) ELSE '' END) END AS source,
+  content FROM named"""

@@ -6,13 +6,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import extract as X, fixed_values as fv, rules as R, text as T
-from ..operators import (assemble as A, classify as C, lookups as L, render as M, segment as S,
-                         store as D)
+from ..operators import (assemble as A, classify as C, lookups as L, outline as OL, render as M,
+                         segment as S, store as D)
 from ..session import stage_folder
 from ..sources import files as FS
 from ..streaming import ingest
 from . import oracle as O
-from .corpus import legal_corpus
+from .corpus import OUTLINE_TAIL, legal_corpus, outline_corpus
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -798,3 +798,14 @@ def stream_ingest(spark, sf_dir):
                              max_bytes=5000).awaitTermination()
     ingest.compact_store(spark, f"{folder}/store")
     return ingest.read_store(spark, f"{folder}/store").select("filename", "text", "status")
+
+
+# ---------------------------------------------------------------------------
+# Outline
+# ---------------------------------------------------------------------------
+
+@query(O.outline(OUTLINE_TAIL))
+def outline(spark, sf_dir):
+    """Every heading of the legal texts in its tree; of the document alone no source."""
+    nodes = OL.outline(outline_corpus(spark, sf_dir)).drop("article_num", "clause_num")
+    return nodes.withColumn("source", F.when(F.col("kind") != "document", F.col("source")))
