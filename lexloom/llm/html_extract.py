@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -44,13 +45,15 @@ BLOCK_TAGS = frozenset("address article aside blockquote body center dd details
                        "caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id or role that mark a part as not the article.
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion"
-    r"|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|foot|masthead|topbar|sitehead|siteheader"
-    r"|sidebar|side|aside|widget|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal"
-    r"|overlay|subscribe|subscription|newsletter|signup|login|share|sharing|social|related|recommended"
-    r"|comment|comments|commentlist|disqus|respond|replies|discussion|pagination|pager|tags|toolbar|search|form"
-    r"|skip|hidden|complementary|contentinfo|dialog|toc)(?:$|[\s_-])", re.I)
+BOILER = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar "
+    "navigation menu breadcrumb breadcrumbs footer foot masthead topbar sitehead siteheader sidebar side aside "
+    "widget cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe "
+    "subscription newsletter signup login share sharing social related recommended comment comments commentlist "
+    "disqus respond replies discussion pagination pager tags toolbar search form skip hidden complementary "
+    "contentinfo dialog toc".split())
+#: Running text: here a name counts as a whole only, since its parts may speak of the text.
+TEXT_TAGS = frozenset("p li blockquote".split()) | HEADINGS
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 READERS = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies)(?:$|[\s_-])", re.I)
 #: "has-sidebar" and the like say something of the parts around it.
@@ -60,8 +63,9 @@ ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|conte
 WHOLE_TAGS = frozenset("html body main".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)"
                    r"|<[!?][^>]*(?:>|$)", re.S)
-MARKS = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:\bhidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMED = frozenset("class id role itemprop".split())
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 #: Pass 1: words of a short and of a long block, link and stop-word densities.
@@ -72,6 +76,34 @@ UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3
 HEADING_REACH = 3
 
 
+def names_boiler(marks: str, tag: str) -> bool:
+    """Whether a word of class, id or role, or its first or last part, rules a part out."""
+    for word in marks.lower().split():
+        if word in BOILER:
+            return True
+        if tag not in TEXT_TAGS:
+            parts = [x for x in re.split("[-_]", word) if x]
+            if parts and (parts[0] in BOILER or parts[-1] in BOILER):
+                return True
+    return False
+
+
+def attributes_of(text: str) -> tuple[str, bool]:
+    """(values of the naming attributes, whether the element is hidden)."""
+    marks, hidden = [], False
+    for name, a, b, c in ATTRIBUTE.findall(text):
+        name, value = name.lower(), a or b or c
+        if name in NAMED:
+            marks.append(value)
+        elif name == "hidden":
+            hidden = hidden or value.lower() != "false"
+        elif name == "aria-hidden":
+            hidden = hidden or value.strip().lower() == "true"
+        elif name == "style":
+            hidden = hidden or bool(NOT_SHOWN.search(value))
+    return " ".join(marks), hidden
+
+
 def blocks(page: str, by_names: bool = True) -> list[dict]:
     """Text blocks in page order, without the parts that markup rules out: text, link
     (share of characters in links), article (2 in an article, 1 in the main part or in
@@ -79,11 +111,28 @@ def blocks(page: str, by_names: bool = True) -> list[dict]:
     out: list[dict] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, int]] = []          # tag, skipped, article
-    skipped = links = 0
+    where: dict[str, list[int]] = defaultdict(list)  # places of each tag in the stack
+    walls: list[int] = []                            # places of blocks in the stack
+    ends: list[int] = []                             # and of those that are no headings
+    skipped = links = headings = 0
     article = [0, 0, 0]                              # open elements of each degree
-    heading = False
     at, end = 0, len(page)
 
+    def cut(place: int):
+        """Close the elements from a place of the stack on."""
+        nonlocal skipped, links, headings
+        while len(stack) > place:
+            tag, skip, degree = stack.pop()
+            where[tag].pop()
+            if tag in BLOCK_TAGS:
+                walls.pop()
+                if tag not in HEADINGS:
+                    ends.pop()
+            skipped -= skip
+            article[degree] -= 1
+            links -= tag == "a"
+            headings -= tag in HEADINGS
+
     def flush():
         nonlocal parts
         if parts:
@@ -91,7 +140,7 @@ def blocks(page: str, by_names: bool = True) -> list[dict]:
             if text:
                 linked = sum(len(t) for t, is_link in parts if is_link)
                 out.append({"text": text, "link": linked / max(1, sum(len(t) for t, _ in parts)),
-                            "article": 2 if article[2] else int(article[1] > 0), "heading": heading})
+                            "article": 2 if article[2] else int(article[1] > 0), "heading": headings > 0})
             parts = []
 
     while at < end:
@@ -108,18 +157,10 @@ def blocks(page: str, by_names: bool = True) -> list[dict]:
         if token[1]:                                                 # end tag
             if tag in BLOCK_TAGS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    for _, s, a in stack[i:]:
-                        skipped -= s
-                        article[a] -= 1
-                    links -= sum(t == "a" for t, _, _ in stack[i:])
-                    del stack[i:]
-                    break
-                # A stray inline end tag does not close blocks around it.
-                if tag not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
-                    break
-            heading = any(t in HEADINGS for t, _, _ in stack)
+            # A stray inline end tag does not close blocks around it.
+            place = where[tag][-1] if where[tag] else -1
+            if place >= 0 and (tag in BLOCK_TAGS or not walls or place > walls[-1]):
+                cut(place)
             continue
         if tag in BLOCK_TAGS:
             flush()
@@ -127,27 +168,17 @@ def blocks(page: str, by_names: bool = True) -> list[dict]:
             parts.append((" ", links > 0))
         if tag in VOID_TAGS:
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack:
-            # These end an open one of their kind, and what is open inside it.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    for _, s, a in stack[i:]:
-                        skipped -= s
-                        article[a] -= 1
-                    links -= sum(t == "a" for t, _, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK_TAGS and stack[i][0] not in HEADINGS:
-                    break
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and ends and stack[ends[-1]][0] == tag:
+            cut(ends[-1])        # these end an open one of their kind, and what is open inside it
         attributes = token[3] or ""
-        marks = " ".join(filter(None, (x for m in MARKS.findall(attributes) for x in m)))
+        marks, hidden = attributes_of(attributes)
         marks = ABOUT_OTHERS.sub(" ", marks) if by_names else ""
         inside = article[1] + article[2] > 0
         skip = (tag in SKIP_TAGS or tag == "header" and not inside
                 or tag == "article" and bool(READERS.search(marks))
                 or tag not in WHOLE_TAGS and tag != "article" and bool(
-                    BOILER.search(marks) or not inside and HEADER.search(marks))
-                or bool(HIDDEN.search(attributes)))
+                    names_boiler(marks, tag) or not inside and HEADER.search(marks))
+                or hidden)
         degree = 0
         if not skip and tag not in ("html", "body"):
             if tag == "article" or "articlebody" in marks.lower():
@@ -160,11 +191,16 @@ def blocks(page: str, by_names: bool = True) -> list[dict]:
             continue
         if attributes.rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
+        where[tag].append(len(stack))
+        if tag in BLOCK_TAGS:
+            walls.append(len(stack))
+            if tag not in HEADINGS:
+                ends.append(len(stack))
         stack.append((tag, skip, degree))
         skipped += skip
         article[degree] += 1
         links += tag == "a"
-        heading = heading or tag in HEADINGS
+        headings += tag in HEADINGS
     flush()
     return out
 
@@ -218,6 +254,9 @@ def classify(found: list[dict]) -> list[bool]:
     if "good" not in decided and "near" in labels:
         # Nothing was long enough to decide: the running text itself is the article.
         decided = ["good" if x == "near" else d for x, d in zip(labels, decided)]
+    elif "good" not in decided:
+        # Nor is there running text: short blocks are all that a page may have.
+        decided = ["good" if x == "short" else d for x, d in zip(labels, decided)]
     return [d == "good" for d in decided]
 
 

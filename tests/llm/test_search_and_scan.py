@@ -5,6 +5,7 @@ import random
 import string
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -249,3 +250,46 @@ def test_html_article_marks_are_a_weight():
     for other in ("Ủy ban nhân dân thành phố quyết định ban hành quy chế mới về quản lý đất đai trên địa bàn các quận "
                   "huyện từ đầu năm sau theo đề nghị của sở", "市政府周一表示不会按照原计划关闭通往岛屿的桥梁，" * 3):
         assert html_extract.main_text(f"<div><a href=x>A</a></div><div><p>{other}</p></div>") == other
+
+
+# HTML: names and attributes that must not hide text --------------------------
+
+ARTICLE_TEXT = "".join(f"<p>The quick brown fox jumps over the lazy dog and it is what we all want to see in "
+                       f"the end, number {i} of the list.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="relative overflow-hidden rounded">{ARTICLE_TEXT}</div>',
+    f'<article title="The hidden valley">{ARTICLE_TEXT}</article>',
+    f'<div data-note="hidden menu" class="no-sidebar">{ARTICLE_TEXT}</div>',
+    f'<article aria-hidden="false">{ARTICLE_TEXT}</article>'])
+def test_words_in_attributes_hide_nothing(page):
+    assert html_extract.main_text(page).count("quick brown") == 5
+
+
+@pytest.mark.parametrize("page", [
+    f"<div hidden>{ARTICLE_TEXT}</div>", f'<div style="color:red; display : none">{ARTICLE_TEXT}</div>',
+    f"<section aria-hidden=true>{ARTICLE_TEXT}</section>", f'<div class="cookie-bar">{ARTICLE_TEXT}</div>'])
+def test_hidden_parts(page):
+    kept = html_extract.main_text(page + f"<main>{ARTICLE_TEXT.replace('fox', 'cat')}</main>")
+    assert "cat" in kept and "fox" not in kept
+
+
+def test_paragraphs_named_after_their_subject():
+    page = (f'<article>{ARTICLE_TEXT}<p class="side-effects">It is one of the side effects that we know of.</p>'
+            '<p class="ad">Buy it now.</p></article>')
+    kept = html_extract.main_text(page)
+    assert "side effects" in kept and "Buy" not in kept
+
+
+def test_pages_of_short_blocks():
+    assert html_extract.main_text("<p>Hello world.</p>") == "Hello world."
+    assert html_extract.main_text("<nav>Home</nav><p>Xin chào.</p><p>Tạm biệt.</p>") == "Xin chào.\nTạm biệt."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "<b>x</i>" * 50_000, "<i>" + "<div><b>x</i>" * 50_000,
+                                  "<p><h1>a" * 50_000, "<b>" * 50_000 + "x</p>" * 50_000])
+def test_stray_tags_take_linear_time(page):
+    begin = time.time()
+    html_extract.main_text(page)
+    assert time.time() - begin < 20
