@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stage
 
 TOKENIZER = "word_bpe_49k.json"
-SEQUENCE, OPEN_BINS, BUCKET_PIECES = 2048, 65536, 65536
+SEQUENCE, OPEN_BINS, BUCKET_PIECES = 2048, 1024, 65536
 #: Words whose ids a task remembers at most; then it starts again.
 CACHE = 1_000_000
 #: Longest stretch of a text that is split into words at once.
@@ -164,13 +164,11 @@ def best_fit(lengths: list[int], size: int, open_bins: int) -> tuple[list[int],
 
 def _pack(size: int, open_bins: int):
     def run(key, group):
-        # Long pieces first: the short ones then fill what these leave.
-        order = [("length", "descending"), ("id", "ascending"), ("piece", "ascending"),
-                 ("ids_crc32", "ascending"), ("salt", "ascending")]
-        group = group.sort_by(order)
+        # Pieces arrive in the order of their hash, which has nothing to do with lengths.
+        group = group.sort_by([(c, "ascending") for c in ("arrival", "id", "piece", "ids_crc32", "salt")])
         bins, offsets = best_fit(group["length"].to_pylist(), size, open_bins)
         base = key[0].as_py() << 32
-        return (group.drop_columns(["bucket", "salt"])
+        return (group.drop_columns(["bucket", "arrival", "salt"])
                 .append_column("sequence_id", pa.array([base + b for b in bins], pa.int64()))
                 .append_column("offset", pa.array(offsets, pa.int64())))
     return run
@@ -195,7 +193,8 @@ def pack_documents(docs: DataFrame, size: int = SEQUENCE, tokenizer: str = TOKEN
     pieces = stage(rows.mapInArrow(_tokenise(tokenizer, size, keep_ids),
                                    f"{fields}, salt long{ids}"), "pieces")
     buckets = max(1, -(-pieces.count() // BUCKET_PIECES))
-    bucket = F.pmod(F.xxhash64("id", "piece", "ids_crc32", "salt"), F.lit(buckets))
-    return (pieces.withColumn("bucket", bucket).groupBy("bucket")
+    arrival = F.xxhash64("id", "piece", "ids_crc32", "salt")
+    return (pieces.withColumn("arrival", arrival).withColumn("bucket", F.pmod("arrival", F.lit(buckets)))
+            .groupBy("bucket")
             .applyInArrow(_pack(size, open_bins), f"{fields}{ids}, sequence_id long, offset long")
             .withColumnRenamed("id", id_col))

@@ -293,3 +293,59 @@ def test_stray_tags_take_linear_time(page):
     begin = time.time()
     html_extract.main_text(page)
     assert time.time() - begin < 20
+
+
+# Secrets: ownership counts and long texts ------------------------------------
+
+def test_ownership_counts(spark):
+    rng = random.Random(9)
+    keys = ["AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)) for _ in range(6)]
+    keys += ["".join(rng.choices("0123456789abcdef", k=32)) for _ in range(6)]
+    rows = [(rng.randrange(40), " and ".join(rng.choices(keys, [30, 9, 4, 2, 1, 1] * 2, k=rng.randint(0, 3))),
+             rng.choice([None, *"abcdefg"])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    held = {}
+    for i, text, owner in set(rows):
+        for m in re.finditer(r"AKIA[A-Z0-9]+|[0-9a-f]{32}", text):
+            h = held.setdefault(m[0], (set(), set(), set()))
+            for part, value in zip(h, (i, owner, text)):
+                part.add(value)
+    want = set()
+    for i, text, owner in rows:
+        for m in re.finditer(r"AKIA[A-Z0-9]+|[0-9a-f]{32}", text):
+            n_ids, n_owners, n_texts = map(len, held[m[0]])
+            verdict = ("example" if n_owners >= 5 and n_ids >= 5 else
+                       "live" if n_owners <= 1 or n_texts == 1 else "shared")
+            want.add((i, owner, m.start(), n_ids, n_owners, verdict))
+    got = {(r["id"], r["owner"], r["start"], r["repositories"], r["owners"], r["verdict"])
+           for r in secret_scan.judge_secrets(df).select("id", "owner", F.explode("spans").alias("s"))
+           .select("id", "owner", "s.*").collect()}
+    assert got == want and {v[-1] for v in want} == {"example", "live", "shared"}
+
+
+def test_further_spans_by_every_pair():
+    rng = random.Random(10)
+    for _ in range(200):
+        text = "".join(rng.choices(["token=", "a1B2", "x", " ", "0123456789abcdef", "Zq7", "AKIA", "9"], k=40))
+        base = secret_scan.base_spans(text)
+        want = [(m.start(), 3, m.end(), m[0]) for m in secret_scan.RUN.finditer(text) if secret_scan.high_entropy(m[0])
+                and not any(m.start() < b[2] and b[0] < m.end() for b in base)]
+        assert secret_scan.further_spans(text, base) == want
+
+
+def test_secrets_of_long_texts_take_linear_time():
+    text = " ".join(f"{i:032x}" for i in range(5_000_000 // 33))
+    begin = time.time()
+    assert secret_scan.further_spans(text, secret_scan.base_spans(text)) == []
+    assert time.time() - begin < 10
+
+
+def test_bins_close_in_the_query(spark):
+    """Arrival order and fewer open bins than a bucket has pieces, in few sequences more
+    than lengths need."""
+    rng = random.Random(11)
+    lengths = [min(2048, int(rng.lognormvariate(5.5, 1))) or 1 for _ in range(20_000)]
+    least = -(-sum(lengths) // 2048)
+    assert packing.OPEN_BINS < packing.BUCKET_PIECES
+    bins, _ = packing.best_fit(lengths, 2048, packing.OPEN_BINS)
+    assert max(bins) + 1 <= 1.01 * least
