@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import stage
 from .shingles import BARE, WIDTH, mix, shingle_hashes, word_hashes
 
 #: Least similarity in hundredths; blocks and radius of the multi-index. Windows of
@@ -29,6 +30,8 @@ from .shingles import BARE, WIDTH, mix, shingle_hashes, word_hashes
 SIMILAR, BLOCKS, RADIUS = 80, 8, 21
 #: Characters of benchmark text in one slice, which is collected and broadcast.
 SLICE_CHARS = 8_000_000
+#: Windows of a text that are fingerprinted at once.
+WINDOWS = 4096
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -53,6 +56,29 @@ def similarity(a: Counter, b: Counter) -> tuple[int, int]:
     return both, sum(a.values()) + sum(b.values()) - both
 
 
+def window_starts(hits: np.ndarray, size: int, n: int):
+    """The places at which a window of `size` among n shingles holds one of the hits,
+    which come in order: in order, WINDOWS at most at a time."""
+    low, high = np.maximum(hits - size + 1, 0), np.minimum(hits, n - size)
+    first = np.flatnonzero(np.concatenate(([True], low[1:] > np.maximum.accumulate(high)[:-1] + 1)))
+    ends = np.append(first[1:], len(hits)) - 1
+    waiting, count = [], 0
+    for a, b in zip(low[first].tolist(), high[ends].tolist()):
+        while a <= b:
+            take = min(b - a + 1, WINDOWS - count)
+            # Far from the others a window is looked at by itself.
+            if waiting and a - waiting[0][0] > 2 * WINDOWS:
+                yield np.concatenate(waiting)
+                waiting, count, take = [], 0, min(b - a + 1, WINDOWS)
+            waiting.append(np.arange(a, a + take))
+            count, a = count + take, a + take
+            if count == WINDOWS:
+                yield np.concatenate(waiting)
+                waiting, count = [], 0
+    if waiting:
+        yield np.concatenate(waiting)
+
+
 class Index:
     """A slice of the benchmark: shingles, and fingerprints by number of shingles."""
 
@@ -120,33 +146,33 @@ class Index:
                 if min(n, self.width) != width and len(words) >= self.width:
                     continue
                 size = max(1, min(n, len(words)) - width + 1)
-                reach = np.array(held)[:, None] - np.arange(size)
-                starts = np.unique(reach[(reach >= 0) & (reach + size <= len(shingles))])
-                low = int(starts[0]) if len(starts) else 0
-                part = shingles[low:int(starts[-1]) + size] if len(starts) else shingles[:0]
-                for start, window in zip(starts.tolist(), fingerprints(part, starts - low, size)
-                                         if len(starts) else []):
-                    near = self.within(n, window)
-                    if not near:
-                        continue
-                    own = Counter(shingles[start:start + size].tolist())
-                    for i in near:
-                        both, either = similarity(own, self.items[i][2])
-                        if 100 * both >= similar * either:
-                            got = (both / either, -start, min(n, len(words)))
-                            best[i] = max(best.get(i, got), got)
+                for starts in window_starts(np.array(held), size, len(shingles)):
+                    low = int(starts[0])
+                    prints = fingerprints(shingles[low:int(starts[-1]) + size], starts - low, size)
+                    for start, window in zip(starts.tolist(), prints):
+                        # A later window beats no earlier one of full likeness.
+                        near = [i for i in self.within(n, window) if i not in best or best[i][0] < 1]
+                        if not near:
+                            continue
+                        own = Counter(shingles[start:start + size].tolist())
+                        for i in near:
+                            both, either = similarity(own, self.items[i][2])
+                            if 100 * both >= similar * either:
+                                got = (both / either, -start, min(n, len(words)))
+                                best[i] = max(best.get(i, got), got)
         return sorted((self.items[i][0], -s, n, x) for i, (x, s, n) in best.items())
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple]]:
-    """Slices of the benchmark of at most SLICE_CHARS characters (or one item)."""
+def _slices(benchmark: DataFrame, id_col: str, text_col: str):
+    """(items, whether there are more slices than one) of each slice of the benchmark of at
+    most SLICE_CHARS characters (or one item), collected when it is asked for."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         "id is not null and length(text) > 0").distinct()
     chars = items.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     n = max(1, -(-chars // (SLICE_CHARS // 2)))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    return [[(r[0], r[1]) for r in items.where(part == i).orderBy("id", "text").collect()]
-            for i in range(n)]
+    for i in range(n):
+        yield [(r[0], r[1]) for r in items.where(part == i).orderBy("id", "text").collect()], n > 1
 
 
 def _find(spread, similar: int):
@@ -179,10 +205,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out = None
-    for items in _slices(benchmark, item_col, "text"):
+    for items, more in _slices(benchmark, item_col, "text"):
         spread = docs.sparkSession.sparkContext.broadcast(items)
         got = rows.mapInArrow(_find(spread, similar), f"id {kind}, item_id long, first_word long, "
                                                       "n_words long, similarity double")
+        if more:                            # one slice in memory at a time
+            got = stage(got, "leaks")
+            spread.unpersist()
         out = got if out is None else out.unionByName(got)
     return out.withColumnRenamed("id", id_col)
 
@@ -199,7 +228,10 @@ def _drop(spread, text_col: str, similar: int):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                similar: int = SIMILAR) -> DataFrame:
     """The documents, all columns, that hold no benchmark item."""
-    for items in _slices(benchmark, item_col, "text"):
+    for items, more in _slices(benchmark, item_col, "text"):
         spread = docs.sparkSession.sparkContext.broadcast(items)
         docs = docs.mapInArrow(_drop(spread, text_col, similar), docs.schema)
+        if more:
+            docs = stage(docs, "clean")
+            spread.unpersist()
     return docs

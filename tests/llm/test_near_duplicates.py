@@ -1,5 +1,6 @@
 """Jaccard join, components, decontamination and passages against plain Python."""
 import random
+import time
 import re
 import string
 from collections import Counter, defaultdict
@@ -320,3 +321,23 @@ def test_passages_of_the_smallest_tables(spark):
     missed = {rows[row][0] for row, p in exact_windows(rows)
               if not any(a <= p and p + 51 <= b for a, b in spans[rows[row][0]])}
     assert not missed
+
+
+def test_window_starts_by_matrix(monkeypatch):
+    rng = random.Random(12)
+    for windows in (1, 3, 4096):
+        monkeypatch.setattr(D, "WINDOWS", windows)
+        for _ in range(200):
+            n = rng.randint(1, 60)
+            size, hits = rng.randint(1, n), sorted(rng.sample(range(n), rng.randint(1, n)))
+            want = sorted({s for h in hits for s in range(h - size + 1, h + 1) if 0 <= s <= n - size})
+            parts = list(D.window_starts(np.array(hits), size, n))
+            assert [x for p in parts for x in p.tolist()] == want and all(0 < len(p) <= windows for p in parts)
+
+
+def test_leaks_of_repeated_long_items():
+    rng = random.Random(13)
+    item = " ".join(f"w{rng.randrange(5000)}" for _ in range(1000))
+    begin = time.time()
+    assert D.Index([(7, item)]).matches(" ".join([item] * 100)) == [(7, 0, 1000, 1.0)]
+    assert time.time() - begin < 20
