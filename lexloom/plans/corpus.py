@@ -118,3 +118,22 @@ def outline_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The legal texts with that article at their end."""
     return legal_corpus(spark, sf_dir).select("doc_key", F.concat(
         "text", F.lit("\n"), F.expr(OUTLINE_TAIL)).alias("text"))
+
+
+# Decisions that change each other: what, which article and of which decision.
+CITED = "case o_custkey % 8 when 0 then o_orderkey when 1 then o_orderkey + 4 else greatest(o_orderkey - o_custkey % 8, 0) end"
+CITED_ARTICLE = "case when o_orderstatus = 'F' then 2 when o_custkey % 16 = 5 then 9 else 2 + o_custkey % 2 end"
+CITES = f"""case {_P} when '1' then 'Sửa đổi, bổ sung' when '2' then 'Thay thế' when '3' then 'Bãi bỏ'
+  when '4' then 'Bổ sung' end"""
+AMENDMENT = f"""coalesce(concat({CITES}, case o_orderstatus when 'F' then ' Khoản 1 Điều 2 của'
+  when 'O' then concat(' Điều ', {CITED_ARTICLE}, ' của') else '' end, ' Quyết định số ', {CITED}, '/QĐ-ĐHTN.'),
+  'Các đơn vị thi hành.')"""
+AMENDING = f"""concat_ws({NL}, concat('Số: ', o_orderkey, '/QĐ-ĐHTN'), concat('Hà Nội, ', {_DMY}), 'QUYẾT ĐỊNH:',
+  concat('Điều 1. Ban hành quy định ', o_orderkey, '.'), 'Điều 2. Nội dung', concat('1. ', {AMENDMENT}),
+  'Điều 3. Hiệu lực', 'Nơi nhận:')"""
+
+
+def amending_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_key, text): one decision for each order, most of them changing another."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(F.col("o_orderkey").alias("doc_key"), F.expr(AMENDING).alias("text"))

@@ -188,3 +188,19 @@ SELECT doc_key, node, CAST(parent AS INT) AS parent, CAST(2 * node - level + 1 A
     WHEN kind = 'point' THEN concat('Điều ', art, ', Khoản ', cl, ', Điểm ', number)
     WHEN kind <> 'document' THEN concat('Điều ', art, CASE WHEN cl <> '' THEN concat(', Khoản ', cl) ELSE '' END) END AS source,
   content FROM named"""
+
+
+# Amendments, from the columns that the texts were filled with.
+AMENDMENTS = f"""ord AS (SELECT *, o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders),
+cite AS (
+  SELECT k, date, CASE {C._P} WHEN '1' THEN 'amend' WHEN '2' THEN 'replace' WHEN '3' THEN 'repeal' ELSE 'add' END AS action,
+    {C.CITED} AS t, CASE WHEN o_orderstatus IN ('F', 'O') THEN CAST({C.CITED_ARTICLE} AS VARCHAR) ELSE '' END AS ta,
+    CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '' END AS tc
+  FROM ord WHERE {C._P} <> '5'),
+edge AS (
+  SELECT c.*, CASE WHEN o.k IS NULL THEN 'unknown_document' WHEN t = c.k THEN 'self' WHEN ta = '' THEN 'whole_document'
+    WHEN ta NOT IN ('1', '2', '3') THEN 'unknown_article' ELSE 'ok' END AS status, o.k AS target
+  FROM cite c LEFT JOIN ord o ON o.k = c.t),
+every AS (SELECT k, CAST(unnest([1, 2, 3]) AS VARCHAR) AS article FROM ord),
+last AS (SELECT t AS k, ta AS article, arg_max(k, (date, k)) AS to_k, arg_max(action, (date, k)) AS action
+  FROM edge WHERE status = 'ok' GROUP BY 1, 2)"""

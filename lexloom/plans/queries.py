@@ -6,13 +6,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import extract as X, fixed_values as fv, rules as R, text as T
-from ..operators import (assemble as A, classify as C, lookups as L, outline as OL, render as M,
-                         segment as S, store as D)
+from ..operators import (amend as AM, assemble as A, classify as C, lookups as L, outline as OL,
+                         render as M, segment as S, store as D)
 from ..session import stage_folder
 from ..sources import files as FS
-from ..streaming import ingest
+from ..streaming import ingest, requests as RQ
 from . import oracle as O
-from .corpus import OUTLINE_TAIL, legal_corpus, outline_corpus
+from .corpus import OUTLINE_TAIL, amending_corpus, legal_corpus, outline_corpus
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -809,3 +809,104 @@ def outline(spark, sf_dir):
     """Every heading of the legal texts in its tree; of the document alone no source."""
     nodes = OL.outline(outline_corpus(spark, sf_dir)).drop("article_num", "clause_num")
     return nodes.withColumn("source", F.when(F.col("kind") != "document", F.col("source")))
+
+
+# ---------------------------------------------------------------------------
+# Amendments
+# ---------------------------------------------------------------------------
+
+@query(f"""WITH {O.AMENDMENTS} SELECT k AS doc_key, '2' AS article, action, concat(t, '/QĐ-ĐHTN') AS target_number,
+  ta AS target_article, tc AS target_clause, '' AS target_point FROM cite""")
+def citations(spark, sf_dir):
+    return AM.citations(amending_corpus(spark, sf_dir)).drop("node", "citation_no")
+
+
+@query(f"""WITH {O.AMENDMENTS} SELECT k AS doc_key, date, '2' AS article, action, target, ta AS target_article,
+  status FROM edge""")
+def amendment_edges(spark, sf_dir):
+    return AM.amendment_edges(amending_corpus(spark, sf_dir)).select(
+        "doc_key", "date", "article", "action", "target", "target_article", "status")
+
+
+@query(f"""WITH RECURSIVE {O.AMENDMENTS}, walk(k, article, cur, cur_article, hops) AS (
+    SELECT k, article, to_k, '2', 1 FROM last WHERE action <> 'repeal'
+    UNION ALL SELECT w.k, w.article, l.to_k, '2', hops + 1 FROM walk w JOIN last l
+      ON l.k = w.cur AND l.article = w.cur_article AND l.action <> 'repeal' WHERE hops < 300),
+  ends AS (SELECT w.* FROM walk w WHERE NOT EXISTS (SELECT 1 FROM last l
+    WHERE l.k = w.cur AND l.article = w.cur_article AND l.action <> 'repeal')),
+  found AS (SELECT e.k AS doc_key, e.article, coalesce(d.cur, e.k) AS newest, coalesce(d.cur_article, e.article) AS newest_article,
+      coalesce(d.hops, 0) AS hops, d.k IS NULL AND n.k IS NOT NULL AS cycle
+    FROM every e LEFT JOIN ends d ON d.k = e.k AND d.article = e.article
+      LEFT JOIN last n ON n.k = e.k AND n.article = e.article AND n.action <> 'repeal')
+  SELECT doc_key, f.article, CASE WHEN NOT cycle THEN newest END AS newest, CASE WHEN NOT cycle THEN newest_article END
+    AS newest_article, CAST(CASE WHEN NOT cycle THEN hops END AS INT) AS hops,
+    CASE WHEN cycle THEN 'cycle' WHEN r.k IS NOT NULL THEN 'repealed' WHEN hops > 0 THEN 'amended' ELSE 'current' END AS status
+  FROM found f LEFT JOIN last r ON r.k = newest AND r.article = newest_article AND r.action = 'repeal'""")
+def newest_articles(spark, sf_dir):
+    return AM.newest_articles(amending_corpus(spark, sf_dir))
+
+
+@query(f"""WITH {O.AMENDMENTS}, had AS (SELECT t, ta, string_agg(concat(k, '/QĐ-ĐHTN'), '; ' ORDER BY date,
+    concat(k, '/QĐ-ĐHTN')) AS amend FROM edge WHERE status = 'ok' GROUP BY 1, 2)
+  SELECT e.k AS doc_key, concat('Điều ', article) AS source, coalesce(CASE WHEN article = '2' AND c.k IS NOT NULL THEN concat(
+      CASE WHEN c.ta <> '' THEN concat('Điều ', c.ta, ' ') ELSE '' END, c.t, '/QĐ-ĐHTN') END, '') AS modify,
+    coalesce(article = '2' AND c.tc <> '', false) AS partial_mod, coalesce(amend, '') AS amend
+  FROM every e LEFT JOIN cite c ON c.k = e.k LEFT JOIN had ON had.t = e.k AND had.ta = article""")
+def block_amendments(spark, sf_dir):
+    blocks = AM.blocks_with_amendments(amending_corpus(spark, sf_dir))
+    read = F.from_json("json", "metadata struct<source:string,modify:string,partial_mod:boolean,amend:string>")
+    return blocks.select("doc_key", read["metadata"].alias("m")).select("doc_key", "m.*")
+
+
+# ---------------------------------------------------------------------------
+# Streams with state
+# ---------------------------------------------------------------------------
+
+def _text_files(docs: DataFrame, folder: str) -> DataFrame:
+    return docs.select(F.concat(F.lit(folder), "doc_id", F.lit(".txt")).alias("path"),
+                       F.encode("text", "UTF-8").alias("content"))
+
+
+@query(f"""SELECT sha256(encode(text)) AS document_id, {_NORMAL.format('text')} AS text, 'ok' AS status
+  FROM (SELECT DISTINCT text FROM documents)""")
+def contents_once(spark, sf_dir):
+    """Every text once: the documents as files, again under other names after a restart,
+    and again to a second stream into the same store."""
+    folder, docs = work_folder(spark), table(spark, sf_dir, "documents")
+    for again in ("a", "b"):
+        FS.write_files(_text_files(docs, f"{again}/"), f"{folder}/in")
+        ingest.contents_once(spark, f"{folder}/in", f"{folder}/store", f"{folder}/first").awaitTermination()
+    ingest.contents_once(spark, f"{folder}/in", f"{folder}/store", f"{folder}/second").awaitTermination()
+    return ingest.read_store(spark, f"{folder}/store").select("document_id", "text", "status")
+
+
+@query("""SELECT concat('r', l.doc_id) AS req_id, CASE WHEN l.quality = 0 AND l.toxic = 1 THEN 'missing_id'
+    WHEN d.doc_id IS NULL OR l.doc_id % 5 = 0 THEN 'not_found' WHEN trim(d.text) = '' THEN 'empty' ELSE 'ok' END AS status
+  FROM labels l LEFT JOIN documents d USING (doc_id)""")
+def request_stream(spark, sf_dir):
+    """Requests for the labelled documents, of which some name no document and some one
+    that never comes; half of the documents come after the requests."""
+    folder = work_folder(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ident = lambda c: F.sha2(F.concat(F.lit("d"), c), 256)
+    title = F.concat(F.lit("Điều 1. "), F.regexp_replace("text", "\\n", " "))
+    stored = docs.select(ident(F.col("doc_id")).alias("document_id"), "doc_id",
+                         F.when(F.trim("text") == "", F.lit("")).otherwise(title).alias("text"))
+    rows = labels.select(
+        F.concat(F.lit("r"), "doc_id").alias("req_id"),
+        F.when((F.col("quality") == 0) & (F.col("toxic") == 1), "").when(F.col("doc_id") % 5 == 0, "gone")
+        .otherwise(ident(F.col("doc_id"))).alias("document_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("asked_at"))
+
+    def answer(part):
+        rows.where(part).write.mode("append").parquet(f"{folder}/requests")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/requests")
+        RQ.answer_stream(stream, f"{folder}/store", f"{folder}/out", f"{folder}/check",
+                         "365 days").awaitTermination()
+
+    ingest.append_versions(stored.where("doc_id % 2 = 0"), f"{folder}/store", "early")
+    answer("quality = 1")
+    ingest.append_versions(stored.where("doc_id % 2 = 1"), f"{folder}/store", "late")
+    answer("quality = 0")
+    RQ.end_waiting(spark, f"{folder}/store", f"{folder}/out", 1 << 30)
+    return RQ.read_answers(spark, f"{folder}/out").select("req_id", "status")

@@ -29,13 +29,15 @@ def accept_files(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES):
         "reason", F.when(~known, "unsupported_extension").otherwise("too_large"))
 
 
-def assign_keys(files: DataFrame) -> DataFrame:
+def assign_keys(files: DataFrame, by_content: bool = False) -> DataFrame:
     """Add `document_id`, `filename` and `stored_name`. The id is a hash of
-    path and content, so a file delivered twice keeps its id. The time in the
-    stored name is UTC, whatever the session's time zone."""
+    path and content, so a file delivered twice keeps its id; by content alone,
+    one that comes again under another name does too. The time in the stored
+    name is UTC, whatever the session's time zone."""
     name = F.substring_index("path", "/", -1)
     utc = F.to_utc_timestamp("modificationTime", F.current_timezone())
-    digest = F.sha2(F.concat_ws("|", "path", F.sha2("content", 256)), 256)
+    digest = F.sha2("content", 256)
+    digest = digest if by_content else F.sha2(F.concat_ws("|", "path", digest), 256)
     return (files.withColumn("document_id", digest).withColumn("filename", name)
             .withColumn("stored_name", F.concat_ws(
                 "_", F.date_format(utc, fv.STORED_NAME_TIME_FORMAT), name)))
@@ -73,11 +75,11 @@ def unread_files(spark: SparkSession, path: str, max_bytes: int = fv.MAX_FILE_BY
         parsed.select("path", "length", F.lit("needs_parser").alias("reason")))
 
 
-def to_documents(files: DataFrame) -> DataFrame:
+def to_documents(files: DataFrame, by_content: bool = False) -> DataFrame:
     """Accepted files as rows of the document table, text normalised, with the
     status of the extraction. Times come from the file, so that a repeated delivery
     gives the same rows."""
-    rows = extract_text(assign_keys(files))
+    rows = extract_text(assign_keys(files, by_content))
     return rows.select(
         "document_id", "filename", F.col("path").alias("filepath"),
         F.when(F.col("text").isNotNull(), normalize_text(F.col("text"))).alias("text"),
@@ -86,7 +88,7 @@ def to_documents(files: DataFrame) -> DataFrame:
         F.col("modificationTime").alias("updated_at"), "status")
 
 
-def file_outcomes(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
+def file_outcomes(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES, by_content: bool = False) -> DataFrame:
     """Every file as a document row. Rejected ones have no text, the reason as their
     status, and an id of path, size and time, since their content is not opened."""
     accepted, rejected = accept_files(files, max_bytes)
@@ -96,7 +98,7 @@ def file_outcomes(files: DataFrame, max_bytes: int = fv.MAX_FILE_BYTES) -> DataF
         F.substring_index("path", "/", -1).alias("filename"), F.col("path").alias("filepath"),
         F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("metadata"),
         time.alias("created_at"), time.alias("updated_at"), F.col("reason").alias("status"))
-    return to_documents(accepted).unionByName(others)
+    return to_documents(accepted, by_content).unionByName(others)
 
 
 def write_files(files: DataFrame, folder: str) -> None:

@@ -80,13 +80,13 @@ def compact_store(spark: SparkSession, path: str) -> None:
 
 
 def file_stream(spark: SparkSession, in_dir: str, max_files: int | None = None,
-                max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
+                max_bytes: int = fv.MAX_FILE_BYTES, by_content: bool = False) -> DataFrame:
     """Arriving files as document rows, rejected ones with their reason; no state."""
     reader = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
               .option("recursiveFileLookup", "true"))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return file_outcomes(reader.load(in_dir), max_bytes)
+    return file_outcomes(reader.load(in_dir), max_bytes, by_content)
 
 
 def start_upserts(rows: DataFrame, out: str, checkpoint: str,
@@ -105,3 +105,17 @@ def stream_ingest(spark: SparkSession, in_dir: str, out: str, checkpoint: str,
     """Ingest files as they arrive in a folder."""
     return start_upserts(file_stream(spark, in_dir, max_files, max_bytes), out, checkpoint,
                          available_now)
+
+
+def contents_once(spark: SparkSession, in_dir: str, out: str, checkpoint: str, within: str = "30 days",
+                  max_files: int | None = None, max_bytes: int = fv.MAX_FILE_BYTES,
+                  available_now: bool = True) -> StreamingQuery:
+    """Ingest arriving files by their content: a file that comes again within a time, under
+    whatever name, is dropped by the stream. The state is keyed by the hash of the content
+    and holds no text; a key expires once the newest file is `within` younger, so the
+    state follows the arrivals of that time and not the store. It lives in the checkpoint
+    and survives restarts. What another stream or an expired key lets through has the
+    same id in the store and counts once there too."""
+    rows = file_stream(spark, in_dir, max_files, max_bytes, by_content=True)
+    once = rows.withWatermark("created_at", within).dropDuplicatesWithinWatermark(["document_id"])
+    return start_upserts(once, out, checkpoint, available_now)
