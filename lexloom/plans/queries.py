@@ -189,6 +189,18 @@ def keywords_by_generator(spark, sf_dir):
     return M.enrich_keywords(titles, _first_words).select("doc_key", "title", "keyword")
 
 
+def _no_words(batches):
+    raise ValueError("asked again")
+
+
+@query(f"WITH {O.DOC} SELECT k AS doc_key, title, keyword FROM doc")
+def keywords_from_memory(spark, sf_dir):
+    """Keywords that an earlier run has left, with a generator that gives none any more."""
+    titles, memo = M.document_titles(legal_corpus(spark, sf_dir)), work_folder(spark)
+    M.enrich_keywords(titles, _first_words, memo=memo)
+    return M.enrich_keywords(titles, _no_words, memo=memo).select("doc_key", "title", "keyword")
+
+
 @query(f"WITH {O.SECTIONS} SELECT k AS doc_key, block_no, source, {O.BLOCK_TITLE} AS title FROM blk")
 def block_title(spark, sf_dir):
     return M.block_titles(S.split_documents(legal_corpus(spark, sf_dir)))
