@@ -93,3 +93,22 @@ def label_counts(labelled: DataFrame, labels, name: str = "label") -> DataFrame:
     counts = labelled.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
     return (listed.join(counts, name, "left")
             .select(name, F.coalesce("n", F.lit(0)).alias("n_documents")))
+
+
+def label_deltas(base: DataFrame, changed: DataFrame, key: str, name: str = "label") -> DataFrame:
+    """(label, n): how the counts of labels change when rows of (key, label) replace the
+    stored ones of their keys; a NULL label deletes. Keys are single on both sides. Of the
+    stored rows only those of changed keys leave the join."""
+    old = base.select(key, F.col(name).alias("_old"))
+    pairs = changed.select(key, F.col(name).alias("_new")).join(old, key, "left")
+    signed = pairs.select(F.explode(F.array(
+        F.struct(F.col("_old").alias(name), F.lit(-1).alias("n")),
+        F.struct(F.col("_new").alias(name), F.lit(1).alias("n")))).alias("_d")).select("_d.*")
+    return signed.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def maintain_counts(counts: DataFrame, deltas: DataFrame, name: str = "label") -> DataFrame:
+    """(label, n_documents) after changes: counts and deltas added up, labels that none has
+    any more included with zero. The cost follows labels and changes, not documents."""
+    both = counts.select(name, F.col("n_documents").alias("n")).unionByName(deltas.select(name, "n"))
+    return both.groupBy(name).agg(F.sum("n").alias("n_documents"))

@@ -474,6 +474,23 @@ def label_counts(spark, sf_dir):
     return C.label_counts(labelled, [x for x, _ in DEMO_RULES] + ["other"])
 
 
+@query(f"""WITH old AS (SELECT doc_id, {_DEMO} AS label FROM documents),
+  changed AS (SELECT doc_id, CASE WHEN quality = 1 THEN CASE toxic WHEN 1 THEN 'toxic' ELSE 'other' END END AS label
+    FROM labels),
+  now AS (SELECT doc_id, label FROM old WHERE doc_id NOT IN (SELECT doc_id FROM changed)
+    UNION ALL SELECT * FROM changed),
+  seen AS (SELECT label FROM old UNION SELECT label FROM changed WHERE label IS NOT NULL)
+  SELECT seen.label, count(now.label) AS n_documents FROM seen LEFT JOIN now USING (label) GROUP BY seen.label""")
+def maintained_counts(spark, sf_dir):
+    """Label counts kept up to date: labelled documents of good quality get another label,
+    the others are deleted."""
+    base = classify_documents(spark, sf_dir)
+    counts = base.groupBy("label").agg(F.count(F.lit(1)).alias("n_documents"))
+    changed = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, F.when(
+        F.col("toxic") == 1, "toxic").otherwise("other")).alias("label"))
+    return C.maintain_counts(counts, C.label_deltas(base, changed, "doc_id"))
+
+
 _NAMES = """concat('/in/', o_custkey, '/', case o_orderpriority when '1-URGENT' then 'Thông báo TUYỂN SINH '
   when '2-HIGH' then 'Mức Học phí ' when '3-MEDIUM' then 'Kế hoạch thực tập ' when '4-NOT SPECIFIED'
   then 'Ghi chú ' else 'Hội thao học bổng ' end, o_orderkey, case o_orderstatus when 'F' then '.PDF'

@@ -4,9 +4,10 @@ The store is append-only. Every batch writes its rows to a folder of its own and
 reading takes the newest version of each document, so a batch costs what it holds,
 whatever the size of the store. A folder counts once its `_SUCCESS` marker is there:
 a lost driver leaves an unmarked folder that nobody reads and the replayed batch
-writes anew, and a batch that was committed is not written again. Compaction writes
-the newest versions as the first folder of the next generation; readers go by the
-highest generation that has a committed folder, so they switch at one marker.
+writes anew, and a batch that was committed is not written again. Compaction names the
+folders that it replaces and writes their newest versions as one; readers take all
+committed folders but those that a committed compaction names. They switch at one
+marker, and a batch that comes while a compaction runs is named by none and stays.
 """
 from __future__ import annotations
 
@@ -22,6 +23,7 @@ from ..sources.files import BINARY_SCHEMA, file_outcomes
 
 STORE_SCHEMA = T.StructType(DOCUMENT_SCHEMA.fields + [T.StructField("status", T.StringType())])
 VERSIONS = T.StructType(STORE_SCHEMA.fields + [T.StructField("seq", T.LongType())])
+COMPACTED = "compacted"
 FOLDER = re.compile(r"g(\d{6})-s(\d{9})-(.*)")
 
 
@@ -41,8 +43,11 @@ def _folders(spark: SparkSession, path: str) -> list[tuple[int, int, str, str]]:
 
 
 def _current(spark: SparkSession, path: str) -> list[tuple[int, int, str, str]]:
+    """The committed folders that no committed compaction replaces."""
     found = _folders(spark, path)
-    return [f for f in found if f[0] == found[-1][0]]
+    lists = [f"{path}/_replaced/{f[3].rsplit('/', 1)[-1]}" for f in found if f[2] == COMPACTED]
+    gone = {r[0] for r in spark.read.text(lists).collect()} if lists else set()      # a name for each batch
+    return [f for f in found if f[3].rsplit("/", 1)[-1] not in gone]
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -62,21 +67,25 @@ def append_versions(batch: DataFrame, path: str, name: str) -> None:
     found = _folders(spark, path)
     if any(f[2] == name for f in found):
         return
-    generation, seq = (found[-1][0], found[-1][1] + 1) if found else (0, 0)
+    generation, seq = (found[-1][0], max(f[1] for f in found) + 1) if found else (0, 0)
     rows = align_schema(batch, STORE_SCHEMA).withColumn("seq", F.lit(seq).cast("long"))
     rows.write.mode("overwrite").parquet(f"{path}/g{generation:06d}-s{seq:09d}-{name}")
 
 
 def compact_store(spark: SparkSession, path: str) -> None:
-    """Write the newest versions as one folder of the next generation. Run it between
-    batches; folders of older generations may be deleted when no reader uses them."""
+    """Write the newest versions of the folders there are as one. They keep their sequence
+    numbers, so a batch that is stored meanwhile is newer. One compaction runs at a
+    time; replaced folders may be deleted when no reader uses them."""
     found = _current(spark, path)
     if not found:
         return
-    generation, seq = found[-1][0] + 1, found[-1][1] + 1
-    rows = align_schema(read_store(spark, path), STORE_SCHEMA)
-    rows.withColumn("seq", F.lit(seq).cast("long")).write.mode("overwrite").parquet(
-        f"{path}/g{generation:06d}-s{seq:09d}-compacted")
+    generation, seq = _folders(spark, path)[-1][0] + 1, max(f[1] for f in found) + 1
+    name = f"g{generation:06d}-s{seq:09d}-{COMPACTED}"
+    names = spark.createDataFrame([(f[3].rsplit("/", 1)[-1],) for f in found], "value string")
+    names.coalesce(1).write.mode("overwrite").text(f"{path}/_replaced/{name}")
+    rows = spark.read.schema(VERSIONS).parquet(*[f[3] for f in found])
+    rows = latest_versions(rows, order=("seq", "updated_at"))
+    align_schema(rows, VERSIONS).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def file_stream(spark: SparkSession, in_dir: str, max_files: int | None = None,

@@ -87,3 +87,53 @@ def test_nothing_asked(spark, tmp_path):
     assert settled(spark, paths, 0) == []
     RQ.end_waiting(spark, *paths, 1)
     assert RQ.read_answers(spark, paths[1]).count() == 0
+
+
+def test_batch_during_compaction_stays(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    store_of(spark, path, "one", ("a", "old"), ("b", "old"))
+    align = ingest.align_schema
+
+    def late(df, schema):
+        monkeypatch.setattr(ingest, "align_schema", align)
+        store_of(spark, path, "two", ("a", "new"))               # comes after the folders were listed
+        return align(df, schema)
+    monkeypatch.setattr(ingest, "align_schema", late)
+    ingest.compact_store(spark, path)
+    def texts():
+        return {r.document_id: r.text for r in ingest.read_store(spark, path).collect()}
+    assert texts() == {"a": "new", "b": "old"}
+    assert len(ingest._current(spark, path)) == 2
+    ingest.compact_store(spark, path)
+    assert texts() == {"a": "new", "b": "old"} and len(ingest._current(spark, path)) == 1
+    store_of(spark, path, "two", ("a", "again"))                 # delivered again: left out
+    store_of(spark, path, "three", ("b", "newer"))
+    assert texts() == {"a": "new", "b": "newer"}
+
+
+def test_unfinished_compaction_counts_for_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store_of(spark, path, "one", ("a", "x"))
+    ingest.compact_store(spark, path)
+    folder = ingest._current(spark, path)[0][3].replace("file:", "")
+    (tmp_path / "store" / folder.rsplit("/", 1)[-1] / "_SUCCESS").unlink()
+    assert [r.text for r in ingest.read_store(spark, path).collect()] == ["x"]
+
+
+def test_counts_follow_any_batches(spark):
+    import random
+    from collections import Counter
+
+    from lexloom.operators import classify as C
+    rng, held = random.Random(3), {}
+    counts = spark.createDataFrame([], "label string, n_documents long")
+    for _ in range(4):
+        changed = {rng.randrange(30): rng.choice(["a", "b", None]) for _ in range(15)}
+        base = spark.createDataFrame(list(held.items()), "k int, label string")
+        batch = spark.createDataFrame(list(changed.items()), "k int, label string")
+        counts = spark.createDataFrame(C.maintain_counts(counts, C.label_deltas(base, batch, "k")).collect(),
+                                       "label string, n_documents long")
+        held.update(changed)
+        held = {k: v for k, v in held.items() if v is not None}
+        want = Counter(held.values())
+        assert all(want[r.label] == r.n_documents for r in counts.collect()) and counts.count() >= len(want)
