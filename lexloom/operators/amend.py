@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from .outline import outline
-from .segment import computed_once, document_metadata, explode_rows
+from .segment import document_metadata, explode_rows
 
 _S = r"[ \t]"
 # --- Fixed values: how a text says that it changes another ---------------------
@@ -31,7 +31,11 @@ def citations(df: DataFrame, key: str = "doc_key", text: str = "text") -> DataFr
     target_point), one row for each citation in an article, in the order of the text.
     Action is `amend`, `add`, `replace` or `repeal`; places that are not given are empty.
     No shuffle."""
-    nodes = outline(df, key, text).where("article_num is not null")
+    return _citations(outline(df, key, text), key)
+
+
+def _citations(nodes: DataFrame, key: str) -> DataFrame:
+    nodes = nodes.where("article_num is not null")
     rows = explode_rows(nodes, F.regexp_extract_all("content", F.lit(CITATION), F.lit(0)), key, "node", "article_num")
     part = lambda i: F.regexp_extract("_e", CITATION, i)
     verb = F.lower(part(1))
@@ -45,8 +49,17 @@ def citations(df: DataFrame, key: str = "doc_key", text: str = "text") -> DataFr
 
 def articles(df: DataFrame, key: str = "doc_key", text: str = "text") -> DataFrame:
     """(key, article): the numbers of a document's articles, each once."""
-    return (outline(df, key, text).where("kind = 'article'").groupBy(key, F.col("number").alias("article"))
-            .agg(F.lit(1).alias("_n")).drop("_n"))
+    return _articles(outline(df, key, text), key)
+
+
+def _articles(nodes: DataFrame, key: str) -> DataFrame:
+    return nodes.where("kind = 'article'").select(key, F.col("number").alias("article")).distinct()
+
+
+def _nodes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The outline, cut once and stored, since several steps read it."""
+    return materialize(outline(df, key, text).where("article_num is not null")
+                       .select(key, "node", "kind", "number", "article_num", "source", "content"))
 
 
 def amendment_edges(df: DataFrame, key: str = "doc_key", text: str = "text") -> DataFrame:
@@ -54,12 +67,16 @@ def amendment_edges(df: DataFrame, key: str = "doc_key", text: str = "text") ->
     as `target` and a status: `ok`, `whole_document` (no article given), `self`,
     `unknown_document`, `ambiguous` (several documents have the number) or
     `unknown_article`."""
+    return _edges(df, _nodes(df, key, text), key, text)
+
+
+def _edges(df: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
     docs = document_metadata(df, key, text).select(key, F.col("doc_id").alias("number"), "date")
     known = (docs.where("number <> ''").groupBy(F.col("number").alias("target_number"))
              .agg(F.min(key).alias("target"), F.count(F.lit(1)).alias("_n")))
-    there = articles(df, key, text).select(F.col(key).alias("target"), F.col("article").alias("target_article"),
+    there = _articles(nodes, key).select(F.col(key).alias("target"), F.col("article").alias("target_article"),
                                            F.lit(True).alias("_there"))
-    rows = (citations(df, key, text).join(docs, key).join(known, "target_number", "left")
+    rows = (_citations(nodes, key).join(docs, key).join(known, "target_number", "left")
             .join(there, ["target", "target_article"], "left"))
     status = (F.when(F.col("_n").isNull(), "unknown_document").when(F.col("_n") > 1, "ambiguous")
               .when(F.col("target") == F.col(key), "self").when(F.col("target_article") == "", "whole_document")
@@ -77,14 +94,15 @@ def newest_articles(df: DataFrame, key: str = "doc_key", text: str = "text") ->
     place; an addition, change or replacement points to the article that makes it, and a
     repeal ends the chain. Status is `current` (never changed), `amended`, `repealed` or
     `cycle`; of a circle there is no newest article."""
-    edges = materialize(amendment_edges(df, key, text).where("status = 'ok'"))
+    nodes = _nodes(df, key, text)
+    edges = materialize(_edges(df, nodes, key, text).where("status = 'ok'"))
     last = F.max_by(F.struct(F.col(key).alias("to"), F.col("article").alias("to_article"), "action"),
                     F.struct("date", key, "node", "citation_no"))
     last = materialize(edges.groupBy(F.col("target").alias("of"), F.col("target_article").alias("of_article"))
                        .agg(last.alias("_l")).select("of", "of_article", "_l.*"))
     ended = last.where("action = 'repeal'").select(F.col("of").alias("e"), F.col("of_article").alias("e_article"))
     ways = follow(last.where("action <> 'repeal'").select("of", "of_article", "to", "to_article"))
-    rows = (articles(df, key, text).join(ways, (F.col(key) == F.col("of")) & (F.col("article") == F.col("of_article")),
+    rows = (_articles(nodes, key).join(ways, (F.col(key) == F.col("of")) & (F.col("article") == F.col("of_article")),
                                          "left"))
     newest, article = F.coalesce("to", key), F.coalesce("to_article", "article")
     rows = rows.select(key, "article", newest.alias("newest"), article.alias("newest_article"),
@@ -128,7 +146,8 @@ def blocks_with_amendments(df: DataFrame, key: str = "doc_key", text: str = "tex
     """(key, node, json): the articles as JSON blocks whose metadata say what they change
     (`modify`: article and number of the changed ones, `partial_mod`: whether clauses or
     points alone) and who changed them (`amend`: numbers, by date)."""
-    edges = materialize(amendment_edges(df, key, text))
+    nodes = _nodes(df, key, text)
+    edges = materialize(_edges(df, nodes, key, text))
     place = F.when(F.col("target_article") == "", F.col("target_number")).otherwise(
         F.concat(F.lit("Điều "), "target_article", F.lit(" "), "target_number"))
     made = (edges.groupBy(F.col(key).alias("_k"), F.col("article").alias("_a")).agg(
@@ -138,9 +157,8 @@ def blocks_with_amendments(df: DataFrame, key: str = "doc_key", text: str = "tex
         F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("date", "number"))), lambda x: x["number"]), "; ")
         .alias("amend")))
     docs = document_metadata(df, key, text)
-    nodes = outline(df, key, text).where("kind = 'article'").select(key, "node", "number", "source", "content")
-    nodes = computed_once(nodes, key, "node", "number", source=F.col("source"), content=F.col("content"))
-    rows = (nodes.join(docs, key)
+    blocks = nodes.where("kind = 'article'").select(key, "node", "number", "source", "content")
+    rows = (blocks.join(docs, key)
             .join(made, (F.col(key) == F.col("_k")) & (F.col("number") == F.col("_a")), "left")
             .join(had, (F.col(key) == F.col("_t")) & (F.col("number") == F.col("_ta")), "left"))
     metadata = F.struct(
