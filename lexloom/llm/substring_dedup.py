@@ -46,6 +46,10 @@ SHIFTS = sorted(((i, j) for i in range(SHIFT + 1) for j in range(SHIFT + 1) if i
 #: Words that a chain may grow by at each end beyond its matches: runs that are not
 #: seeds themselves, with room for edits.
 REACH = 400
+#: Chains narrower than SURE words hold few seeds: equal words elsewhere in a passage, or
+#: chance. The alignment decides; so that it costs little, such a chain may grow by
+#: WEAK_REACH words at each end. One seed alone makes no chain.
+SURE, WEAK_REACH = MIN_WORDS - 2 * (K + W), 75
 #: Bit of a place that starts a repeated run, and a word number beyond any text.
 RUN, END = 1 << 31, 1 << 28
 #: Places that a run of seeds covers: in MIN_WORDS equal words, whatever stands around
@@ -298,7 +302,7 @@ CHAINS = "x binary, y binary, x_low int, x_high int, y_low int, y_high int, bloc
 
 
 def _chain(key, group):
-    """One bucket of pairs: chains that may be long enough."""
+    """One bucket of pairs: chains of two seeds or more, or of one that stands for a run."""
     rows = group.to_pylist()
     join = lambda c, t: np.frombuffer(b"".join(r[c] for r in rows), t)
     a, b = join("texts", "V16"), join("others", "V16")
@@ -312,14 +316,13 @@ def _chain(key, group):
     pair, which, xs, ys = pair[order], which[order], xs[order], ys[order]
     starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, int)
     ends = np.append(starts[1:], len(pair))
-    least = MIN_WORDS - 2 * (K + W)
     out: dict[str, list] = {c.split()[0]: [] for c in CHAINS.split(", ")}
     for s, e in zip(starts.tolist(), ends.tolist()):
         x, y = xs[s:e], ys[s:e]
         runs = {int(v) for v in x[(x & y & RUN) > 0] & ~RUN}
         wide = x[(x & y & LONG) > 0] & ~LONG
         x, y = x & ~(RUN | LONG), y & ~(RUN | LONG)
-        if x.max() - x.min() + K < least and not runs and not len(wide):
+        if x.max() == x.min() and not runs and not len(wide):
             continue
         by_place = np.lexsort((y, x))
         x, y = x[by_place], y[by_place]
@@ -327,12 +330,14 @@ def _chain(key, group):
         for chain in chains(diagonals(x[new], y[new])):
             (x0, y0, _), (x1, y1, m) = chain[0], chain[-1]
             run = bool(runs) and any(x in runs for x, _, _ in chain)
-            if (min(x1 + m - x0, y1 + m - y0) < least and not run
-                    and not ((wide >= x0) & (wide < x1 + m)).any()):
+            long = run or ((wide >= x0) & (wide < x1 + m)).any()
+            span = min(x1 + m - x0, y1 + m - y0)
+            if span <= K and not long:
                 continue
+            reach = REACH if long or span >= SURE else WEAK_REACH
             for c, v in (("x", a[which[s]].tobytes()), ("y", b[which[s]].tobytes()),
-                         ("x_low", 0 if run else max(0, x0 - REACH)), ("x_high", END if run else x1 + m + REACH),
-                         ("y_low", 0 if run else max(0, y0 - REACH)), ("y_high", END if run else y1 + m + REACH),
+                         ("x_low", 0 if run else max(0, x0 - reach)), ("x_high", END if run else x1 + m + reach),
+                         ("y_low", 0 if run else max(0, y0 - reach)), ("y_high", END if run else y1 + m + reach),
                          ("blocks", np.array(chain, "<i4").tobytes())):
                 out[c].append(v)
     kinds = [pa.binary(), pa.binary(), *[pa.int32()] * 4, pa.binary()]

@@ -274,6 +274,28 @@ def test_passages(spark, monkeypatch):
     assert S.repeated_passages(awkward(spark, [(1, None), (2, "a b")])).count() == 0
 
 
+def test_recall_of_edited_passages(spark):
+    """Passages of which a share of words, drawn at random, is replaced in the second text."""
+    rng = random.Random(33)
+    new = lambda k: [f"r{rng.randrange(10**7)}" for _ in range(k)]
+    cells = {(60, 80): 0.4, (60, 85): 0.7, (60, 90): 0.95, (100, 80): 0.85, (100, 85): 0.95, (100, 90): 1.0,
+             (200, 80): 0.95, (200, 85): 1.0, (200, 90): 1.0}
+    rows, cell_of = [], {}
+    for cell in cells:
+        for _ in range(40):
+            p = new(cell[0])
+            q = list(p)
+            for i in rng.sample(range(cell[0]), cell[0] * (100 - cell[1]) // 100):
+                q[i] = new(1)[0]
+            cell_of[len(rows)] = cell
+            rows += [(len(rows) + d, " ".join(new(80) + x + new(80))) for d, x in enumerate((p, q))]
+    found = {r.doc_id: r.other_id for r in S.repeated_passages(awkward(spark, rows)).collect()}
+    assert all(other == (doc ^ 1) for doc, other in found.items())
+    recall = {c: sum(found.get(k) == k + 1 for k, of in cell_of.items() if of == c) / 40 for c in cells}
+    print(recall)
+    assert all(recall[c] >= least for c, least in cells.items()), recall
+
+
 def test_passages_of_frequent_lines(spark):
     """Two texts share lines in a row that many others hold one by one."""
     rng = random.Random(21)
