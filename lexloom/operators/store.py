@@ -83,6 +83,23 @@ def list_documents(df: DataFrame, key: str = "document_id") -> DataFrame:
     return df.orderBy(F.col("created_at").desc(), F.col(key))
 
 
+def list_page(df: DataFrame, size: int, after: tuple | None = None, key: str = "document_id") -> DataFrame:
+    """The next `size` rows of `list_documents` behind a cursor, the (created_at, key) of
+    the last row seen; NULL times come last. Each task keeps `size` rows in a heap and
+    files whose statistics lie before the cursor are not read. Pages put together are the
+    whole list; a row added meanwhile moves no other between pages."""
+    at = F.col("created_at")
+    if after is not None:
+        time, last = after
+        ties = F.col(key) > F.lit(last)
+        if time is None:
+            df = df.where(at.isNull() & ties)
+        else:
+            time = F.lit(time).cast("timestamp")
+            df = df.where(at.isNull() | ((at <= time) & ((at < time) | ties)))
+    return df.orderBy(at.desc(), F.col(key)).limit(size)
+
+
 def delete_documents(base: DataFrame, ids: DataFrame, key: str = "document_id"):
     """(remaining, outcome): documents left, and per requested id whether it
     was found and which file it had."""

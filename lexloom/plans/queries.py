@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import extract as X, fixed_values as fv, rules as R, text as T
-from ..operators import (amend as AM, assemble as A, classify as C, lookups as L, outline as OL,
+from ..operators import (amend as AM, assemble as A, classify as C, clustered as K, lookups as L, outline as OL,
                          render as M, segment as S, store as D)
 from ..session import stage_folder
 from ..sources import files as FS
@@ -625,17 +625,20 @@ def upsert(spark, sf_dir):
     return _document_columns(merged)
 
 
+def _updates(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("doc-"), "doc_id").alias("document_id"),
+        F.concat(F.lit("q"), "quality", F.lit(" t"), "toxic").alias("metadata"),
+        F.lit("2024-06-01").cast("timestamp").alias("now"))
+
+
 @query(f"""WITH {_STORED} SELECT document_id, filename, filepath, md5(text) AS text_md5,
   CASE WHEN l.doc_id IS NULL THEN metadata ELSE concat('q', quality, ' t', toxic) END AS metadata,
   {_AT.format('created_at')} AS created_at,
   CASE WHEN l.doc_id IS NULL THEN {_AT.format('updated_at')} ELSE '2024-06-01 00:00:00' END AS updated_at
   FROM stored LEFT JOIN labels l ON document_id = concat('doc-', l.doc_id)""")
 def update_metadata(spark, sf_dir):
-    updates = table(spark, sf_dir, "labels").select(
-        F.concat(F.lit("doc-"), "doc_id").alias("document_id"),
-        F.concat(F.lit("q"), "quality", F.lit(" t"), "toxic").alias("metadata"),
-        F.lit("2024-06-01").cast("timestamp").alias("now"))
-    return _document_columns(D.update_metadata(_stored(spark, sf_dir), updates))
+    return _document_columns(D.update_metadata(_stored(spark, sf_dir), _updates(spark, sf_dir)))
 
 
 @query(f"WITH {_STORED} SELECT {_DOC_COLUMNS} FROM stored WHERE document_id = 'doc-17'")
@@ -649,6 +652,18 @@ def list_newest(spark, sf_dir):
     return D.list_documents(_document_columns(_stored(spark, sf_dir)))
 
 
+PAGE = 100
+
+
+@query(f"""WITH {_STORED} SELECT {_DOC_COLUMNS} FROM stored ORDER BY stored.created_at DESC, document_id
+  LIMIT {PAGE} OFFSET {PAGE}""")
+def list_second_page(spark, sf_dir):
+    """The page behind the first one's last row."""
+    stored = _stored(spark, sf_dir)
+    last = D.list_page(stored.select("document_id", "created_at"), PAGE).collect()[-1]
+    return _document_columns(D.list_page(stored, PAGE, (last.created_at, last.document_id)))
+
+
 def _delete_ids(spark, sf_dir):
     return table(spark, sf_dir, "labels").select(F.concat(
         F.when(F.col("quality") == 1, "doc-").otherwise("gone-"), "doc_id").alias("document_id"))
@@ -669,6 +684,35 @@ def delete_outcome(spark, sf_dir):
     return D.delete_documents(_stored(spark, sf_dir), _delete_ids(spark, sf_dir))[1]
 
 
+def _clustered(spark, sf_dir):
+    """The stored documents as a clustered table of their own."""
+    name = f"documents_{uuid.uuid4().hex}"
+    K.open_table(spark, name, work_folder(spark), parts=16, buckets=16)
+    K.upsert(spark, name, _stored(spark, sf_dir))
+    return name
+
+
+@query(ORACLES["upsert"])
+def clustered_upsert(spark, sf_dir):
+    name = _clustered(spark, sf_dir)
+    K.upsert(spark, name, _incoming(spark, sf_dir), order=("updated_at", "filename"))
+    return _document_columns(K.read_table(spark, name))
+
+
+@query(ORACLES["update_metadata"])
+def clustered_update(spark, sf_dir):
+    name = _clustered(spark, sf_dir)
+    K.update_metadata(spark, name, _updates(spark, sf_dir))
+    return _document_columns(K.read_table(spark, name))
+
+
+@query(ORACLES["delete_remaining"])
+def clustered_delete(spark, sf_dir):
+    name = _clustered(spark, sf_dir)
+    K.delete(spark, name, _delete_ids(spark, sf_dir))
+    return _document_columns(K.read_table(spark, name))
+
+
 @query(f"""WITH {_STORED} SELECT document_id, filename, filepath, md5(text) AS text_md5,
   CAST(NULL AS VARCHAR) AS metadata, {_AT.format('created_at')} AS created_at,
   {_AT.format('updated_at')} AS updated_at FROM stored""")
