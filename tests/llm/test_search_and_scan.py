@@ -7,6 +7,7 @@ import re
 import struct
 import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -53,6 +54,37 @@ def test_top_k_of_few_and_none(spark):
     assert topk_search.top_k(vectors(spark, [(0, [1.0])])).count() == 0
 
 
+def test_top_k_of_any_finite_components(spark):
+    """Components up to the largest double beside small ones; scores beyond 64 bits are
+    ranked exactly and end at its range."""
+    rng = random.Random(3)
+    sizes = [1.0, 1e3, 2.0 ** 25, 1e9, 1e17, 1e150, 1e300, 1.7e308]
+    rows = [(i, [rng.choice([-1, 1]) * rng.random() * rng.choice(sizes if i % 3 == 0 else sizes[:2]) for _ in range(3)])
+            for i in range(300)]
+    rows += [(300 + i, [1e17, 1.0, float(i // 2)]) for i in range(40)]                     # near ties
+    rows += [(400, [1e17, 1.0]), (401, [1.0, 2.0]), (420, [2.0, 1.0]), (60, [1.0, 1.0, 1.0]), (63, [1e300, 1.0, 1.0])]
+    best = {}
+    for i, v in rows:                                            # the larger of an id's vectors counts
+        whole = [math.floor(Fraction(x) * 64) for x in v]
+        if (i, len(v)) not in best or whole > best[i, len(v)][0]:
+            best[i, len(v)] = whole, v
+    want = []
+    for (q, n), (a, _) in best.items():
+        if q % 20 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for (c, m), (b, _) in best.items()
+                            if c != q and m == n)[:20]
+            want += [(q, r, c, min(max(-s, -2 ** 63), 2 ** 63 - 1)) for r, (s, c) in enumerate(scores, 1)]
+    assert sorted(tuple(r) for r in topk_search.top_k(vectors(spark, rows)).collect()) == sorted(want)
+
+
+def test_codes_keep_the_order():
+    rng = random.Random(4)
+    scores = sorted({rng.choice([-1, 1]) * (rng.getrandbits(n) + d) for n in range(1, 61) for d in (0, 1, 2)}
+                    | {0} | {s * 2 ** n + d for n in range(60) for d in (-1, 0, 1) for s in (-1, 1)})
+    small, large = (topk_search.codes(np.array(scores, t)) for t in (np.int64, object))
+    assert (small == large).all() and (np.diff(small) >= 0).all() and np.abs(small).max() < topk_search.CODES
+
+
 # Secrets -------------------------------------------------------------------
 
 def brute_base(text):
