@@ -549,19 +549,20 @@ def pick_candidate(spark, sf_dir):
     return A.pick_candidate(_turns(spark, sf_dir), "doc_key", rank="page_no")
 
 
-@query("""WITH n AS (SELECT conv_id AS doc_key, string_agg(text, chr(10) ORDER BY turn) AS text
-    FROM conversations WHERE role = 'user' GROUP BY conv_id),
-  r AS (SELECT conv_id AS doc_key, string_agg(text, chr(10) ORDER BY turn) AS rec
-    FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+@query("""WITH c AS (SELECT conv_id AS doc_key,
+    string_agg(text, chr(10) ORDER BY turn NULLS FIRST, text) FILTER (role IS DISTINCT FROM 'assistant') AS text,
+    string_agg(text, chr(10) ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant') AS rec
+    FROM conversations GROUP BY conv_id)
   SELECT doc_key, CASE WHEN length(trim(text)) >= 50 THEN text WHEN trim(coalesce(rec, '')) <> '' THEN rec
     ELSE '' END AS text, CASE WHEN length(trim(text)) >= 50 THEN 'native'
-    WHEN trim(coalesce(rec, '')) <> '' THEN 'recognised' ELSE 'failed' END AS status
-  FROM n LEFT JOIN r USING (doc_key)""")
+    WHEN trim(coalesce(rec, '')) <> '' THEN 'recognised' ELSE 'failed' END AS status FROM c""")
 def choose_text(spark, sf_dir):
-    """Turns of the user as native text, those of the assistant as recognised text."""
+    """Turns of the assistant as recognised text, all others as native text; every
+    conversation has a row, also without one or the other."""
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "doc_key")
-    joined = lambda rows: A.ordered_text(rows, "doc_key", "turn", F.col("text"), "\n")
-    return A.choose_text(joined(turns.where("role = 'user'")), joined(turns.where("role = 'assistant'")))
+    joined = lambda rows: A.ordered_text(rows, "doc_key", "turn", F.col("text"), "\n", order=["text"])
+    other = F.when(~F.col("role").eqNullSafe("assistant"), F.col("text")).alias("text")
+    return A.choose_text(joined(turns.select("doc_key", "turn", other)), joined(turns.where("role = 'assistant'")))
 
 
 @query(f"""WITH {_TURNS} SELECT doc_key,

@@ -4,7 +4,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed_values as fv, rules as R
+from lexloom.plans import queries as Q  # noqa: E402
 from lexloom.operators import assemble as A, classify as C, lookups as L, store as D
+from lexloom.plans import queries as Q
 
 T0, T1, T2 = (datetime(2024, 1, d) for d in (1, 2, 3))
 
@@ -172,3 +174,11 @@ def test_generators_may_fail(spark):
     assert got == {0: "k1", 1: "k1", 2: "two", 3: "three is a longer title", 4: "", 5: "", 6: ""}
     boom = spark.createDataFrame([(1, "boom a b c d e")], "id int, title string")
     assert M.enrich_keywords(boom, some).first().keyword == "boom a b c d"
+
+
+def test_choose_text_reads_all_roles(spark, tmp_path):
+    rows = [(1, 0, "system", "s" * 60), (1, 1, "user", "short"), (2, 0, "assistant", "answer"), (3, 0, "user", "short")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    got = {r.doc_key: (r.text, r.status) for r in Q.choose_text(spark, str(tmp_path)).collect()}
+    assert got == {1: ("s" * 60 + "\nshort", "native"), 2: ("answer", "recognised"), 3: ("", "failed")}
