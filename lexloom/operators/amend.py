@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, shuffled
 from .outline import outline
 from .segment import document_metadata, explode_rows
 
@@ -76,8 +76,8 @@ def _edges(df: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
              .agg(F.min(key).alias("target"), F.count(F.lit(1)).alias("_n")))
     there = _articles(nodes, key).select(F.col(key).alias("target"), F.col("article").alias("target_article"),
                                            F.lit(True).alias("_there"))
-    rows = (_citations(nodes, key).join(docs, key).join(known, "target_number", "left")
-            .join(there, ["target", "target_article"], "left"))
+    rows = (_citations(nodes, key).join(shuffled(docs), key).join(shuffled(known), "target_number", "left")
+            .join(shuffled(there), ["target", "target_article"], "left"))
     status = (F.when(F.col("_n").isNull(), "unknown_document").when(F.col("_n") > 1, "ambiguous")
               .when(F.col("target") == F.col(key), "self").when(F.col("target_article") == "", "whole_document")
               .when(F.col("_there").isNull(), "unknown_article").otherwise("ok"))
@@ -102,12 +102,12 @@ def newest_articles(df: DataFrame, key: str = "doc_key", text: str = "text") ->
                        .agg(last.alias("_l")).select("of", "of_article", "_l.*"))
     ended = last.where("action = 'repeal'").select(F.col("of").alias("e"), F.col("of_article").alias("e_article"))
     ways = follow(last.where("action <> 'repeal'").select("of", "of_article", "to", "to_article"))
-    rows = (_articles(nodes, key).join(ways, (F.col(key) == F.col("of")) & (F.col("article") == F.col("of_article")),
-                                         "left"))
+    rows = (_articles(nodes, key).join(shuffled(ways), (F.col(key) == F.col("of")) & (F.col("article") == F.col("of_article")),
+                                "left"))
     newest, article = F.coalesce("to", key), F.coalesce("to_article", "article")
     rows = rows.select(key, "article", newest.alias("newest"), article.alias("newest_article"),
                        F.coalesce("hops", F.lit(0)).alias("hops"), F.coalesce("cycle", F.lit(False)).alias("cycle"))
-    rows = rows.join(ended, (F.col("newest") == F.col("e")) & (F.col("newest_article") == F.col("e_article")), "left")
+    rows = rows.join(shuffled(ended), (F.col("newest") == F.col("e")) & (F.col("newest_article") == F.col("e_article")), "left")
     status = (F.when(F.col("cycle"), "cycle").when(F.col("e").isNotNull(), "repealed")
               .when(F.col("hops") > 0, "amended").otherwise("current"))
     known = lambda c: F.when(~F.col("cycle"), F.col(c)).alias(c)
@@ -127,7 +127,7 @@ def follow(pointers: DataFrame) -> DataFrame:
     while True:
         step = every.select(F.col("of").alias("_o"), F.col("of_article").alias("_a"), F.col("to").alias("_to"),
                             F.col("to_article").alias("_to_article"), F.col("hops").alias("_hops"))
-        met = open_.join(step, (F.col("to") == F.col("_o")) & (F.col("to_article") == F.col("_a")), "left")
+        met = open_.join(shuffled(step), (F.col("to") == F.col("_o")) & (F.col("to_article") == F.col("_a")), "left")
         met = materialize(met)
         ended = met.where("_o is null").select(*every.columns)
         done = ended if done is None else done.unionByName(ended)
@@ -158,9 +158,9 @@ def blocks_with_amendments(df: DataFrame, key: str = "doc_key", text: str = "tex
         .alias("amend")))
     docs = document_metadata(df, key, text)
     blocks = nodes.where("kind = 'article'").select(key, "node", "number", "source", "content")
-    rows = (blocks.join(docs, key)
-            .join(made, (F.col(key) == F.col("_k")) & (F.col("number") == F.col("_a")), "left")
-            .join(had, (F.col(key) == F.col("_t")) & (F.col("number") == F.col("_ta")), "left"))
+    rows = (blocks.join(shuffled(docs), key)
+            .join(shuffled(made), (F.col(key) == F.col("_k")) & (F.col("number") == F.col("_a")), "left")
+            .join(shuffled(had), (F.col(key) == F.col("_t")) & (F.col("number") == F.col("_ta")), "left"))
     metadata = F.struct(
         "doc_id", "source", "date", F.coalesce("modify", F.lit("")).alias("modify"),
         F.coalesce("partial_mod", F.lit(False)).alias("partial_mod"), F.lit("markdown").alias("data_type"),

@@ -49,3 +49,10 @@ def materialize(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(stage_folder(spark))
     return df.checkpoint()
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that must not be broadcast. The planner guesses the size of texts
+    and of checkpointed tables from the Parquet files behind them, which are many times
+    smaller, and would gather such a side on the driver."""
+    return df.hint("merge")
