@@ -34,10 +34,14 @@ def classify_join(df: DataFrame, rules_df: DataFrame, default: str, key: str,
     looked for in the text, and the least rule of each row is a partial minimum: texts
     are never shuffled, rows without a rule stay, and keys may repeat or be NULL.
 
-    Rules are broadcast in slices of about `max_chars` characters (or one rule), whose
-    number follows their total length; each slice is one more look at the text."""
-    wanted = rules_df.select("priority", "label", F.lower("keyword").alias("keyword")).where(
-        "priority is not null and label is not null and length(keyword) > 0").distinct()
+    Of rules with the same keyword only the least is kept. They are broadcast in slices of
+    about `max_chars` characters (or one rule), whose number follows the total length of
+    the different keywords; each slice is one more look at the text."""
+    given = rules_df.select("priority", "label", F.lower("keyword").alias("keyword")).where(
+        "priority is not null and label is not null and length(keyword) > 0")
+    # Of rules with one keyword the least decides alone, so their number follows the words and not the rules.
+    wanted = given.groupBy("keyword").agg(F.min(F.struct("priority", "label")).alias("_r")).select(
+        "_r.priority", "_r.label", "keyword")
     starts = F.sequence(F.lit(1), F.greatest(F.length("keyword") - GRAM + 1, F.lit(1)))
     grams = wanted.withColumn("_gram", F.explode(F.transform(starts, lambda i: F.substring("keyword", i, GRAM))))
     shared = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))

@@ -182,3 +182,15 @@ def test_choose_text_reads_all_roles(spark, tmp_path):
         str(tmp_path / "conversations.parquet"))
     got = {r.doc_key: (r.text, r.status) for r in Q.choose_text(spark, str(tmp_path)).collect()}
     assert got == {1: ("s" * 60 + "\nshort", "native"), 2: ("answer", "recognised"), 3: ("", "failed")}
+
+
+def test_rules_with_one_keyword_count_once(spark, monkeypatch):
+    """However many rules have a keyword, its text is looked through once."""
+    passes = []
+    patterns = C._patterns
+    monkeypatch.setattr(C, "_patterns", lambda grams: passes.append(grams) or patterns(grams))
+    rules = spark.createDataFrame([(i, f"l{i}", "Keyword") for i in range(50, 0, -1)],
+                                  "priority int, label string, keyword string")
+    texts = spark.createDataFrame([(1, "a keyword"), (2, "none")], "k int, text string")
+    got = {r.k: r.label for r in C.classify_join(texts, rules, "none", "k", max_chars=60).collect()}
+    assert got == {1: "l1", 2: "none"} and len(passes) == 1
