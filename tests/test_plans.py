@@ -133,3 +133,15 @@ def test_computed_tables_are_not_broadcast(spark):
         df = op(texts)
         df.collect()
         assert "BroadcastExchange" not in plan(df)
+
+
+def test_lines_are_shuffled_once_and_without_their_texts(spark):
+    """One exchange for the orders, one for the lines."""
+    from lexloom.plans.corpus import legal_corpus
+    text = plan(legal_corpus(spark, SF))
+    assert text.count("Exchange hashpartitioning") == 2
+    assert all("_piece" not in line and "_part" not in line for line in text.splitlines() if "Exchange" in line)
+
+
+def test_a_title_is_found_once_for_its_keyword(stored_docs):
+    assert plan(M.decision_headings(stored_docs)).count(r"Điều\s*1[.:]") == 1
