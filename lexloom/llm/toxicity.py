@@ -163,7 +163,10 @@ def fit(texts: list[str], labels: list[int], counts: tuple[int, int]) -> Field |
     n_clean, n_toxic = counts
     if not texts:
         return None
-    words = [WORD.findall(t.lower()) for t in texts]
+    # One object for each different word, however often it stands in the sample.
+    shared: dict[str, str] = {}
+    words = [[shared.setdefault(w, w) for w in WORD.findall(t.lower())] for t in texts]
+    del shared
     toxic = [w for w, y in zip(words, labels) if y]
     clean = [w for w, y in zip(words, labels) if not y]
     prior = math.log((n_toxic + 0.5) / (n_clean + 0.5))
@@ -211,10 +214,13 @@ def fit(texts: list[str], labels: list[int], counts: tuple[int, int]) -> Field |
         by_type = np.bincount(ids[real], (y - p)[real], len(types))
         g = np.bincount(type_features.ravel(), np.repeat(by_type, type_features.shape[1]), DIMENSIONS)
         g[0] = 0
-        joint = (forward[:-1, :, :, None] * np.exp(move)
-                 * (backward[1:] * emit.transpose(1, 0, 2)[1:])[:, :, None, :])
+        # In place: the largest array of the fit, held once.
+        joint = forward[:-1, :, :, None] * np.exp(move)
+        joint *= np.multiply(backward[1:], emit.transpose(1, 0, 2)[1:], out=backward[1:])[:, :, None, :]
         joint /= joint.sum(axis=(2, 3), keepdims=True)
-        expected = (joint * pairs.T[:, :, None, None]).sum(axis=(0, 1))
+        joint *= pairs.T[:, :, None, None]
+        expected = joint.sum(axis=(0, 1))
+        del forward, backward, emit, joint
         first = np.array([(1 - p[:, 0]).sum(), p[:, 0].sum()])
         grads = (g / len(segments) - 1e-4 * w, (seen_start - first) / len(segments) - 1e-3 * start,
                  (seen_move - expected) / total * 4 - 1e-3 * move)
@@ -223,9 +229,10 @@ def fit(texts: list[str], labels: list[int], counts: tuple[int, int]) -> Field |
             v += 0.01 * (d * d - v)
             x += 0.15 * (m / (1 - 0.9 ** epoch)) / (np.sqrt(v / (1 - 0.99 ** epoch)) + 1e-8)
     field = Field(w, start, move, np.array([prior, 0, 0]))
+    del words, toxic, clean, marked, plain, segments, ids, y, yi, real, pairs, types, number, type_features, is_seed
 
     # The document curve, with the classes weighted as in the labelled rows.
-    x = np.array([document_features(p) for p in field.words(texts)])
+    x = np.array([document_features(p) for at in range(0, len(texts), 256) for p in field.words(texts[at:at + 256])])
     t = np.array(labels, float)
     weight = np.where(t == 1, n_toxic / max(1, t.sum()), n_clean / max(1, (1 - t).sum()))
     curve = np.zeros(3)

@@ -104,3 +104,18 @@ def test_pipeline_steps(spark):
     for r in corpus_pipeline.run(spark, SF).collect():
         sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.length
     assert sorted(sizes.items()) == want
+
+
+def test_fit_holds_each_word_once(monkeypatch):
+    import tracemalloc
+
+    from lexloom.llm import toxicity
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "FIELD_SEGMENTS", 50)
+    words = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    texts = [" ".join(words[(i + j) % 50] if i % 2 else words[10 + (i + j) % 50] for j in range(2000)) for i in range(400)]
+    tracemalloc.start()
+    toxicity.fit(texts, [i % 2 for i in range(400)], (200, 200))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6, peak                    # about 48 MB; 97 MB with 800,000 words as objects of their own
