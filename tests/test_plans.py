@@ -145,3 +145,29 @@ def test_lines_are_shuffled_once_and_without_their_texts(spark):
 
 def test_a_title_is_found_once_for_its_keyword(stored_docs):
     assert plan(M.decision_headings(stored_docs)).count(r"Điều\s*1[.:]") == 1
+
+
+def test_searches_make_no_step_at_every_character(stored_docs):
+    """Scope, signature and general rules are found by a plain search; a lazy run from the top
+    is left for the two looks at the decision line."""
+    text = plan(S.article_start(stored_docs))
+    assert "(?s)(?dmiuU)\\A(?>.*?" not in text and text.count("[Pp](?iu)hạm") >= 1
+    assert plan(S.decision_span(stored_docs)).count("\\A(?>.*?") == 0
+
+
+def test_lines_are_not_counted_by_replacing(stored_docs):
+    """A replacement compares at every byte: only texts with a carriage return or the reserved
+    mark meet one."""
+    for op in (S.article_start, S.decision_span, S.split_articles):
+        text = plan(op(stored_docs))
+        assert "octet_length" not in text and "Contains(" in text
+
+
+def test_line_counts_and_dropped_lines(spark):
+    df = spark.createDataFrame([("",), ("a",), ("\n",), ("a\nb\n",), (None,)], "s string")
+    got = [tuple(r) for r in df.select(T.line_breaks(F.col("s")), T.drop_lines(F.col("s"), F.lit(1)),
+                                       T.drop_lines(F.col("s"), F.lit(0))).collect()]
+    assert got == [(0, "", ""), (0, "", "a"), (1, "", "\n"), (2, "b\n", "a\nb\n"), (None, None, None)]
+    # The interpreted form, as inside a mapping, counts alike.
+    inner = df.select(F.transform(F.array("s"), lambda s: T.drop_lines(s, F.lit(1)))[0])
+    assert [r[0] for r in inner.collect()] == ["", "", "", "b\n", None]
