@@ -171,3 +171,9 @@ def test_line_counts_and_dropped_lines(spark):
     # The interpreted form, as inside a mapping, counts alike.
     inner = df.select(F.transform(F.array("s"), lambda s: T.drop_lines(s, F.lit(1)))[0])
     assert [r[0] for r in inner.collect()] == ["", "", "", "b\n", None]
+
+
+def test_titles_of_articles_clean_no_content(stored_docs):
+    """Fields of articles that nobody reads are not computed."""
+    titles = plan(S.split_articles(stored_docs).select("doc_key", "article_title"))
+    assert "Chương[^\\n]*" not in titles and "Chương[^\\n]*" in plan(S.split_articles(stored_docs))
