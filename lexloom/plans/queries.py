@@ -840,7 +840,7 @@ def assign_keys(spark, sf_dir):
 
 def _below(folder: str):
     """The path of a file below a folder, from its slash on."""
-    return F.regexp_extract("path", f"{folder.split(':')[-1]}(/.*)", 1)
+    return F.regexp_extract("path", f"/{folder.split(':')[-1].lstrip('/')}(/.*)", 1)
 
 
 @query(f"""SELECT {_PATH} AS path, text, 'ok' AS status FROM documents WHERE lang IN ('en', 'de')
@@ -851,8 +851,9 @@ def read_text_files(spark, sf_dir):
     text files with their text, all others with the reason."""
     folder = work_folder(spark)
     FS.write_files(_as_files(table(spark, sf_dir, "documents")), folder)
-    texts = FS.read_text_files(spark, folder).select(_below(folder).alias("path"), "text", "status")
-    return texts.unionByName(FS.unread_files(spark, folder).select(
+    listed = FS.list_files(spark, folder)
+    texts = FS.read_text_files(spark, folder, listed=listed).select(_below(folder).alias("path"), "text", "status")
+    return texts.unionByName(FS.unread_files(spark, folder, listed=listed).select(
         _below(folder).alias("path"), F.lit(None).cast("string").alias("text"), F.col("reason").alias("status")))
 
 

@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed_values as fv
 from ..operators.store import DOCUMENT_SCHEMA, align_schema, latest_versions
-from ..sources.files import BINARY_SCHEMA, file_outcomes
+from ..session import materialize, shuffled, stage_folder
+from ..sources.files import BINARY_SCHEMA, LISTED, file_outcomes, list_files
 
 STORE_SCHEMA = T.StructType(DOCUMENT_SCHEMA.fields + [T.StructField("status", T.StringType())])
 VERSIONS = T.StructType(STORE_SCHEMA.fields + [T.StructField("seq", T.LongType())])
@@ -98,6 +100,48 @@ def file_stream(spark: SparkSession, in_dir: str, max_files: int | None = None,
     return file_outcomes(reader.load(in_dir), max_bytes, by_content)
 
 
+def note_arrivals(spark: SparkSession, in_dir: str, notes: str, max_files: int | None = None) -> None:
+    """Append (path, modificationTime, length) of the files below a folder that the notes do
+    not hold yet; like the file source, a path counts once. With `max_files`, no file of the
+    notes holds more, and they are appended one by one, oldest arrivals first. The driver
+    sees the names of these few files and no list of arrivals."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(notes)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(root)
+    known = spark.read.schema(LISTED).parquet(notes).select("path")
+    new = materialize(list_files(spark, in_dir).join(shuffled(known), "path", "left_anti"))
+    if new.isEmpty():
+        return
+    if max_files is None:
+        new.write.mode("append").parquet(notes)
+        return
+    ordered = f"{stage_folder(spark)}/{uuid.uuid4().hex}"
+    new.orderBy("modificationTime", "path").write.option("maxRecordsPerFile", max_files).parquet(ordered)
+    # The stream goes by the time of each file.
+    for part in sorted(spark.read.schema(LISTED).parquet(ordered).inputFiles()):
+        spark.read.schema(LISTED).parquet(part).coalesce(1).write.mode("append").parquet(notes)
+
+
+def noted_stream(spark: SparkSession, in_dir: str, notes: str, max_files: int | None = None,
+                 max_bytes: int = fv.MAX_FILE_BYTES, by_content: bool = False) -> DataFrame:
+    """`file_stream` of the files that are there now. The stream reads notes of them, which
+    the tasks have written; the files themselves are read in tasks as well."""
+    note_arrivals(spark, in_dir, notes, max_files)
+    # What is noted stays to be read, however old it is.
+    reader = spark.readStream.schema(LISTED).option("maxFileAge", "36500d")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", 1)
+    return file_outcomes(reader.parquet(notes), max_bytes, by_content)
+
+
+def _arrivals(spark: SparkSession, in_dir: str, checkpoint: str, max_files: int | None, max_bytes: int,
+              available_now: bool, by_content: bool = False) -> DataFrame:
+    """The files that are there now, noted beside the checkpoint; of a stream that goes on,
+    Spark's source, which lists the folder on the driver at every trigger."""
+    if available_now:
+        return noted_stream(spark, in_dir, f"{checkpoint}/arrivals", max_files, max_bytes, by_content)
+    return file_stream(spark, in_dir, max_files, max_bytes, by_content)
+
+
 def start_upserts(rows: DataFrame, out: str, checkpoint: str,
                   available_now: bool = True) -> StreamingQuery:
     """Store a stream of document rows. `out` and `checkpoint` are shared storage;
@@ -112,8 +156,8 @@ def stream_ingest(spark: SparkSession, in_dir: str, out: str, checkpoint: str,
                   max_files: int | None = None, max_bytes: int = fv.MAX_FILE_BYTES,
                   available_now: bool = True) -> StreamingQuery:
     """Ingest files as they arrive in a folder."""
-    return start_upserts(file_stream(spark, in_dir, max_files, max_bytes), out, checkpoint,
-                         available_now)
+    rows = _arrivals(spark, in_dir, checkpoint, max_files, max_bytes, available_now)
+    return start_upserts(rows, out, checkpoint, available_now)
 
 
 def contents_once(spark: SparkSession, in_dir: str, out: str, checkpoint: str, within: str = "30 days",
@@ -125,6 +169,6 @@ def contents_once(spark: SparkSession, in_dir: str, out: str, checkpoint: str, w
     state follows the arrivals of that time and not the store. It lives in the checkpoint
     and survives restarts. What another stream or an expired key lets through has the
     same id in the store and counts once there too."""
-    rows = file_stream(spark, in_dir, max_files, max_bytes, by_content=True)
+    rows = _arrivals(spark, in_dir, checkpoint, max_files, max_bytes, available_now, by_content=True)
     once = rows.withWatermark("created_at", within).dropDuplicatesWithinWatermark(["document_id"])
     return start_upserts(once, out, checkpoint, available_now)

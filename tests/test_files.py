@@ -142,3 +142,74 @@ def test_stored_names_are_utc(spark, folder):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert here == {r.filename: r.stored_name for r in FS.assign_keys(FS.scan_files(spark, str(folder))).collect()}
+
+
+def odd_folder(tmp_path):
+    src = tmp_path / "odd"
+    for name in ("a b.txt", "100%.txt", "x%20y.md", "dấu/é.txt", "deep/er/and/c=d.txt", "_no.txt", ".no.txt", "_no/a.txt",
+                 "_k=1/a.txt", "deep/#h.txt", "z._COPYING_", "empty.txt"):
+        (src / name).parent.mkdir(parents=True, exist_ok=True)
+        (src / name).write_text("" if name == "empty.txt" else name)
+    (src / "none").mkdir()
+    (src / "broken.txt").symlink_to(src / "nowhere")
+    (src / "link.txt").symlink_to(src / "a b.txt")
+    return src
+
+
+def test_list_equals_the_file_source(spark, tmp_path):
+    src = odd_folder(tmp_path)
+    columns = ["path", "modificationTime", "length"]
+    for path in (str(src), f"file://{src}", f"{src}/*.txt", f"{src}/a b.txt", str(src / "none")):
+        listed = FS.list_files(spark, path)
+        want = FS.scan_files(spark, path)                                       # leaves empty files out
+        assert sorted(listed.where("length > 0").collect()) == sorted(want.select(columns).collect()), path
+        assert sorted(FS.read_contents(listed).where("length > 0").collect()) == sorted(want.collect()), path
+    empty = FS.read_text_files(spark, str(src)).where("length = 0").collect()
+    assert [(r.path.rsplit("/", 1)[1], r.text) for r in empty] == [("empty.txt", "")]
+    with pytest.raises(FileNotFoundError):
+        FS.list_files(spark, str(src / "missing"))
+
+
+def test_large_files_are_read_in_short_batches(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(FS, "HELD_ROWS", 3)
+    monkeypatch.setattr(FS, "HELD_BYTES", 10)
+    paths = []
+    for i, size in enumerate([1, 1, 1, 1, 20, 1, 9, 1, 1]):
+        paths.append(str(tmp_path / f"{i}.txt"))
+        (tmp_path / f"{i}.txt").write_bytes(bytes([i]) * size)
+    got = list(FS._read_files([pa.RecordBatch.from_pydict({"path": paths})]))
+    assert [b.num_rows for b in got] == [3, 2, 2, 2]
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["path"] for r in rows] == paths and all(r["content"][0] == i for i, r in enumerate(rows))
+
+
+def test_driver_keeps_no_list_of_files(spark, tmp_path):
+    src, state = tmp_path / "in", tmp_path / "state"
+    src.mkdir()
+    for i in range(40):
+        (src / f"arrival-{i}.txt").write_text(f"text {i}")
+    plan = FS.read_text_files(spark, str(src))._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan and "FileScan" not in plan
+    ingest.stream_ingest(spark, str(src), str(tmp_path / "store"), str(state)).awaitTermination()
+    log = "".join(f.read_text() for f in (state / "sources").rglob("*") if f.is_file() and f.suffix != ".crc")
+    assert "arrivals/part-" in log and "arrival-" not in log
+    assert len(stored(spark, str(tmp_path / "store"))) == 40
+
+
+def test_arrivals_are_noted_oldest_first(spark, tmp_path):
+    src, notes = tmp_path / "in", str(tmp_path / "notes")
+    src.mkdir()
+    for i in range(7):
+        (src / f"{i}.txt").write_text("x")
+        os.utime(src / f"{i}.txt", (1_700_000_000 - i,) * 2)
+    ingest.note_arrivals(spark, str(src), notes, 3)
+    (src / "late.txt").write_text("x")
+    for _ in range(2):
+        ingest.note_arrivals(spark, str(src), notes, 3)
+    parts = sorted((tmp_path / "notes").glob("part-*.parquet"), key=os.path.getmtime)
+    held = [sorted(names(spark.read.parquet(str(p)))) for p in parts]
+    assert all(len(h) <= 3 for h in held)
+    assert sum(held, [])[-1] == "late.txt" and len(sum(held, [])) == 8
+    first = [max(int(n[0]) for n in h) for h in held[:-1]]
+    assert first == sorted(first, reverse=True)
