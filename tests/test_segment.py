@@ -3,6 +3,8 @@ reading of the rules."""
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lexloom.operators import assemble as A, render as M, segment as S
 
 LONG = "nội dung dài " * 60
@@ -247,3 +249,28 @@ def test_labels_of_other_section_types(spark):
     assert [r.source for r in S.label_sections(df).collect()] == [
         "Điều 3, Khoản 2, Điểm a", "Điều 3, Khoản 9, Điểm b", "Điều 8, Khoản 3", "Điều 3, Khoản 2", "Điều 3",
         "Chương II", "Điều 4", "Unknown"]
+
+
+def test_no_basis_where_a_name_is_quoted(spark, docs):
+    texts = ['Căn cứ Luật số 1;\nQUYẾT ĐỊNH:\nĐiều 1. Ban hành "Quy định A".', 'Căn cứ Luật số 1 của Quốc hội;\nQUYẾT ĐỊNH:\nĐiều 1. B.',
+             'QUYẾT ĐỊNH:\nĐiều 1. Ban hành "  ".', "Điều 1. Một tiêu đề dài\nx", ""]
+    titles = {r.doc_key: r.title for r in M.document_titles(docs(*texts)).collect()}
+    blocks = {r.doc_key: r.title for r in S.with_blocks(docs(*texts)).select(
+        "doc_key", M.document_title(F.col("blocks")).alias("title")).collect()}
+    assert titles == blocks and titles[1] == "Quy định A"
+    # The text is gone before the basis of a document with a name is looked for.
+    seen = S.with_front_blocks(docs(*texts), unless=M._named).where("doc_key = 1").first()
+    assert seen.first == seen.decision and not seen.first.startswith("Căn cứ")
+
+
+def test_recipients_are_cut_from_one_match(spark, docs):
+    texts = ["a\nb\n\nQUYẾT ĐỊNH:\nĐiều 1. X\n  nơi nhận :\ny", "QUYẾT ĐỊNH\n\n", "a\n## QUYẾT ĐỊNH:", "không có", "\n\n**quyết định:**\nx \n\n"]
+    found = S.decision_to_recipients(docs(*texts))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "array_join" not in plan
+    spans = {r.doc_key: r.span_start for r in S.decision_span(docs(*texts)).collect()}
+    rows = {r.doc_key: r for r in found.collect()}
+    assert {k: r.span_start for k, r in rows.items()} == spans
+    for k, r in rows.items():
+        lines = texts[k - 1].split("\n")
+        assert r.content == "\n".join(lines[r.span_start:r.end_line + 1]).rstrip()
