@@ -4,12 +4,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv, rules as R
-from ..session import materialize
+from ..session import materialize, shuffled
 
 #: Characters of keywords that are broadcast at once.
-MAX_RULE_CHARS = 200_000
-#: Characters of the grams under which keywords are filed.
-GRAM = 8
+MAX_RULE_CHARS = 4_000_000
+#: Characters of the longest grams under which keywords are filed.
+GRAM = 16
+#: Characters of grams of one length that a pattern names; of more, all runs of that length are taken.
+PATTERN_CHARS = 2_000
+#: Runs of a text that are cut from one piece of it. A cut counts the characters before it.
+PIECE = 16
 
 
 def classify_documents(df: DataFrame, text: str = "text", rules=None, default=None,
@@ -27,12 +31,14 @@ def classify_join(df: DataFrame, rules_df: DataFrame, default: str, key: str,
     """(key, label), one row per row, with rules (priority, label, keyword) given as a
     table: the contained keyword of least priority decides, then label, then keyword.
 
-    A keyword can only be in a text that holds each of its grams (runs of eight
-    characters, or the keyword itself if it is shorter), so every rule is filed under
-    the gram that it shares with the fewest other rules. One pattern finds these grams
-    in a text; they meet the rules in an equi-join inside the task, the keyword is
-    looked for in the text, and the least rule of each row is a partial minimum: texts
-    are never shuffled, rows without a rule stay, and keys may repeat or be NULL.
+    A keyword can only be in a text that holds each of its grams (runs of 16 characters,
+    or the keyword itself if it is shorter), so every rule is filed under the gram that it
+    shares with the fewest other rules. The grams of a text meet the rules in an equi-join
+    inside the task, keywords longer than their gram are looked for in the text, and the
+    least rule of each row is a partial minimum of its rank: texts are never shuffled, rows
+    without a rule stay, and keys may repeat or be NULL. Grams of a length that few rules
+    have are found by a pattern that names them; of other lengths all runs of the text are
+    taken, so a look costs the same however many rules there are.
 
     Of rules with the same keyword only the least is kept. They are broadcast in slices of
     about `max_chars` characters (or one rule), whose number follows the total length of
@@ -45,28 +51,61 @@ def classify_join(df: DataFrame, rules_df: DataFrame, default: str, key: str,
     starts = F.sequence(F.lit(1), F.greatest(F.length("keyword") - GRAM + 1, F.lit(1)))
     grams = wanted.withColumn("_gram", F.explode(F.transform(starts, lambda i: F.substring("keyword", i, GRAM))))
     shared = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    rules = materialize(grams.join(shared, "_gram").groupBy("priority", "label", "keyword")
-                        .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram")))
+    filed = (grams.join(shuffled(shared), "_gram").groupBy("priority", "label", "keyword")
+             .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram")))
+    # Increasing numbers of sorted rows are ranks, which are compared and kept more cheaply than rules.
+    rules = materialize(filed.orderBy("priority", "label", "keyword").select(
+        F.monotonically_increasing_id().alias("_rank"), "label", "keyword", "_gram"))
     chars = rules.agg(F.sum(F.length("keyword").cast("long"))).first()[0] or 0
-    n = max(1, -(-chars // max(1, max_chars // 2)))
+    n = max(1, -(-chars // max(1, max_chars)))
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"),
                      F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
     rows = materialize(rows) if n > 1 else rows                             # one numbering for all slices
-    rule = F.when(F.col("keyword").isNotNull(), F.struct("priority", "label", "keyword"))
     best = None
     for i in range(n):
         own = rules.where(F.pmod(F.xxhash64("keyword"), F.lit(n)) == i)
-        known = [r[0] for r in own.select("_gram").distinct().collect()]    # at most max_chars characters
-        found = [F.regexp_extract_all("_low", F.lit(p), F.lit(1)) for p in _patterns(known)]
-        none = F.array(F.lit(None).cast("string"))                          # joins nothing and keeps the row
-        spread = rows.withColumn("_g", F.explode(F.array_distinct(F.concat(none, *found))))
-        hit = (F.col("_g") == F.col("_gram")) & F.contains("_low", "keyword")
-        found = (spread.join(F.broadcast(own), hit, "left").groupBy("_row")
-                 .agg(F.first("_key").alias("_key"), F.min(rule).alias("_best")))
+        grams = _spread(rows, own)
+        hit = ((F.xxhash64("_g") == F.col("_hash")) & (F.col("_g") == F.col("_gram"))
+               & ((F.length("keyword") <= GRAM) | F.contains("_low", "keyword")))
+        filed = own.select("_rank", "keyword", "_gram", F.xxhash64("_gram").alias("_hash"))
+        # One row without a gram stays for each text, whether it meets a rule or not.
+        least = (grams.join(_sent(filed), hit, "left").where("_g is null or _rank is not null")
+                 .groupBy("_row", "_key").agg(F.min("_rank").alias("_rank")))
+        found = least.join(_sent(own.select(F.col("_rank").alias("_own"), "label")),
+                           F.col("_rank") == F.col("_own"), "left").select("_row", "_key", "_rank", "label")
         best = found if best is None else best.unionByName(found)
     if n > 1:
-        best = best.groupBy("_row").agg(F.first("_key").alias("_key"), F.min("_best").alias("_best"))
-    return best.select(F.col("_key").alias(key), F.coalesce("_best.label", F.lit(default)).alias(name))
+        best = best.groupBy("_row", "_key").agg(F.min(F.when(
+            F.col("_rank").isNotNull(), F.struct("_rank", "label"))).alias("_b")).select("_key", "_b.label")
+    return best.select(F.col("_key").alias(key), F.coalesce("label", F.lit(default)).alias(name))
+
+
+def _sent(rules: DataFrame) -> DataFrame:
+    """A slice of rules, whose characters were counted, for every task."""
+    return F.broadcast(rules)
+
+
+def _spread(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows with each gram of their texts that some rules may be filed under as `_g`, and
+    once with NULL. Runs are cut from short pieces of the text one by one: no list of them is
+    held, and a run that ends with the text is a run all the same."""
+    sums = rules.select(F.length("_gram").alias("_l")).groupBy("_l").agg(F.sum("_l").alias("_c")).collect()
+    few = [r["_l"] for r in sums if r["_c"] <= PATTERN_CHARS]
+    many = [r["_l"] for r in sums if r["_c"] > PATTERN_CHARS]
+    known = [r[0] for r in rules.where(F.length("_gram").isin(few)).select("_gram").distinct().collect()]
+    found = [F.regexp_extract_all("_low", F.lit(p), F.lit(1)) for p in _patterns(known)]
+    none = F.array(F.lit(None).cast("string"))                              # joins nothing and keeps the row
+    if not many:
+        return rows.withColumn("_g", F.explode(F.concat(none, *found)))
+    pieces = F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{1,{PIECE + max(many) - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    cut = rows.withColumn("_piece", F.explode(F.concat(none, pieces)))
+    whole = F.col("_piece").isNull()
+    cut = cut.withColumn("_at", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(
+        F.sequence(F.lit(1), F.least(F.length("_piece"), F.lit(PIECE))))))
+    runs = [F.substring("_piece", F.col("_at"), n) for n in many]
+    if len(runs) == 1 and not found:
+        return cut.withColumn("_g", runs[0])
+    return cut.withColumn("_g", F.explode(F.when(whole, F.concat(none, *found)).otherwise(F.array(*runs))))
 
 
 def _patterns(grams: list[str]) -> list[str]:

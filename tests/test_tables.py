@@ -194,3 +194,24 @@ def test_rules_with_one_keyword_count_once(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "a keyword"), (2, "none")], "k int, text string")
     got = {r.k: r.label for r in C.classify_join(texts, rules, "none", "k", max_chars=60).collect()}
     assert got == {1: "l1", 2: "none"} and len(passes) == 1
+
+
+def test_many_rules_cost_one_look(spark, monkeypatch):
+    """Thousands of keywords of one length are no longer named in a pattern: every run of the
+    text is held against them, at both ends and beside characters of two units."""
+    known = []
+    patterns = C._patterns
+    monkeypatch.setattr(C, "_patterns", lambda grams: known.append(grams) or patterns(grams))
+    words = [f"kw{i:07d}" for i in range(13_000)]
+    rules = spark.createDataFrame([(i, w, w.upper()) for i, w in enumerate(words, 1)]
+                                  + [(0, "long", "một từ khoá dài hơn mười sáu"), (20_000, "short", "ab")],
+                                  "priority int, label string, keyword string")
+    texts = [f"{words[7]} {words[5]}", f"\U0001f600{words[9]}\U0001f600", "x" * 15 + words[12_999], "kw000000", "ab",
+             "một từ khoá dài hơn mười bảy", f"{words[3]} một từ khoá dài hơn mười sáu", "", None, "\U0001f600" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r.k: r.label for r in C.classify_join(df, rules, "none", "k").collect()}
+    assert got == {0: words[5], 1: words[9], 2: words[12_999], 3: "none", 4: "short", 5: "none", 6: "long",
+                   7: "none", 8: "none", 9: "none"}
+    assert len(known) == 1 and sum(map(len, known[0])) < 100
+    sliced = C.classify_join(df, rules, "none", "k", max_chars=50_000)
+    assert {r.k: r.label for r in sliced.collect()} == got
