@@ -177,3 +177,18 @@ def test_titles_of_articles_clean_no_content(stored_docs):
     """Fields of articles that nobody reads are not computed."""
     titles = plan(S.split_articles(stored_docs).select("doc_key", "article_title"))
     assert "Chương[^\\n]*" not in titles and "Chương[^\\n]*" in plan(S.split_articles(stored_docs))
+
+
+def test_no_article_is_searched_by_itself(stored_docs):
+    """Articles are opened and cleaned all at once, in compiled code: what is mapped over them
+    holds neither the pattern of a first line nor that of lines left out."""
+    for op in (S.split_documents, S.split_articles, M.structure_documents, M.render_blocks):
+        text = op(stored_docs)._jdf.queryExecution().optimizedPlan().toString()
+        mapped = [part.split("(?dmiuU)")[1][:60] for part in text.split("(lambda ")[1:] if "(?dmiuU)" in part[:60]]
+        assert "Điều|Dieu" in text and mapped == []
+
+
+def test_words_are_looked_for_in_lower_case_first(stored_docs):
+    """Most texts lack the unaccented recipients or a signature and are not searched for them in any case."""
+    assert "Contains(_low" in plan(S.decision_span(stored_docs)) and "[Nn](?iu)h[aă]n" not in plan(S.decision_span(stored_docs))
+    assert "locate(phạm, _low" in plan(S.article_start(stored_docs))

@@ -274,3 +274,18 @@ def test_recipients_are_cut_from_one_match(spark, docs):
     for k, r in rows.items():
         lines = texts[k - 1].split("\n")
         assert r.content == "\n".join(lines[r.span_start:r.end_line + 1]).rstrip()
+
+
+def test_words_whose_lower_case_is_longer_or_has_a_third_form(docs):
+    """Dotted capital I becomes two letters and long s stays: places and words are found all the same."""
+    df = docs("İİİ\nx\nPHẠM VI điều chỉnh", "İ\nQUYẾT ĐỊNH:\nNOI NHAN: x\ny", "nơı nhận:\nx\n(\u212aý tên)\na\nb\nc",
+              "\U0001f600\n\U0001f600 phạm phạm vi điều chỉnh")
+    assert [r.start_line for r in S.article_start(df).orderBy("doc_key").collect()] == [2, 0, 5, 1]
+    assert {r.doc_key: r.span_end for r in S.decision_span(df).collect()} == {2: 1}
+
+
+def test_impossible_dates_raise_nothing(docs):
+    df = docs("HN, ngày 31 tháng 2 năm 2020\nngày 1 tháng 3 năm 0049", "ngày 29 tháng 2 năm 2023", "ngày 9 tháng 9 năm 0050",
+              "a, ngày 5 tháng 13 năm 2020", "số 1234/567 và 89/QĐ-AB")
+    got = [(r.date, r.doc_id) for r in S.document_metadata(df).orderBy("doc_key").collect()]
+    assert got == [("", ""), ("", ""), ("1950-09-09", ""), ("", ""), ("", "89/QĐ-AB")]
